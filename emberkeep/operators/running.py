@@ -41,11 +41,12 @@ def running(
     bounds: list | None = None,
     descending: bool = False,
 ) -> DataFrame:
-    """Add running ``sum`` / ``count`` / ``max`` / ``min`` / ``rank`` columns per key.
+    """Add running ``sum`` / ``count`` / ``max`` / ``min`` / ``rank`` / ``prev`` columns per key.
 
     ``aggs`` maps an output name to (kind, expression).  The frame runs from
-    the start of the key to the row itself; ``descending`` reverses the order.
-    The order column must be a number and not null.
+    the start of the key to the row itself; ``descending`` reverses the order;
+    ``prev`` is the value on the row before.  The order column must be a number
+    and not null, and ``ties`` should make the order total.
     """
     bounds = order_bounds(df, order) if bounds is None else bounds
     direction = F.desc if descending else F.asc
@@ -53,13 +54,19 @@ def running(
     staged = df.withColumns({"__bucket": _bucket(order, bounds), **{f"__in_{n}": e for n, e in inputs.items()}})
     fold = {"sum": F.sum, "count": F.sum, "rank": F.sum, "max": F.max, "min": F.min}
     part = [*keys, "__bucket"]
+    position = F.struct(order, *ties)
+    ends_with = F.min_by if descending else F.max_by
 
-    totals = staged.groupBy(*part).agg(*[fold[k](f"__in_{n}").alias(f"__t_{n}") for n, (k, _) in aggs.items()])
+    def total(name: str, kind: str) -> Column:
+        value = F.col(f"__in_{name}")
+        return ends_with(F.struct(value.alias("v")), position) if kind == "prev" else fold[kind](value)
+
+    totals = staged.groupBy(*part).agg(*[total(n, k).alias(f"__t_{n}") for n, (k, _) in aggs.items()])
     before = Window.partitionBy(*keys).orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__bucket").alias("__b"),
-        *[fold[k](f"__t_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in aggs.items()],
+        *[fold.get(k, F.last)(f"__t_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in aggs.items()],
     )
     on = reduce(
         lambda a, b: a & b,
@@ -74,6 +81,9 @@ def running(
         offset = F.col(f"__o_{name}")
         if kind == "rank":
             added[name] = F.rank().over(peers) + F.coalesce(offset, F.lit(0))
+        elif kind == "prev":
+            here = F.lag(F.struct(F.col(f"__in_{name}").alias("v"))).over(ordered)
+            added[name] = F.coalesce(here, offset)["v"]
         elif kind in ("sum", "count"):
             here = F.sum(f"__in_{name}").over(local)
             added[name] = F.when(offset.isNull(), here).otherwise(offset + F.coalesce(here, F.lit(0)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from emberkeep.plans import vector_queries  # noqa: F401
+from emberkeep.plans import artefact_queries, checkpoint_queries, vector_queries  # noqa: F401
 from emberkeep.plans.registry import ORACLE, QUERIES
 
 
