@@ -142,12 +142,12 @@ def paginate(spark, sf_dir):
 
 @query(with_views("v5", """
 with t as (select id, version, list_filter(regexp_split_to_array(lower(slug || ' ' || content_system), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from v5 where status = 'verified'),
-c as (select id, version, len(list_filter(w, lambda x: x = 'data')) as a, len(list_filter(w, lambda x: x = 'table')) as b from t),
+c as (select id, version, len(list_filter(w, lambda x: x = 'ing')) as a, len(list_filter(w, lambda x: x = 'ble')) as b from t),
 s as (select count(*) as n, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from c)
 select id, version, round(a * (ln((n + 1) / (da + 1)) + 1) + b * (ln((n + 1) / (db + 1)) + 1), 6) as score
 from c, s where a + b > 0 order by score desc, id, version limit 10"""))
 def keyword_search(spark, sf_dir):
-    found = R.keyword_search(versions(spark, sf_dir), "data table", ["slug", "content_system"], snippet_col="content_system")
+    found = R.keyword_search(versions(spark, sf_dir), "ing ble", ["slug", "content_system"], snippet_col="content_system")
     return found.select("id", "version", "score")
 
 

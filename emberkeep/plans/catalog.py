@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from emberkeep.plans import artefact_queries, checkpoint_queries, vector_queries  # noqa: F401
+from emberkeep.plans import (  # noqa: F401
+    artefact_queries,
+    checkpoint_queries,
+    document_queries,
+    scan_queries,
+    vector_queries,
+)
 from emberkeep.plans.registry import ORACLE, QUERIES
 
 
