@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberkeep.functions.versions import BUMPS, semver, semver_text
-from emberkeep.operators.running import running
+from emberkeep.operators.running import order_bounds, running
 from emberkeep.operators.vectors import search_topk
 
 # Types, roles in rising order, allowed transitions and page limits.
@@ -322,12 +322,13 @@ def next_version(publishes: DataFrame, v: DataFrame) -> DataFrame:
     def seen(bump: str) -> tuple[str, Column]:
         return "sum", F.when(F.col("step") == bump, 1).otherwise(0)
 
-    counted = running(known, ["id"], "publish_no", [], {f"n_{b}": seen(b) for b in BUMPS})
+    bounds = order_bounds(publishes, "publish_no")
+    counted = running(known, ["id"], "publish_no", [], {f"n_{b}": seen(b) for b in BUMPS}, bounds)
     resets = {
         "minor_reset": ("max", F.when(F.col("step") == "major", F.col("n_minor"))),
         "patch_reset": ("max", F.when(F.col("step").isin("major", "minor"), F.col("n_patch"))),
     }
-    folded = running(counted, ["id"], "publish_no", [], resets)
+    folded = running(counted, ["id"], "publish_no", [], resets, bounds)
     minor = F.coalesce(F.col("n_minor") - F.col("minor_reset"), F.col("minor0") + F.col("n_minor"))
     patch = F.coalesce(F.col("n_patch") - F.col("patch_reset"), F.col("patch0") + F.col("n_patch"))
     return folded.select(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberkeep.functions.codes import case_of
-from emberkeep.operators.running import running
+from emberkeep.operators.running import order_bounds, running
 
 # Response limits by incident class, in hours.
 SLA_HOURS = {"P1": 1, "P2": 4, "P3": 24, "P4": 72}
@@ -102,8 +102,9 @@ def budget_status(log: DataFrame, caps: DataFrame, soft_user_limit: int, run_bud
     """Month-to-date tokens after each interaction, against project, user and run budgets."""
     months = log.withColumns({"month": month_of(F.col("ts")), "__at": F.unix_micros("ts")})
     tokens = ("sum", F.col("tokens_used"))
-    by_project = running(months, ["project_id", "month"], "__at", ["event_id"], {"project_tokens": tokens})
-    by_user = running(by_project, ["user_id", "month"], "__at", ["event_id"], {"user_tokens": tokens})
+    bounds = order_bounds(months, "__at")
+    by_project = running(months, ["project_id", "month"], "__at", ["event_id"], {"project_tokens": tokens}, bounds)
+    by_user = running(by_project, ["user_id", "month"], "__at", ["event_id"], {"user_tokens": tokens}, bounds)
     used = F.try_divide(F.col("project_tokens").cast("double"), F.col("token_cap"))
     status = F.when(used >= APPROVAL_SHARE, "approval").when(used >= ALERT_SHARE, "alert").otherwise("ok")
     return by_user.join(caps.select("project_id", "token_cap"), "project_id", "left").withColumns({

@@ -12,110 +12,137 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+BUCKETS = 256
+PLAIN_ROWS = 1_000_000  # a table this small cannot hold a key too large for one task
 
+Aggs = dict[str, tuple[str, Column]]
+FOLD = {"sum": F.sum, "count": F.sum, "rank": F.sum, "max": F.max, "min": F.min}
 
-def order_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[int | float]:
-    """Cut points of the order column: at most ``buckets`` numbers, read once.
+
+def order_bounds(df: DataFrame, order: str, buckets: int = BUCKETS, plain_rows: int = PLAIN_ROWS) -> list[int | float]:
+    """Cut points of the order column, read once; none for a table that needs no cuts.
 
     They become literals, so every later evaluation of a row, also a repeated
     one after a lost executor, puts it in the same bucket.
     """
-    points = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(order, F.array(*map(F.lit, points)), F.lit(1000)).alias("p")).first()
-    return sorted(set(row.p or []))
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    row = df.agg(F.count("*").alias("n"), F.percentile_approx(order, points, F.lit(2_000)).alias("p")).first()
+    return [] if row.n <= plain_rows else sorted(set(row.p))
 
 
 def _bucket(order: str, bounds: list) -> Column:
+    """How many cut points lie below the value, as a balanced tree of comparisons."""
     if not bounds:
         return F.lit(0)
-    return reduce(lambda a, b: a + b, [(F.col(order) > F.lit(b)).cast("int") for b in bounds])
+
+    def descend(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col(order) > F.lit(bounds[middle]), descend(middle + 1, high)).otherwise(descend(low, middle))
+
+    return descend(0, len(bounds))
+
+
+def _within(part: list[str], order: str, ties: list[str], aggs: Aggs, descending: bool) -> dict[str, Column]:
+    """The running columns inside one window partition."""
+    direction = F.desc if descending else F.asc
+    ordered = Window.partitionBy(*part).orderBy(direction(order), *[direction(t) for t in ties])
+    local = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    peers = Window.partitionBy(*part).orderBy(direction(order))
+    out = {}
+    for name, (kind, _) in aggs.items():
+        value = F.col(f"__in_{name}")
+        if kind == "rank":
+            out[name] = F.rank().over(peers).cast("long")
+        elif kind == "prev":
+            out[name] = F.lag(F.struct(value.alias("v"))).over(ordered)
+        else:
+            out[name] = FOLD[kind](value).over(local)
+    return out
 
 
 def running(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    ties: list[str],
-    aggs: dict[str, tuple[str, Column]],
-    bounds: list | None = None,
-    descending: bool = False,
+    df: DataFrame, keys: list[str], order: str, ties: list[str], aggs: Aggs,
+    bounds: list | None = None, descending: bool = False,
 ) -> DataFrame:
     """Add running ``sum`` / ``count`` / ``max`` / ``min`` / ``rank`` / ``prev`` columns per key.
 
     ``aggs`` maps an output name to (kind, expression).  The frame runs from
     the start of the key to the row itself; ``descending`` reverses the order;
     ``prev`` is the value on the row before.  The order column must be a number
-    and not null, and ``ties`` should make the order total.
+    and not null, and ``ties`` should make the order total.  Pass ``bounds``
+    (``order_bounds`` of the base table) where ``df`` is costly to read twice.
     """
     bounds = order_bounds(df, order) if bounds is None else bounds
-    direction = F.desc if descending else F.asc
     inputs = {n: (F.lit(1) if kind in ("count", "rank") else expr) for n, (kind, expr) in aggs.items()}
-    staged = df.withColumns({"__bucket": _bucket(order, bounds), **{f"__in_{n}": e for n, e in inputs.items()}})
-    fold = {"sum": F.sum, "count": F.sum, "rank": F.sum, "max": F.max, "min": F.min}
+    staged = df.withColumns({f"__in_{n}": e for n, e in inputs.items()})
+    if not bounds:
+        plain = _within(keys, order, ties, aggs, descending)
+        shown = [(c["v"] if aggs[n][0] == "prev" else c).alias(n) for n, c in plain.items()]
+        return staged.select(*df.columns, *shown)
+
+    staged = staged.withColumn("__bucket", _bucket(order, bounds))
     part = [*keys, "__bucket"]
     position = F.struct(order, *ties)
     ends_with = F.min_by if descending else F.max_by
 
     def total(name: str, kind: str) -> Column:
         value = F.col(f"__in_{name}")
-        return ends_with(F.struct(value.alias("v")), position) if kind == "prev" else fold[kind](value)
+        return ends_with(F.struct(value.alias("v")), position) if kind == "prev" else FOLD[kind](value)
 
     totals = staged.groupBy(*part).agg(*[total(n, k).alias(f"__t_{n}") for n, (k, _) in aggs.items()])
+    direction = F.desc if descending else F.asc
     before = Window.partitionBy(*keys).orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         F.col("__bucket").alias("__b"),
-        *[fold.get(k, F.last)(f"__t_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in aggs.items()],
+        *[FOLD.get(k, F.last)(f"__t_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in aggs.items()],
     )
     on = reduce(
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
         F.col("__bucket") == F.col("__b"),
     )
-    ordered = Window.partitionBy(*part).orderBy(direction(order), *[direction(t) for t in ties])
-    local = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    peers = Window.partitionBy(*part).orderBy(direction(order))
-    added = {}
-    for name, (kind, _) in aggs.items():
-        offset = F.col(f"__o_{name}")
-        if kind == "rank":
-            added[name] = F.rank().over(peers) + F.coalesce(offset, F.lit(0))
-        elif kind == "prev":
-            here = F.lag(F.struct(F.col(f"__in_{name}").alias("v"))).over(ordered)
-            added[name] = F.coalesce(here, offset)["v"]
-        elif kind in ("sum", "count"):
-            here = F.sum(f"__in_{name}").over(local)
-            added[name] = F.when(offset.isNull(), here).otherwise(offset + F.coalesce(here, F.lit(0)))
-        else:
-            here = fold[kind](f"__in_{name}").over(local)
+    added = []
+    for name, here in _within(part, order, ties, aggs, descending).items():
+        kind, offset = aggs[name][0], F.col(f"__o_{name}")
+        if kind == "prev":
+            value = F.coalesce(here, offset)["v"]
+        elif kind in ("max", "min"):
             wins = here > offset if kind == "max" else here < offset
-            added[name] = F.when(offset.isNull() | wins, here).otherwise(offset)
-    joined = staged.join(offsets, on, "left")
-    return joined.select(*df.columns, *[c.alias(n) for n, c in added.items()])
+            value = F.when(offset.isNull() | wins, here).otherwise(offset)
+        else:
+            value = F.when(offset.isNull(), here).otherwise(offset + F.coalesce(here, F.lit(0)))
+        added.append(value.alias(name))
+    return staged.join(offsets, on, "left").select(*df.columns, *added)
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], bounds: list | None = None) -> DataFrame:
     """Interpolated percentiles per key from a histogram of distinct values.
 
     The histogram combines on the map side; ranks come from the running count,
     so no group is ever held in memory the way an exact percentile buffer is.
     """
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    cum = running(hist, keys, value, [], {"__upto": ("sum", F.col("__n"))})
+    held = df.where(F.col(value).isNotNull())
+    bounds = order_bounds(held, value) if bounds is None else bounds
+    hist = held.groupBy(*keys, value).agg(F.count("*").alias("__n"))
+    cum = running(hist, keys, value, [], {"__upto": ("sum", F.col("__n"))}, bounds)
     total = hist.groupBy(*keys).agg(F.sum("__n").alias("__total"))
     renamed = total.select(*[F.col(k).alias(f"__p_{k}") for k in keys], "__total")
-    on = [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in keys]
-    ranked = cum.join(renamed, reduce(lambda a, b: a & b, on)) if keys else cum.crossJoin(renamed)
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__p_{k}")) for k in keys])
+    ranked = cum.join(renamed, on)
+
+    def position(q: float) -> Column:
+        return F.lit(q) * (F.col("__total") - 1)
+
     picks = []
     for name, q in points.items():
-        position = F.lit(q) * (F.col("__total") - 1)
-        picks.append(F.min(F.when(F.col("__upto") > F.floor(position), F.col(value))).alias(f"__lo_{name}"))
-        picks.append(F.min(F.when(F.col("__upto") > F.ceil(position), F.col(value))).alias(f"__hi_{name}"))
+        picks.append(F.min(F.when(F.col("__upto") > F.floor(position(q)), F.col(value))).alias(f"__lo_{name}"))
+        picks.append(F.min(F.when(F.col("__upto") > F.ceil(position(q)), F.col(value))).alias(f"__hi_{name}"))
     got = ranked.groupBy(*keys).agg(F.first("__total").alias("__total"), *picks)
     out = []
     for name, q in points.items():
-        position = F.lit(q) * (F.col("__total") - 1)
         low, high = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
+        out.append((low + (high - low) * (position(q) - F.floor(position(q)))).alias(name))
     return got.select(*keys, *out)

@@ -6,6 +6,7 @@ from emberkeep.plans import (  # noqa: F401
     artefact_queries,
     checkpoint_queries,
     document_queries,
+    linetext_queries,
     log_queries,
     scan_queries,
     vector_queries,
