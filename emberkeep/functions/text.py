@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -43,22 +44,23 @@ def line_key(k: Column) -> Column:
 
 def line_number(d: Column) -> Column:
     """A double as plain decimal text: no exponent, no trailing zeros, no -0."""
-    text = F.abs(d).cast("string")
-    whole = F.regexp_extract(text, r"^(\d+)", 1)
-    fraction = F.regexp_extract(text, r"\.(\d+)", 1)
-    power = F.coalesce(F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int"), F.lit(0))
-    digits = F.concat(whole, fraction)
-    point = F.length(whole) + power
-    plain = (
-        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
-        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
-    )
-    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    trimmed = F.regexp_replace(trimmed, r"^0+(?=\d)", "")
+    parts = F.regexp_extract_all(F.abs(d).cast("string"), F.lit(r"\d+|E-?\d+"), F.lit(0))
+    shape = F.struct(
+        F.concat(parts[0], parts[1]).alias("digits"),
+        (F.length(parts[0]) + F.coalesce(F.substring(F.get(parts, F.lit(2)), 2, 9).cast("int"), F.lit(0))).alias("point"))
+
+    def plain(n: Column) -> Column:
+        digits, point = n["digits"], n["point"]
+        return (
+            F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .when(point >= F.length(digits), F.rpad(digits, point, F.lit("0")))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+        )
+
+    trimmed = F.regexp_replace(let(shape, plain), r"(?:(\.\d*?[1-9])0+|\.0*)$", "$1")
+    signed = F.concat(F.when((d < 0), "-").otherwise(""), trimmed)
     finite = ~(F.isnan(d) | (F.abs(d) == float("inf")))
-    sign = F.when((d < 0) & (trimmed != "0"), F.lit("-")).otherwise(F.lit(""))
-    return F.when(d.isNotNull() & finite, F.concat(sign, trimmed)).otherwise(F.lit("null"))
+    return F.when(d.isNotNull() & finite, F.when(d == 0, "0").otherwise(signed)).otherwise("null")
 
 
 def unescaped(body: Column) -> Column:
@@ -71,27 +73,34 @@ def unescaped(body: Column) -> Column:
     return F.array_join(F.transform(pieces, restore), "\\")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times inside an expression."""
+    return F.transform(F.array(value), body)[0]
+
+
 def line_token(s: Column) -> Column:
     """Type a token: struct<kind, value>; numbers that overflow stay strings."""
-    t = F.trim(s)
-    is_quoted = t.rlike(r'(?s)^".*"$') & (F.length(t) >= 2)
-    number = t.rlike(NUMBER)
-    real = number & t.rlike(r"[.eE]")
-    whole = number & ~real & t.try_cast("long").isNotNull()
-    kind = (
-        F.when(is_quoted, F.lit("string"))
-        .when(t.isin("true", "false"), F.lit("boolean"))
-        .when(t == "null", F.lit("null"))
-        .when(real, F.lit("double"))
-        .when(whole, F.lit("long"))
-        .otherwise(F.lit("string"))
-    )
-    value = (
-        F.when(is_quoted, unescaped(F.substring(t, F.lit(2), F.length(t) - 2)))
-        .when(t == "null", F.lit(None).cast("string"))
-        .otherwise(t)
-    )
-    return F.struct(kind.alias("kind"), value.alias("value"))
+
+    def typed(t: Column) -> Column:
+        number = t.rlike(NUMBER)
+        kind = (
+            F.when(t.rlike(r'(?s)^".*"$') & (F.length(t) >= 2), "quoted")
+            .when(t.isin("true", "false"), "boolean")
+            .when(t == "null", "null")
+            .when(number & t.rlike(r"[.eE]"), "double")
+            .when(number & t.try_cast("long").isNotNull(), "long")
+            .otherwise("string")
+        )
+        return F.struct(kind.alias("kind"), t.alias("value"))
+
+    def plain(t: Column) -> Column:
+        value = (
+            F.when(t["kind"] == "quoted", unescaped(F.substring(t["value"], F.lit(2), F.length(t["value"]) - 2)))
+            .when(t["kind"] != "null", t["value"])
+        )
+        return F.struct(F.when(t["kind"] == "quoted", "string").otherwise(t["kind"]).alias("kind"), value.alias("value"))
+
+    return let(let(F.trim(s), typed), plain)
 
 
 def json_string(s: Column) -> Column:
@@ -101,13 +110,12 @@ def json_string(s: Column) -> Column:
 
 def token_json(s: Column) -> Column:
     """A token as a JSON literal."""
-    token = line_token(s)
-    return (
-        F.when(token["kind"] == "null", F.lit("null"))
-        .when(token["kind"] == "string", json_string(token["value"]))
-        .when(token["kind"] == "double", line_number(token["value"].cast("double")))
-        .otherwise(token["value"])
-    )
+    return let(line_token(s), lambda t: (
+        F.when(t["kind"] == "null", "null")
+        .when(t["kind"] == "string", json_string(t["value"]))
+        .when(t["kind"] == "double", let(t["value"].cast("double"), line_number))
+        .otherwise(t["value"])
+    ))
 
 
 def canonical_json(value: Column, pretty: bool = False) -> Column:

@@ -8,7 +8,6 @@ windows and one grouping per nesting level over the same partitioning.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,11 +29,6 @@ LEVELS = 5  # nesting levels the format can produce
 ROWS_PER_BLOCK = 10_000
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once and use it many times inside an expression."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _lines(*parts: Column | str) -> Column:
     return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
 
@@ -101,12 +95,12 @@ def _array_text(head: Column, pad: str, raw: Column, depth: int) -> Column:
         out = F.when(F.size(elements) == 0, empty).when(F.forall(elements, _primitive), inline)
         if depth < MAX_OBJECT_DEPTH:
             rows = F.transform(elements, lambda v: F.when(v["kind"] == "object", _fields(v["raw"])))
-            out = out.otherwise(_let(rows, lambda r: F.when(_is_tabular(r), _tabular(head, pad, r)).otherwise(listed)))
+            out = out.otherwise(T.let(rows, lambda r: F.when(_is_tabular(r), _tabular(head, pad, r)).otherwise(listed)))
         else:
             out = out.otherwise(listed)
         return out
 
-    return _let(_elements(raw), of)
+    return T.let(_elements(raw), of)
 
 
 def _names(fields: Column) -> Column:
@@ -139,7 +133,7 @@ def _item_text(v: Column, depth: int) -> Column:
     def of_object(fields: Column) -> Column:
         def later(f: Column) -> Column:
             head = F.concat(F.lit(pad), T.line_key(f["key"]))
-            return _let(f["v"], lambda x: F.when(
+            return T.let(f["v"], lambda x: F.when(
                 x["kind"] == "array", F.when(
                     F.forall(_elements(x["raw"]), _primitive), _array_text_flat(head, pad, x["raw"]))
                 .otherwise(F.concat(head, F.lit(": "), _inline_json(x["raw"])))
@@ -160,14 +154,14 @@ def _item_text(v: Column, depth: int) -> Column:
         return F.when(F.forall(elements, _primitive), plain).otherwise(F.concat(F.lit("- "), _inline_json(v["raw"])))
 
     return (
-        F.when(v["kind"] == "object", _let(_fields(v["raw"]), of_object))
-        .when(v["kind"] == "array", _let(_elements(v["raw"]), of_array))
+        F.when(v["kind"] == "object", T.let(_fields(v["raw"]), of_object))
+        .when(v["kind"] == "array", T.let(_elements(v["raw"]), of_array))
         .otherwise(F.concat(F.lit("- "), _token(v)))
     )
 
 
 def _array_text_flat(head: Column, pad: str, raw: Column) -> Column:
-    return _let(_elements(raw), lambda e: F.when(
+    return T.let(_elements(raw), lambda e: F.when(
         F.size(e) == 0, _lines(F.concat(head, F.lit("[0]:")), pad + CLOSE)
     ).otherwise(F.concat(head, F.lit("["), F.size(e).cast("string"), F.lit("]: "), _cells(F.transform(e, _token)))))
 
