@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from emberkeep.functions import text as T
 from emberkeep.operators.running import running
+from emberkeep.session import work_dir
 
 # Fixed values of the format.
 HEADER_LINES = ["%lson 1.0", "%delimiter comma", "%strict true", "---"]
@@ -543,8 +544,16 @@ def canonical(json: Column) -> Column:
 
 
 def roundtrip_audit(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """Encode, validate, decode and compare every document."""
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("before"), encode_json(F.col(json_col)).alias("text"))
+    """Encode, validate, decode and compare every document.
+
+    The encoded texts feed three branches, so they are written once to the
+    shared work folder rather than encoded three times.
+    """
+    spark = docs.sparkSession
+    path = work_dir(spark, "roundtrip")
+    encoded = encode_json(F.col(json_col)).alias("text")
+    docs.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("before"), encoded).write.parquet(path)
+    source = spark.read.parquet(path)
     back = decode_docs(source).select("doc_id", F.col("json").alias("after"), "errors")
     judged = validation_summary(validate_docs(source)).select("doc_id", F.col("errors").alias("n_errors"))
     joined = source.join(back, "doc_id", "left").join(judged, "doc_id", "left")

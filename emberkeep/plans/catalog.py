@@ -9,6 +9,7 @@ from emberkeep.plans import (  # noqa: F401
     linetext_queries,
     log_queries,
     scan_queries,
+    stream_queries,
     vector_queries,
 )
 from emberkeep.plans.registry import ORACLE, QUERIES
