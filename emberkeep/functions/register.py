@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from emberkeep.functions import security
 from emberkeep.functions.codes import ERROR_CODES, FRESH_MS
-from emberkeep.functions.text import BARE_KEY, MUST_QUOTE
+from emberkeep.functions.text import key_sql, quote_sql
 from emberkeep.functions.versions import SEMVER
 
 
@@ -19,11 +19,6 @@ def _cases(key: str, table: dict) -> str:
         f"when {k!r} then {v!r}" for k, v in table.items()) + " end"
 
 
-def _quoted(arg: str) -> str:
-    return (f"concat('\"', replace(replace(replace(replace(replace({arg}, '\\\\', '\\\\\\\\'), '\"', '\\\\\"'), "
-            "'\\n', '\\\\n'), '\\r', '\\\\r'), '\\t', '\\\\t'), '\"')")
-
-
 def _definitions() -> dict[str, tuple[str, str, str]]:
     dot = "aggregate(zip_with(a, b, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)"
     part = [f"try_cast(regexp_extract(s, {_lit(SEMVER)}, {i}) as int)" for i in (1, 2, 3)]
@@ -42,9 +37,9 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
                         "format_string('%.1f KB', round(b / 1024D, 1)) else "
                         "format_string('%.2f MB', round(b / 1048576D, 2)) end"),
         "line_quote": ("s string", "string",
-                       f"case when s is null then 'null' when s rlike {_lit(MUST_QUOTE)} then {_quoted('s')} else s end"),
+                       f"case when s is null then 'null' else {quote_sql('s')} end"),
         "line_key": ("k string", "string",
-                     f"case when k rlike {_lit(BARE_KEY)} then k else {_quoted('k')} end"),
+                     key_sql("k")),
         "semver": ("s string", "struct<major int, minor int, patch int, release int, pre string>",
                    f"case when s rlike {_lit(SEMVER)} then named_struct('major', {part[0]}, 'minor', {part[1]}, "
                    f"'patch', {part[2]}, 'release', case when {pre} = '' then 1 else 0 end, 'pre', {pre}) end"),

@@ -33,6 +33,36 @@ def quoted(s: Column) -> Column:
     return F.concat(F.lit('"'), _escaped(s), F.lit('"'))
 
 
+# The same rules as SQL text, for expressions composed as text.
+
+
+def quoted_sql(s: str) -> str:
+    body = s
+    for plain, escaped in [("\\\\", "\\\\\\\\"), ('"', '\\\\"'), ("\\n", "\\\\n"), ("\\r", "\\\\r"), ("\\t", "\\\\t")]:
+        body = f"replace({body}, '{plain}', '{escaped}')"
+    return f"""concat('"', {body}, '"')"""
+
+
+def quote_sql(s: str) -> str:
+    return f"case when {s} rlike r'{MUST_QUOTE}' then {quoted_sql(s)} else {s} end"
+
+
+def key_sql(k: str) -> str:
+    return f"case when {k} rlike r'{BARE_KEY}' then {k} else {quoted_sql(k)} end"
+
+
+def number_sql(d: str) -> str:
+    shape = ("named_struct('digits', concat(p[0], p[1]), 'point', "
+             "length(p[0]) + coalesce(cast(substring(get(p, 2), 2, 9) as int), 0))")
+    plain = ("case when n.point <= 0 then concat('0.', repeat('0', -n.point), n.digits) "
+             "when n.point >= length(n.digits) then rpad(n.digits, n.point, '0') "
+             "else concat(substring(n.digits, 1, n.point), '.', substring(n.digits, n.point + 1, length(n.digits))) end")
+    text = (rf"transform(transform(array(regexp_extract_all(cast(abs(d) as string), r'\d+|E-?\d+', 0)), p -> {shape}), n -> "
+            rf"regexp_replace({plain}, r'(?:(\.\d*?[1-9])0+|\.0*)$', '$1'))[0]")
+    whole = f"case when d = 0 then '0' else concat(case when d < 0 then '-' else '' end, {text}) end"
+    return f"transform(array({d}), d -> {whole})[0]"
+
+
 def line_quote(s: Column) -> Column:
     """A cell or value: quoted only where reading it back would change it."""
     return F.when(s.isNull(), F.lit("null")).when(s.rlike(MUST_QUOTE), quoted(s)).otherwise(s)

@@ -35,171 +35,132 @@ def _lines(*parts: Column | str) -> Column:
 
 
 # --- encoding -------------------------------------------------------------------
+#
+# The encoder is composed as SQL text: three structural levels make a large
+# expression, and one parse in the JVM builds it far faster than thousands of
+# Column calls.  ``let`` binds a value to a name inside the expression.
 
 
-def _kind(variant: Column) -> Column:
-    name = F.coalesce(F.schema_of_variant(variant), F.lit("VOID"))
-    return (
-        F.when(name.startswith("OBJECT"), "object").when(name.startswith("ARRAY"), "array")
-        .when(name == "STRING", "string").when(name == "VOID", "null").when(name == "BOOLEAN", "boolean")
-        .when(name == "BIGINT", "long").otherwise("double")
-    )
+def _let(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _typed(raw: Column, variant: Column) -> Column:
-    return F.struct(raw.alias("raw"), _kind(variant).alias("kind"))
+def _kind_sql(variant: str) -> str:
+    return _let(f"coalesce(schema_of_variant({variant}), 'VOID')", "n", """case when n like 'OBJECT%' then 'object'
+        when n like 'ARRAY%' then 'array' when n = 'STRING' then 'string' when n = 'VOID' then 'null'
+        when n = 'BOOLEAN' then 'boolean' when n = 'BIGINT' then 'long' else 'double' end""")
 
 
-def _fields(raw: Column) -> Column:
-    """array<struct<key, v: struct<raw, kind>>> of a JSON object's text, in its own order."""
-    texts = F.map_entries(F.from_json(raw, "map<string,string>"))
-    variants = F.map_values(F.from_json(raw, "map<string,variant>"))
-    return F.zip_with(texts, variants, lambda e, v: F.struct(e["key"].alias("key"), _typed(e["value"], v).alias("v")))
+def _fields_sql(raw: str) -> str:
+    """array<struct<key, raw, kind>> of a JSON object's text, in its own order."""
+    return (f"zip_with(map_entries(from_json({raw}, 'map<string,string>')), map_values(from_json({raw}, 'map<string,variant>')), "
+            f"(t, w) -> named_struct('key', t.key, 'raw', t.value, 'kind', {_kind_sql('w')}))")
 
 
-def _elements(raw: Column) -> Column:
-    return F.zip_with(F.from_json(raw, "array<string>"), F.from_json(raw, "array<variant>"), _typed)
+def _elements_sql(raw: str) -> str:
+    return (f"zip_with(from_json({raw}, 'array<string>'), from_json({raw}, 'array<variant>'), "
+            f"(t, w) -> named_struct('raw', t, 'kind', {_kind_sql('w')}))")
 
 
-def _primitive(v: Column) -> Column:
-    return ~v["kind"].isin("object", "array")
+def _is_plain(v: str) -> str:
+    return f"({v}.kind not in ('object', 'array'))"
 
 
-def _token(v: Column) -> Column:
-    kind = v["kind"]
-    return (
-        F.when(kind == "null", "null").when(kind == "string", T.line_quote(v["raw"]))
-        .when(kind == "double", T.line_number(v["raw"].cast("double"))).otherwise(v["raw"])
-    )
+def _token_sql(v: str) -> str:
+    number = T.number_sql(f"cast({v}.raw as double)")
+    return (f"case {v}.kind when 'null' then 'null' when 'string' then {T.quote_sql(f'{v}.raw')} "
+            f"when 'double' then {number} else {v}.raw end")
 
 
-def _inline_json(raw: Column) -> Column:
+def _inline_sql(raw: str) -> str:
     """JSON text with a space after every comma and colon outside strings."""
-    return F.regexp_replace(raw, rf'((?:[^",:]|{QUOTED})*)([,:])', "$1$2 ")
-
+    return f"""regexp_replace({raw}, r'((?:[^",:]|{QUOTED})*)([,:])', '$1$2 ')"""
 
-def _cells(tokens: Column) -> Column:
-    return F.array_join(tokens, ", ")
 
+def _cells_sql(elements: str) -> str:
+    return f"array_join(transform({elements}, c -> {_token_sql('c')}), ', ')"
 
-def _array_text(head: Column, pad: str, raw: Column, depth: int) -> Column:
-    """An array after its key: inline, tabular or as a list."""
-    inner = pad + INDENT
 
-    def of(elements: Column) -> Column:
-        count = F.size(elements).cast("string")
-        empty = _lines(F.concat(head, F.lit("[0]:")), pad + CLOSE)
-        inline = F.concat(head, F.lit("["), count, F.lit("]: "), _cells(F.transform(elements, _token)))
-        listed = _lines(
-            F.concat(head, F.lit("["), count, F.lit("]:")),
-            F.array_join(F.transform(elements, lambda v: F.concat(F.lit(inner), _item_text(v, depth))), "\n"), pad + CLOSE)
-        out = F.when(F.size(elements) == 0, empty).when(F.forall(elements, _primitive), inline)
-        if depth < MAX_OBJECT_DEPTH:
-            rows = F.transform(elements, lambda v: F.when(v["kind"] == "object", _fields(v["raw"])))
-            out = out.otherwise(T.let(rows, lambda r: F.when(_is_tabular(r), _tabular(head, pad, r)).otherwise(listed)))
-        else:
-            out = out.otherwise(listed)
-        return out
+def _flat_sql(head: str, pad: str, elements: str) -> str:
+    """An array of primitives after its key."""
+    return (f"case when size({elements}) = 0 then concat({head}, '[0]:\n{pad}{CLOSE}') "
+            f"else concat({head}, '[', size({elements}), ']: ', {_cells_sql(elements)}) end")
 
-    return T.let(_elements(raw), of)
 
-
-def _names(fields: Column) -> Column:
-    return F.transform(fields, lambda f: f["key"])
-
-
-def _is_tabular(rows: Column) -> Column:
+def _tabular_sql(rows: str) -> str:
     """All objects, one key set, only primitive values."""
-    first = F.array_sort(_names(rows[0]))
-    return F.forall(rows, lambda r: F.coalesce(
-        (F.size(r) > 0) & (F.array_sort(_names(r)) == first) & F.forall(r, lambda f: _primitive(f["v"])), F.lit(False)))
+    def names(r: str) -> str:
+        return f"array_sort(transform({r}, f -> f.key))"
+    return (f"forall({rows}, r -> coalesce(size(r) > 0 and {names('r')} = {names(rows + '[0]')} "
+            f"and forall(r, f -> {_is_plain('f')}), false))")
 
 
-def _tabular(head: Column, pad: str, rows: Column) -> Column:
-    names = _names(rows[0])
-    title = F.concat(
-        head, F.lit("["), F.size(rows).cast("string"), F.lit("]{"), _cells(F.transform(names, T.line_key)), F.lit("}:"))
+def _rows_sql(elements: str) -> str:
+    return f"transform({elements}, v -> case when v.kind = 'object' then {_fields_sql('v.raw')} end)"
 
-    def row(fields: Column) -> Column:
-        values = F.map_from_entries(fields)
-        return F.concat(F.lit(pad + INDENT), _cells(F.transform(names, lambda n: _token(F.element_at(values, n)))))
 
-    return _lines(title, F.array_join(F.transform(rows, row), "\n"), pad + CLOSE)
+def _table_sql(head: str, pad: str, rows: str) -> str:
+    names = f"transform({rows}[0], f -> {T.key_sql('f.key')})"
+    picked = f"map_from_entries(transform(r, f -> struct(f.key, struct(f.raw as raw, f.kind as kind))))"
+    cells = _let(picked, "m", f"array_join(transform({rows}[0], f -> {_let('m[f.key]', 'c', _token_sql('c'))}), ', ')")
+    lines = f"array_join(transform({rows}, r -> concat('{pad}{INDENT}', {cells})), '\n')"
+    return f"concat({head}, '[', size({rows}), ']{{', array_join({names}, ', '), '}}:\n', {lines}, '\n{pad}{CLOSE}')"
 
 
-def _item_text(v: Column, depth: int) -> Column:
+def _item_sql(v: str, depth: int) -> str:
     """A list item after its indentation; objects put their first field on the hyphen line."""
     pad = INDENT * (depth + 2)
-
-    def of_object(fields: Column) -> Column:
-        def later(f: Column) -> Column:
-            head = F.concat(F.lit(pad), T.line_key(f["key"]))
-            return T.let(f["v"], lambda x: F.when(
-                x["kind"] == "array", F.when(
-                    F.forall(_elements(x["raw"]), _primitive), _array_text_flat(head, pad, x["raw"]))
-                .otherwise(F.concat(head, F.lit(": "), _inline_json(x["raw"])))
-            ).when(x["kind"] == "object", F.concat(head, F.lit(": "), _inline_json(x["raw"])))
-                .otherwise(F.concat(head, F.lit(": "), _token(x))))
-
-        first = F.concat(F.lit("- "), T.line_key(fields[0]["key"]), F.lit(": "), _token(fields[0]["v"]))
-        rest = F.transform(F.slice(fields, F.lit(2), F.size(fields)), later)
-        return (
-            F.when(F.size(fields) == 0, "-")
-            .when(_primitive(fields[0]["v"]), F.array_join(F.concat(F.array(first), rest), "\n"))
-            .otherwise(F.concat(F.lit("- "), _inline_json(v["raw"])))
-        )
-
-    def of_array(elements: Column) -> Column:
-        plain = F.concat(
-            F.lit("- ["), F.size(elements).cast("string"), F.lit("]: "), _cells(F.transform(elements, _token)))
-        return F.when(F.forall(elements, _primitive), plain).otherwise(F.concat(F.lit("- "), _inline_json(v["raw"])))
-
-    return (
-        F.when(v["kind"] == "object", T.let(_fields(v["raw"]), of_object))
-        .when(v["kind"] == "array", T.let(_elements(v["raw"]), of_array))
-        .otherwise(F.concat(F.lit("- "), _token(v)))
-    )
-
-
-def _array_text_flat(head: Column, pad: str, raw: Column) -> Column:
-    return T.let(_elements(raw), lambda e: F.when(
-        F.size(e) == 0, _lines(F.concat(head, F.lit("[0]:")), pad + CLOSE)
-    ).otherwise(F.concat(head, F.lit("["), F.size(e).cast("string"), F.lit("]: "), _cells(F.transform(e, _token)))))
+    inline = f"concat(h, ': ', {_inline_sql('g.raw')})"
+    array = _let(_elements_sql("g.raw"), "u", f"case when forall(u, x -> {_is_plain('x')}) then {_flat_sql('h', pad, 'u')} else {inline} end")
+    later = _let(f"concat('{pad}', {T.key_sql('g.key')})", "h", f"""case g.kind when 'array' then {array}
+        when 'object' then {inline} else concat(h, ': ', {_token_sql('g')}) end""")
+    first = f"concat('- ', {T.key_sql('o[0].key')}, ': ', {_let('o[0]', 'c', _token_sql('c'))})"
+    of_object = f"""case when size(o) = 0 then '-' when {_is_plain('o[0]')} then
+        array_join(concat(array({first}), transform(slice(o, 2, size(o)), g -> {later})), '\n')
+        else concat('- ', {_inline_sql(v + '.raw')}) end"""
+    of_array = f"""case when forall(o, x -> {_is_plain('x')}) then concat('- [', size(o), ']: ', {_cells_sql('o')})
+        else concat('- ', {_inline_sql(v + '.raw')}) end"""
+    return (f"case {v}.kind when 'object' then {_let(_fields_sql(v + '.raw'), 'o', of_object)} "
+            f"when 'array' then {_let(_elements_sql(v + '.raw'), 'o', of_array)} else concat('- ', {_token_sql(v)}) end")
+
+
+def _array_sql(head: str, pad: str, raw: str, depth: int) -> str:
+    """An array after its key: inline, tabular or as a list."""
+    items = f"array_join(transform(e, i -> concat('{pad}{INDENT}', {_item_sql('i', depth)})), '\n')"
+    block = f"concat({head}, '[', size(e), ']:\n', {items}, '\n{pad}{CLOSE}')"
+    if depth < MAX_OBJECT_DEPTH:
+        block = _let(_rows_sql("e"), "rs", f"case when {_tabular_sql('rs')} then {_table_sql(head, pad, 'rs')} else {block} end")
+    return _let(_elements_sql(raw), "e", f"case when forall(e, x -> {_is_plain('x')}) then {_flat_sql(head, pad, 'e')} else {block} end")
 
 
-def _field_text(f: Column, depth: int) -> Column:
-    pad = INDENT * depth
-    head = F.concat(F.lit(pad), T.line_key(f["key"]))
-    raw = f["v"]["raw"]
+def _object_sql(raw: str, depth: int) -> str:
+    pad, f, h = INDENT * depth, f"f{depth}", f"h{depth}"
     if depth >= MAX_OBJECT_DEPTH:
-        nested = F.concat(head, F.lit(": "), _inline_json(raw))
+        nested = f"concat({h}, ': ', {_inline_sql(f + '.raw')})"
     else:
-        nested = _lines(F.concat(head, F.lit(":")), _object_text(raw, depth + 1))
-    return (
-        F.when(f["v"]["kind"] == "object", F.when(raw == "{}", F.concat(head, F.lit(": {}"))).otherwise(nested))
-        .when(f["v"]["kind"] == "array", _array_text(head, pad, raw, depth))
-        .otherwise(F.concat(head, F.lit(": "), _token(f["v"])))
-    )
-
-
-def _object_text(raw: Column, depth: int) -> Column:
-    return F.array_join(F.transform(_fields(raw), lambda f: _field_text(f, depth)), "\n")
+        nested = f"concat({h}, ':\n', {_object_sql(f + '.raw', depth + 1)})"
+    value = f"""case {f}.kind when 'object' then case when {f}.raw = '{{}}' then concat({h}, ': {{}}') else {nested} end
+        when 'array' then {_array_sql(h, pad, f + '.raw', depth)} else concat({h}, ': ', {_token_sql(f)}) end"""
+    line = _let(f"concat('{pad}', {T.key_sql(f + '.key')})", h, value)
+    return f"array_join(transform({_fields_sql(raw)}, {f} -> {line}), '\n')"
 
 
-def encode_json(json: Column) -> Column:
+def encode_json(json_col: str) -> Column:
     """JSON text as a document of the line format; null where it is not JSON."""
-    root = F.try_parse_json(json)
-    kind = _kind(root)
-    body = (
-        F.when(kind == "object", _object_text(json, 0))
-        .when(kind == "array", _array_text(F.lit(""), "", json, 0))
-        .otherwise(_token(_typed(F.try_variant_get(root, "$", "string"), root)))
-    )
-    return F.when(root.isNotNull(), _lines(*HEADER_LINES, body))
+    j = f"`{json_col}`"
+    root = f"try_parse_json({j})"
+    single = _let(f"named_struct('raw', try_variant_get({root}, '$', 'string'), 'kind', {_kind_sql(root)})", "c", _token_sql("c"))
+    head = "\\n".join(HEADER_LINES)
+    return F.expr(f"""case when {root} is null then null else concat('{head}\n', case {_kind_sql(root)}
+        when 'object' then {_object_sql(j, 0)} when 'array' then {_array_sql("''", '', j, 0)} else {single} end) end""")
 
 
 def encode_json_docs(df: DataFrame, json_col: str, out: str = "text") -> DataFrame:
-    return df.withColumn(out, encode_json(F.col(json_col)))
+    return df.withColumn(out, encode_json(json_col))
+
+
+def _cells(tokens: Column) -> Column:
+    return F.array_join(tokens, ", ")
 
 
 def encode_table(
@@ -551,7 +512,7 @@ def roundtrip_audit(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """
     spark = docs.sparkSession
     path = work_dir(spark, "roundtrip")
-    encoded = encode_json(F.col(json_col)).alias("text")
+    encoded = encode_json(json_col).alias("text")
     docs.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("before"), encoded).write.parquet(path)
     source = spark.read.parquet(path)
     back = decode_docs(source).select("doc_id", F.col("json").alias("after"), "errors")
@@ -577,15 +538,14 @@ def audit_rate(audit: DataFrame) -> DataFrame:
 
 def profile_json_arrays(docs: DataFrame, json_col: str) -> DataFrame:
     """Which array fields of JSON objects qualify for tabular form, over the corpus."""
-    fields = docs.select(F.explode(_fields(F.col(json_col))).alias("f")).where("f.v.kind = 'array'")
-    parsed = fields.select(F.col("f.key").alias("field"), _elements(F.col("f.v.raw")).alias("e"))
-    rows = F.transform("e", lambda v: F.when(v["kind"] == "object", _fields(v["raw"])))
-    shaped = parsed.withColumn("rows", rows)
-    tabular = (F.size("e") > 0) & _is_tabular(F.col("rows"))
-    columns = F.when(tabular, F.array_join(F.array_sort(_names(F.col("rows")[0])), ","))
+    fields = docs.select(F.explode(F.expr(_fields_sql(f"`{json_col}`"))).alias("f")).where("f.kind = 'array'")
+    parsed = fields.select(F.col("f.key").alias("field"), F.expr(_elements_sql("f.raw")).alias("e"))
+    shaped = parsed.withColumn("rows", F.expr(_rows_sql("e")))
+    tabular = (F.size("e") > 0) & F.expr(_tabular_sql("rows"))
+    columns = F.when(tabular, F.array_join(F.array_sort(F.transform(F.col("rows")[0], lambda f: f["key"])), ","))
     profiled = shaped.select(
         "field", F.size("e").alias("n"), F.coalesce(tabular, F.lit(False)).alias("tabular"),
-        F.forall("e", _primitive).alias("primitive"), columns.alias("columns"))
+        F.expr(f"forall(e, x -> {_is_plain('x')})").alias("primitive"), columns.alias("columns"))
     return profiled.groupBy("field").agg(
         F.count("*").alias("arrays"), F.sum("n").alias("elements"), F.bool_and("tabular").alias("all_tabular"),
         F.bool_and("primitive").alias("all_primitive"), F.count_distinct("columns").alias("key_sets"), F.min("columns").alias("columns"))

@@ -19,7 +19,7 @@ Aggs = dict[str, tuple[str, Column]]
 FOLD = {"sum": F.sum, "count": F.sum, "rank": F.sum, "max": F.max, "min": F.min}
 
 
-def order_bounds(df: DataFrame, order: str, buckets: int = BUCKETS, plain_rows: int = PLAIN_ROWS) -> list[int | float]:
+def order_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[int | float]:
     """Cut points of the order column, read once; none for a table that needs no cuts.
 
     They become literals, so every later evaluation of a row, also a repeated
@@ -27,7 +27,7 @@ def order_bounds(df: DataFrame, order: str, buckets: int = BUCKETS, plain_rows:
     """
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
     row = df.agg(F.count("*").alias("n"), F.percentile_approx(order, points, F.lit(2_000)).alias("p")).first()
-    return [] if row.n <= plain_rows else sorted(set(row.p))
+    return [] if row.n <= PLAIN_ROWS else sorted(set(row.p))
 
 
 def _bucket(order: str, bounds: list) -> Column:

@@ -120,9 +120,9 @@ def _hash_block(column: str, blocks: int):
 def _grid_topk(entries: DataFrame, queries: DataFrame, k: int, n_queries: int) -> DataFrame:
     e_blocks = max(1, math.ceil(entries.count() / BLOCK_ROWS))
     q_blocks = max(1, math.ceil(n_queries / BLOCK_ROWS))
-    left = entries.withColumns({
+    left = entries.select("id", F.col("embedding").alias("embedding")).withColumns({
         "e": _hash_block("id", e_blocks), "q": F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))})
-    right = queries.withColumns({
+    right = queries.select("query_id", F.col("embedding").alias("embedding")).withColumns({
         "q": _hash_block("query_id", q_blocks), "e": F.explode(F.sequence(F.lit(0), F.lit(e_blocks - 1)))})
 
     def kernel(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -201,8 +201,9 @@ def similarity_join(
         return F.coalesce(F.element_at(F.create_map(*pairs), F.col("home")), F.lit(1)) if pairs else F.lit(1)
 
     def cells(df: DataFrame, own: str, own_split: dict, other: str, other_split: dict) -> DataFrame:
+        # Aliases give both sides columns of their own where they come from one table.
         return df.select(
-            "id", "embedding", "home",
+            *[F.col(c).alias(c) for c in ("id", "embedding", "home")],
             F.pmod(F.xxhash64("id"), split_of(own_split)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), split_of(other_split) - 1)).alias(other),
         )
