@@ -204,10 +204,13 @@ def keyword_search(
     if not terms:
         raise ValueError("the search has no terms")
     rows = docs if status is None else docs.where(F.col("status") == status)
-    words = tokens(F.concat_ws(" ", *text_cols))
-    counts = F.transform(
-        F.array(*map(F.lit, terms)), lambda term: F.size(F.filter("__words", lambda w: w == term)))
-    counted = rows.withColumn("__words", words).withColumn("__tf", counts)
+    text = F.lower(F.concat_ws(" ", *text_cols))
+    # Only a text that holds a term somewhere is cut into words.
+    candidate = reduce(lambda a, b: a | b, [F.contains("__text", F.lit(t)) for t in terms])
+    held = F.filter(tokens(F.col("__text")), lambda w: w.isin(terms))
+    counts = F.transform(F.array(*map(F.lit, terms)), lambda term: F.size(F.filter("__words", lambda w: w == term)))
+    counted = rows.withColumn("__text", text).withColumn(
+        "__words", F.when(candidate, held).otherwise(F.array().cast("array<string>"))).withColumn("__tf", counts).drop("__text")
     stats = counted.agg(
         F.count("*").alias("n"), *[F.count_if(F.col("__tf")[i] > 0).alias(f"d{i}") for i in range(len(terms))])
     packed = stats.select(F.struct(*stats.columns).alias("s")).scalar()

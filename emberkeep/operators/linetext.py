@@ -241,7 +241,8 @@ def split_cells(text: Column, delimiter: Column) -> Column:
     def by(d: str) -> Column:
         escaped = "\\|" if d == "|" else d
         found = F.regexp_extract_all(F.concat(text, F.lit(d)), F.lit(rf'((?:{QUOTED}|[^{escaped}"])*){escaped}'), F.lit(1))
-        return F.transform(found, lambda x: F.trim(x))
+        cells = F.when(F.contains(text, F.lit('"')), found).otherwise(F.split(text, escaped, -1))
+        return F.transform(cells, lambda x: F.trim(x))
 
     return F.when(delimiter == "|", by("|")).when(delimiter == "\t", by("\t")).otherwise(by(","))
 

@@ -3,68 +3,78 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-# The canonical rules (id, severity, pattern).
+# The canonical rules (id, severity, pattern), each with a
+# lower-case literal that every match contains.
 RULES = [
-    ("INJ-C001", "critical", r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+instructions"),
-    ("INJ-C002", "critical", r"(?i)disregard\s+your\s+(system|original)\s+prompt"),
-    ("INJ-C003", "critical", r"(?i)\{\{.*?(exec|eval|__import__|subprocess|os\.system).*?\}\}"),
-    ("INJ-C004", "critical", r"(?i)<\s*script\b"),
-    ("INJ-C005", "critical", r"(?i)new\s+role\s*:"),
-    ("INJ-H001", "high", r"(?i)you\s+are\s+now\s+(a|an)\s+"),
-    ("INJ-H002", "high", r"(?i)system\s*:\s*override"),
-    ("INJ-H003", "high", r"(?i)\[SYSTEM\]"),
-    ("INJ-H004", "high", r"<!--[\s\S]*?-->"),
-    ("INJ-M001", "medium", r"(?i)pretend\s+(you\s+are|to\s+be)\s+"),
-    ("INJ-M002", "medium", r"(?i)as\s+(a|an)\s+AI\s+without\s+restrictions"),
+    ("INJ-C001", "critical", r"(?i)ignore\s+(all\s+)?(previous|above|prior)\s+instructions", "ignore"),
+    ("INJ-C002", "critical", r"(?i)disregard\s+your\s+(system|original)\s+prompt", "disregard"),
+    ("INJ-C003", "critical", r"(?i)\{\{.*?(exec|eval|__import__|subprocess|os\.system).*?\}\}", "{{"),
+    ("INJ-C004", "critical", r"(?i)<\s*script\b", "script"),
+    ("INJ-C005", "critical", r"(?i)new\s+role\s*:", "role"),
+    ("INJ-H001", "high", r"(?i)you\s+are\s+now\s+(a|an)\s+", "now"),
+    ("INJ-H002", "high", r"(?i)system\s*:\s*override", "override"),
+    ("INJ-H003", "high", r"(?i)\[SYSTEM\]", "[system]"),
+    ("INJ-H004", "high", r"<!--[\s\S]*?-->", "<!--"),
+    ("INJ-M001", "medium", r"(?i)pretend\s+(you\s+are|to\s+be)\s+", "pretend"),
+    ("INJ-M002", "medium", r"(?i)as\s+(a|an)\s+AI\s+without\s+restrictions", "restrictions"),
 ]
 RULE_LIMIT = 500  # rules become literals of the plan
 SEVERITIES = ["low", "medium", "high", "critical"]
 WEIGHTS = {"critical": 40, "high": 20, "medium": 5}  # ours: points taken off 100
 
 
-def load_rules(rules: DataFrame) -> list[tuple[str, str, str]]:
+Rule = tuple[str, str, str, str]
+
+
+def load_rules(rules: DataFrame) -> list[Rule]:
     """A rule table (id, severity, pattern) as literals; refuses one that is not small."""
     rows = rules.select("id", "severity", "pattern").limit(RULE_LIMIT + 1).collect()
     if len(rows) > RULE_LIMIT:
         raise ValueError(f"more than {RULE_LIMIT} rules")
-    return [tuple(r) for r in rows]
+    return [(*r, "") for r in rows]
+
+
+def _may_match(lowered: Column, literal: str) -> Column:
+    """A byte search that settles most texts before any pattern runs."""
+    return F.contains(lowered, F.lit(literal)) if literal else F.lit(True)
 
 
-def any_rule(text: Column, rules: list[tuple[str, str, str]]) -> Column:
-    """One pattern for all rules: rejects clean text in a single pass."""
-    return text.rlike("|".join(f"(?:{p})" for _, _, p in rules))
+def any_rule(lowered: Column, rules: list[Rule]) -> Column:
+    return reduce(lambda a, b: a | b, [_may_match(lowered, r[3]) for r in rules])
 
 
-def matches(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+def matches(text: Column, lowered: Column, rules: list[Rule]) -> Column:
     """array<struct<rule_id, severity, position, match>>, first match per rule."""
     hits = [
-        F.when(text.rlike(p), F.struct(
+        F.when(_may_match(lowered, literal) & text.rlike(p), F.struct(
             F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.regexp_instr(text, F.lit(p)).alias("position"),
             F.regexp_substr(text, F.lit(p)).alias("match")))
-        for i, s, p in rules
+        for i, s, p, literal in rules
     ]
     return F.array_compact(F.array(*hits))
 
 
-def scan_rules(docs: DataFrame, text: str, keys: list[str], rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def scan_rules(docs: DataFrame, text: str, keys: list[str], rules: list[Rule] = RULES) -> DataFrame:
     """Every (document, rule) match with its severity and place; no join, no shuffle."""
-    suspects = docs.where(any_rule(F.col(text), rules))
-    found = suspects.select(*keys, F.col(text).alias("__text"), F.explode(matches(F.col(text), rules)).alias("f"))
+    suspects = docs.select(*keys, F.col(text).alias("__text"), F.lower(text).alias("__low")).where(any_rule(F.col("__low"), rules))
+    found = suspects.select(*keys, "__text", F.explode(matches(F.col("__text"), F.col("__low"), rules)).alias("f"))
     before = F.substring(F.col("__text"), F.lit(1), F.col("f.position") - 1)
     return found.select(*keys, "f.*", (F.regexp_count(before, F.lit("\n")) + 1).alias("line"))
 
 
-def line_findings(docs: DataFrame, text: str, keys: list[str], rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+def line_findings(docs: DataFrame, text: str, keys: list[str], rules: list[Rule] = RULES) -> DataFrame:
     """One row per rule and line it matches, with the line number and matched text."""
-    suspects = docs.where(any_rule(F.col(text), rules))
+    suspects = docs.where(any_rule(F.lower(text), rules))
     lines = suspects.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "__text"))
-    found = lines.where(any_rule(F.col("__text"), rules)).select(
-        *keys, (F.col("line") + 1).alias("line"), F.explode(matches(F.col("__text"), rules)).alias("f"))
+    lowered = lines.withColumn("__low", F.lower("__text")).where(any_rule(F.col("__low"), rules))
+    found = lowered.select(
+        *keys, (F.col("line") + 1).alias("line"), F.explode(matches(F.col("__text"), F.col("__low"), rules)).alias("f"))
     return found.select(*keys, "line", "f.rule_id", "f.severity", "f.match")
 
 
@@ -73,7 +83,7 @@ class findings_udtf:
     """Table function form of ``line_findings`` for SQL users."""
 
     def __init__(self):
-        self.rules = [(i, s, re.compile(p)) for i, s, p in RULES]
+        self.rules = [(i, s, re.compile(p)) for i, s, p, _ in RULES]
 
     def eval(self, text: str):
         for number, line in enumerate((text or "").split("\n"), 1):

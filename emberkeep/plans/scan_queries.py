@@ -14,7 +14,7 @@ from emberkeep.plans.registry import query
 from emberkeep.plans.views import table, view, with_views
 
 KEYS = [b"current key", b"retired key"]
-RULES_SQL = "(values " + ", ".join(f"('{i}', '{s}', '{p}')" for i, s, p in S.RULES) + ") as r(rule_id, severity, pattern)"
+RULES_SQL = "(values " + ", ".join(f"('{i}', '{s}', '{p}')" for i, s, p, _ in S.RULES) + ") as r(rule_id, severity, pattern)"
 FOUND = f"f as (select doc_id, rule_id, severity, content, pattern from v2 join {RULES_SQL} on regexp_matches(content, pattern))"
 
 

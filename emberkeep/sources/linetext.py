@@ -50,8 +50,10 @@ def read_line_table(docs: DataFrame, schema: StructType, keep: list[str], text_c
     rows = judged.where("__error is null").select(*keep, "__names", F.explode("__rows").alias("__cells"))
 
     def column(field) -> Column:
-        token = T.line_token(F.get("__cells", F.array_position("__names", field.name).cast("int") - 1))
-        return token["value"].try_cast(field.dataType).alias(field.name)
+        cell = F.get("__cells", F.array_position("__names", field.name).cast("int") - 1)
+        quoted = cell.startswith('"')
+        value = F.when(quoted, T.unescaped(F.substring(cell, F.lit(2), F.length(cell) - 2))).when(cell != "null", cell)
+        return value.try_cast(field.dataType).alias(field.name)
 
     typed = rows.select(*keep, *[column(f) for f in schema.fields])
     return typed, judged.where("__error is not null").select(*keep, F.col("__error").alias("error"))
