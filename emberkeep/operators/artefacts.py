@@ -349,7 +349,7 @@ def version_diff(old: DataFrame, new: DataFrame, keys: list[str], content: str)
     """
 
     def lines(df: DataFrame, sign: int) -> DataFrame:
-        return df.select(*keys, F.explode(F.split(content, "\n")).alias("line"), F.lit(sign).alias("sign"))
+        return df.select(*keys, F.explode_outer(F.split(content, "\n")).alias("line"), F.lit(sign).alias("sign"))
 
     net = lines(old, -1).unionByName(lines(new, 1)).groupBy(*keys, "line").agg(F.sum("sign").alias("net"))
     return net.where("net <> 0").select(

@@ -114,8 +114,8 @@ def document_metadata(pages: DataFrame) -> DataFrame:
 
 def document_links(pages: DataFrame) -> DataFrame:
     """One row per link with its place on the page and how it is shown."""
-    listed = pages.select("doc_id", "page_no", F.posexplode(links(F.col("html"))).alias("position", "link"))
-    return listed.withColumns({"external": F.col("link").startswith("http"), "display": link_display(F.col("link"))})
+    listed = pages.select("doc_id", "page_no", F.posexplode_outer(links(F.col("html"))).alias("position", "link"))
+    return listed.where("link is not null").withColumns({"external": F.col("link").startswith("http"), "display": link_display(F.col("link"))})
 
 
 def document_text(pages: DataFrame) -> DataFrame:

@@ -225,7 +225,7 @@ def read_doc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _directive(F.col("__head"), "delimiter", "comma").alias("__delimiter"),
         (_directive(F.col("__head"), "strict", "true") != "false").alias("strict"))
     exploded = prepared.select(
-        "doc_id", "__skip", "__delimiter", "strict", F.posexplode("__lines").alias("__pos", "raw"))
+        "doc_id", "__skip", "__delimiter", "strict", F.posexplode_outer("__lines").alias("__pos", "raw"))
     trimmed = F.trim(F.col("raw"))
     kept = exploded.where((F.col("__pos") >= F.col("__skip")) & (trimmed != "") & ~trimmed.rlike("^[#%]"))
     spaces = F.length("raw") - F.length(F.ltrim("raw"))
@@ -324,7 +324,7 @@ def validate_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.when((F.col("kind") == "token") & ~F.col("is_item") & ~looks_header, _diagnostic(
             "ERROR", n, F.concat(F.lit("Missing colon — expected key: value but got: "), content))),
     ]
-    per_line = lines.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("d"))
+    per_line = lines.select("doc_id", F.explode_outer(F.array_compact(F.array(*checks))).alias("d")).where("d is not null")
     return per_line.unionByName(_block_diagnostics(lines)).select("doc_id", "d.line_no", "d.severity", "d.message")
 
 
@@ -539,7 +539,7 @@ def audit_rate(audit: DataFrame) -> DataFrame:
 
 def profile_json_arrays(docs: DataFrame, json_col: str) -> DataFrame:
     """Which array fields of JSON objects qualify for tabular form, over the corpus."""
-    fields = docs.select(F.explode(F.expr(_fields_sql(f"`{json_col}`"))).alias("f")).where("f.kind = 'array'")
+    fields = docs.select(F.explode_outer(F.expr(_fields_sql(f"`{json_col}`"))).alias("f")).where("f.kind = 'array'")
     parsed = fields.select(F.col("f.key").alias("field"), F.expr(_elements_sql("f.raw")).alias("e"))
     shaped = parsed.withColumn("rows", F.expr(_rows_sql("e")))
     tabular = (F.size("e") > 0) & F.expr(_tabular_sql("rows"))

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
+from emberkeep.functions.text import let
+
 # The canonical rules (id, severity, pattern), each with a
 # lower-case literal that every match contains.
 RULES = [
@@ -45,37 +45,38 @@ def _may_match(lowered: Column, literal: str) -> Column:
     return F.contains(lowered, F.lit(literal)) if literal else F.lit(True)
 
 
-def any_rule(lowered: Column, rules: list[Rule]) -> Column:
-    return reduce(lambda a, b: a | b, [_may_match(lowered, r[3]) for r in rules])
+def matches(text: Column, rules: list[Rule]) -> Column:
+    """array<struct<rule_id, severity, position, match, line>>, first match per rule.
 
+    The lower-case text is made once and bound to a name for all rules.
+    """
 
-def matches(text: Column, lowered: Column, rules: list[Rule]) -> Column:
-    """array<struct<rule_id, severity, position, match>>, first match per rule."""
-    hits = [
-        F.when(_may_match(lowered, literal) & text.rlike(p), F.struct(
-            F.lit(i).alias("rule_id"), F.lit(s).alias("severity"), F.regexp_instr(text, F.lit(p)).alias("position"),
-            F.regexp_substr(text, F.lit(p)).alias("match")))
-        for i, s, p, literal in rules
-    ]
-    return F.array_compact(F.array(*hits))
+    def found(rule: Rule, lowered: Column) -> Column:
+        rule_id, severity, pattern, literal = rule
+        position = F.regexp_instr(text, F.lit(pattern))
+        before = F.substring(text, F.lit(1), position - 1)
+        return F.when(_may_match(lowered, literal) & text.rlike(pattern), F.struct(
+            F.lit(rule_id).alias("rule_id"), F.lit(severity).alias("severity"), position.alias("position"),
+            F.regexp_substr(text, F.lit(pattern)).alias("match"), (F.regexp_count(before, F.lit("\n")) + 1).alias("line")))
+
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[found(r, low) for r in rules])))
 
 
 def scan_rules(docs: DataFrame, text: str, keys: list[str], rules: list[Rule] = RULES) -> DataFrame:
-    """Every (document, rule) match with its severity and place; no join, no shuffle."""
-    suspects = docs.select(*keys, F.col(text).alias("__text"), F.lower(text).alias("__low")).where(any_rule(F.col("__low"), rules))
-    found = suspects.select(*keys, "__text", F.explode(matches(F.col("__text"), F.col("__low"), rules)).alias("f"))
-    before = F.substring(F.col("__text"), F.lit(1), F.col("f.position") - 1)
-    return found.select(*keys, "f.*", (F.regexp_count(before, F.lit("\n")) + 1).alias("line"))
+    """Every (document, rule) match with its severity and place; no join, no shuffle.
+
+    The outer explode keeps the optimizer from inferring a filter below it,
+    which would run every pattern a second time.
+    """
+    hits = docs.select(*keys, F.explode_outer(matches(F.col(text), rules)).alias("f"))
+    return hits.where("f is not null").select(*keys, "f.*")
 
 
 def line_findings(docs: DataFrame, text: str, keys: list[str], rules: list[Rule] = RULES) -> DataFrame:
     """One row per rule and line it matches, with the line number and matched text."""
-    suspects = docs.where(any_rule(F.lower(text), rules))
-    lines = suspects.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "__text"))
-    lowered = lines.withColumn("__low", F.lower("__text")).where(any_rule(F.col("__low"), rules))
-    found = lowered.select(
-        *keys, (F.col("line") + 1).alias("line"), F.explode(matches(F.col("__text"), F.col("__low"), rules)).alias("f"))
-    return found.select(*keys, "line", "f.rule_id", "f.severity", "f.match")
+    lines = docs.select(*keys, F.posexplode_outer(F.split(text, "\n")).alias("__n", "__text"))
+    hits = lines.select(*keys, "__n", F.explode_outer(matches(F.col("__text"), rules)).alias("f"))
+    return hits.where("f is not null").select(*keys, (F.col("__n") + 1).alias("line"), "f.rule_id", "f.severity", "f.match")
 
 
 @udtf(returnType="line int, rule_id string, severity string, match string")

@@ -30,30 +30,43 @@ def read_line_table(docs: DataFrame, schema: StructType, keep: list[str], text_c
     Lengths and widths are checked strictly: a document that breaks them gives
     an error and no rows.  Everything happens inside the row, without a shuffle.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    staged = docs.select(*keep, lines.alias("__lines"))
-    head = F.filter("__lines", lambda x: x.rlike(L.ARRAY_HEADER) & ~x.startswith(" "))
-    names = F.transform(L.split_cells(F.regexp_replace(F.regexp_extract(F.col("__head"), L.ARRAY_HEADER, 4), r"^\{|\}$", ""), F.lit(",")), L._unquoted)
-    body = F.filter("__lines", lambda x: x.startswith(L.INDENT))
-    parsed = staged.withColumn("__head", F.get(head, F.lit(0))).withColumns({
-        "__declared": F.regexp_extract("__head", L.ARRAY_HEADER, 2).try_cast("int"),
-        "__names": names,
-        "__rows": F.transform(body, lambda x: L.split_cells(F.trim(x), F.lit(","))),
-    })
-    counted = F.size("__rows")
-    error = (
-        F.when(F.col("__head").isNull(), F.lit("no array header"))
-        .when(F.col("__declared") != counted, F.format_string("declared %d rows but got %d", "__declared", counted))
-        .when(F.exists("__rows", lambda r: F.size(r) != F.size("__names")), F.lit("row width differs from the header"))
-    )
-    judged = parsed.withColumn("__error", error)
-    rows = judged.where("__error is null").select(*keep, "__names", F.explode("__rows").alias("__cells"))
+    header = L.ARRAY_HEADER
+
+    def parsed(lines: Column) -> Column:
+        heads = F.filter(lines, lambda x: x.rlike(header) & ~x.startswith(" "))
+        body = F.filter(lines, lambda x: x.startswith(L.INDENT))
+        return F.struct(
+            F.get(heads, F.lit(0)).alias("head"),
+            F.transform(body, lambda x: L.split_cells(F.trim(x), F.lit(","))).alias("rows"))
+
+    def judged(p: Column) -> Column:
+        declared = F.regexp_extract(p["head"], header, 2).try_cast("int")
+        fields = F.regexp_replace(F.regexp_extract(p["head"], header, 4), r"^\{|\}$", "")
+        names = F.transform(L.split_cells(fields, F.lit(",")), L._unquoted)
+        return F.struct(declared.alias("declared"), names.alias("names"), p["rows"].alias("rows"), p["head"].isNull().alias("bare"))
+
+    def outcome(j: Column) -> Column:
+        counted = F.size(j["rows"])
+        error = (
+            F.when(j["bare"], F.lit("no array header"))
+            .when(j["declared"] != counted, F.format_string("declared %d rows but got %d", j["declared"], counted))
+            .when(F.exists(j["rows"], lambda r: F.size(r) != F.size(j["names"])), F.lit("row width differs from the header"))
+        )
+        good = F.transform(j["rows"], lambda r: F.struct(F.lit(None).cast("string").alias("error"), j["names"].alias("names"), r.alias("cells")))
+        none = F.lit(None).cast("array<string>")
+        bad = F.array(F.struct(error.alias("error"), none.alias("names"), none.alias("cells")))
+        return F.when(error.isNull(), good).otherwise(bad)
+
+    # One expression gives rows or the error, and the outer explode keeps the
+    # optimizer from evaluating it a second time in a filter below.
+    result = T.let(T.let(T.let(F.split(F.col(text_col), "\n", -1), parsed), judged), outcome)
+    read = docs.select(*keep, F.explode_outer(result).alias("o"))
 
     def column(field) -> Column:
-        cell = F.get("__cells", F.array_position("__names", field.name).cast("int") - 1)
+        cell = F.get("o.cells", F.array_position("o.names", field.name).cast("int") - 1)
         quoted = cell.startswith('"')
         value = F.when(quoted, T.unescaped(F.substring(cell, F.lit(2), F.length(cell) - 2))).when(cell != "null", cell)
         return value.try_cast(field.dataType).alias(field.name)
 
-    typed = rows.select(*keep, *[column(f) for f in schema.fields])
-    return typed, judged.where("__error is not null").select(*keep, F.col("__error").alias("error"))
+    typed = read.where("o.cells is not null").select(*keep, *[column(f) for f in schema.fields])
+    return typed, read.where("o.error is not null").select(*keep, F.col("o.error").alias("error"))
