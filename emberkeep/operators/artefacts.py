@@ -187,6 +187,20 @@ def paginate(df: DataFrame, order: list[str], page: int = 1, limit: int = PAGE_L
         "pages": F.ceil(total / F.lit(limit)).cast("long")})
 
 
+def paginate_after(df: DataFrame, order: list[str], after: list | None, limit: int = PAGE_LIMIT) -> DataFrame:
+    """The rows that follow the last row of the page before, given by its order values.
+
+    Deep pages cost no more than the first: the condition reaches the scan
+    and each task keeps ``limit`` rows.
+    """
+    limit = max(1, min(limit, MAX_PAGE_LIMIT))
+    if after is not None:
+        here = F.struct(*[F.col(c).alias(c) for c in order])
+        last = F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, after)])
+        df = df.where((F.col(order[0]) >= F.lit(after[0])) & (here > last))
+    return df.orderBy(*order).limit(limit)
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 

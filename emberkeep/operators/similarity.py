@@ -49,7 +49,9 @@ class _Best:
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
         """``scores`` has one row per query and one column per id."""
-        for q in range(len(self.query_ids)):
+        # Most batches improve few queries; the others are settled by their maximum.
+        full = np.array([s[-1] if len(s) >= self.k else -np.inf for s in self.scores])
+        for q in np.flatnonzero(scores.max(axis=1) >= full):
             row, held = scores[q], self.scores[q]
             if len(row) > self.k:
                 floor = np.partition(row, -self.k)[-self.k]

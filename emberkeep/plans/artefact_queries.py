@@ -140,6 +140,13 @@ def paginate(spark, sf_dir):
     return R.paginate(v, ["published_ms", "id", "version"], 3, 20)
 
 
+@query(with_views("v5", """
+select id, version, namespace from v5 where (namespace, id, version) > ('ns1', 'ns1/doc-21', '1.1.0') order by namespace, id, version limit 20"""))
+def paginate_after(spark, sf_dir):
+    v = versions(spark, sf_dir).select("id", "version", "namespace")
+    return R.paginate_after(v, ["namespace", "id", "version"], ["ns1", "ns1/doc-21", "1.1.0"]).select("id", "version", "namespace")
+
+
 @query(with_views("v5", """
 with t as (select id, version, list_filter(regexp_split_to_array(lower(slug || ' ' || content_system), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') as w from v5 where status = 'verified'),
 c as (select id, version, len(list_filter(w, lambda x: x = 'ing')) as a, len(list_filter(w, lambda x: x = 'ble')) as b from t),
