@@ -532,9 +532,12 @@ def roundtrip_audit(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
 
 
 def audit_rate(audit: DataFrame) -> DataFrame:
-    return audit.agg(
-        F.count("*").alias("docs"), F.count_if("passed").alias("passed"),
-        F.round(F.avg(F.when(F.col("passed"), 100.0).otherwise(0.0)), 6).alias("pass_rate_pct"))
+    """Documents, passes and the pass rate; the flag is evaluated once per row."""
+    counted = audit.groupBy("passed").agg(F.count("*").alias("n"))
+    passes = F.coalesce(F.sum(F.when(F.col("passed"), F.col("n"))), F.lit(0))
+    return counted.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("docs"), passes.alias("passed"),
+        F.round(F.try_divide(passes * 100.0, F.sum("n")), 6).alias("pass_rate_pct"))
 
 
 def profile_json_arrays(docs: DataFrame, json_col: str) -> DataFrame:

@@ -61,6 +61,14 @@ def encode_table(spark, sf_dir):
     return L.encode_table(table(spark, sf_dir, "orders"), ["o_custkey"], "orders", fields, "o_orderkey")
 
 
+@query("""
+select doc_id, case when doc_id % 10 = 0 then 'tags[0]:' || chr(10) || '---' else 'tags[3]: ' || lang || ', ' || source || ', "' || doc_id || '"' end as line from documents""")
+def encode_array(spark, sf_dir):
+    tags = F.array("lang", "source", F.col("doc_id").cast("string"))
+    held = F.when(F.col("doc_id") % 10 == 0, F.array().cast("array<string>")).otherwise(tags)
+    return table(spark, sf_dir, "documents").select("doc_id", L.encode_array(held, "tags", "string").alias("line"))
+
+
 @query(f"""
 select o_orderstatus, {HEAD} || 'orders[' || count(*) || ']{{o_orderkey, o_totalprice, o_orderpriority}}:' || chr(10) ||
   string_agg({ORDER_LINES}, chr(10) order by o_orderkey) || chr(10) || '---' as text
@@ -156,6 +164,11 @@ def roundtrip_audit(spark, sf_dir):
     return audit.select("doc_id", "bytes_in", "passed", F.coalesce("failure", F.lit("")).alias("failure"))
 
 
+@query("select count(*) as docs, count(*) as passed, 100.0::double as pass_rate_pct from orders")
+def audit_rate(spark, sf_dir):
+    return L.audit_rate(L.roundtrip_audit(view(spark, sf_dir, "v9"), "doc_id", "json_text"))
+
+
 @query("""
 select 'tags' as field, count(*) as arrays, 2 * count(*) as elements, false as all_tabular, true as all_primitive, 0 as key_sets, '-' as columns from orders
 union all select 'rows', count(*), 2 * count(*), true, false, 1, 'k,v' from orders

@@ -183,12 +183,15 @@ def match_webhooks(spark, sf_dir):
 
 
 @query(with_views("v5", f"""
-select id, version, namespace, {NOW} - published_ms as age_ms, rank() over w as age_rank, round(percent_rank() over w, 6) as age_percent_rank,
+with s as (select *, published_ms + case when doc_id % 5 = 1 then 90000000 else 0 end as since_ms from v5 where status = 'review')
+select id, version, namespace, {NOW} - since_ms as age_ms, rank() over w as age_rank, round(percent_rank() over w, 6) as age_percent_rank,
   count(*) over (partition by namespace) as queue_depth
-from v5 where status = 'review' window w as (partition by namespace order by published_ms)"""))
+from s window w as (partition by namespace order by since_ms)"""))
 def review_queue_age(spark, sf_dir):
-    v = versions(spark, sf_dir).select("id", "version", "namespace", "status", F.col("published_ms").alias("since_ms"))
-    return L.review_queue_age(v, NOW).select("id", "version", "namespace", "age_ms", "age_rank", "age_percent_rank", "queue_depth")
+    v = versions(spark, sf_dir).select("doc_id", "id", "version", "namespace", "status", "published_ms")
+    moved = v.where("doc_id % 5 = 1").select("id", "version", F.explode(F.array(F.lit(1000), F.lit(90_000_000))).alias("later"), "published_ms")
+    changes = moved.select("id", "version", (F.col("published_ms") + F.col("later")).alias("at_ms"))
+    return L.review_queue_age(L.status_since(v, changes), NOW).select("id", "version", "namespace", "age_ms", "age_rank", "age_percent_rank", "queue_depth")
 
 
 @query(with_views("v3 v6", """
