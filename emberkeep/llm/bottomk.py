@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,8 +14,10 @@ from emberkeep.llm.common import LOWER, NOT_SPACE, U, mixed, shingle_hashes, sli
 from emberkeep.llm.components import components
 
 SKETCH = 64  # values kept of each document
-SIGN_BINS = 32  # two bits from each bin of the hash range, a coarse sketch that fits in one long
-SIGN_MISSES = 16  # bins in which a pair may differ; at similarity 0.8 about 5 are expected
+SIGN_BINS = 128  # two bits from each bin of the hash range: a coarse sketch that fits in four longs
+SIGN_MISSES = 40  # bins in which a pair may differ; at similarity 0.8, 19 are expected, with a deviation of 4
+SIGNS = ("s0", "s1", "s2", "s3")
+FACTS = ("doc_id", "fp", "n", "band", *SIGNS)
 EVEN_BITS = 0x5555555555555555
 
 Batches = Iterator[pa.RecordBatch]
@@ -32,33 +35,31 @@ def shingle_sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
             yield part[np.concatenate(([True], part[1:] != part[:-1]))] if len(part) > 1 else part
 
 
-def _sign(values: np.ndarray) -> int:
+def _signs(values: np.ndarray) -> np.ndarray:
     unsigned = values.view(U)
     held = np.zeros(SIGN_BINS, U)
     # The last assignment to a bin stands, and that is its least value.
-    held[(unsigned % U(SIGN_BINS)).astype(np.int64)[::-1]] = ((unsigned >> U(5)) & U(3))[::-1]
-    return int(np.bitwise_or.reduce(held << (U(2) * np.arange(SIGN_BINS, dtype=U))).view(np.int64))
+    held[(unsigned % U(SIGN_BINS)).astype(np.int64)[::-1]] = ((unsigned >> U(8)) & U(3))[::-1]
+    return np.bitwise_or.reduce(held.reshape(-1, 32) << (U(2) * np.arange(32, dtype=U)), axis=1).view(np.int64)
 
 
 def _sketches(words: int, k: int) -> Callable[[Batches], Batches]:
     def run(batches: Batches) -> Batches:
         for batch in batches:
-            n, fp, fq, sign, kept = [], [], [], [], []
+            n, fp, fq, signs, kept = [], [], [], [], []
             for values in shingle_sets(batch.column(1), words):
                 unsigned = values.view(U)
                 n.append(len(values))
                 fp.append(int(mixed(unsigned, 1).sum(dtype=U).view(np.int64)))
                 fq.append(int(np.bitwise_xor.reduce(mixed(unsigned, 2)).view(np.int64)) if len(values) else 0)
-                sign.append(_sign(values))
+                signs.append(_signs(values))
                 kept.append(values[:k])
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(x) for x in kept]))), pa.int32()),
                 pa.array(np.concatenate([np.zeros(0, np.int64), *kept])),
             )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), pa.array(sign, pa.int64()), lists],
-                names=["doc_id", "n", "fp", "fq", "sign", "sketch"],
-            )
+            columns = [pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), *[pa.array([x[i] for x in signs], pa.int64()) for i in range(len(SIGNS))]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, lists], names=["doc_id", "n", "fp", "fq", *SIGNS, "sketch"])
 
     return run
 
@@ -90,13 +91,15 @@ def _confirm(percent: int) -> Callable[[Batches], Batches]:
 
 
 def _side(name: str) -> list[Column]:
-    return [F.col(c).alias(f"{name}_{c}" if c != "doc_id" else name) for c in ("doc_id", "fp", "n", "sign")]
+    return [F.col(c).alias(f"{name}_{c}" if c != "doc_id" else name) for c in FACTS]
 
 
 def _plausible(percent: int) -> Column:
     """Sizes and coarse sketches that a linked pair can have."""
-    differ = F.col("a_sign").bitwiseXOR(F.col("b_sign"))
-    misses = F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(EVEN_BITS)))
+    misses = F.lit(0)
+    for sign in SIGNS:
+        differ = F.col(f"a_{sign}").bitwiseXOR(F.col(f"b_{sign}"))
+        misses += F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(EVEN_BITS)))
     sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
     return sizes & (misses <= SIGN_MISSES)
 
@@ -119,22 +122,24 @@ def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, p
 
 
 def index_keys(sketches: DataFrame, percent: int, k: int) -> DataFrame:
-    """(value, doc_id, fp, n, sign): the inverted lists that every linked pair must share one of.
+    """(value, list_band, facts): the inverted lists that every linked pair must share one of.
 
     A linked pair shares at least m retained values, so it shares one of the
     len - m + 1 rarest of each side.  With whole sets in the sketch m is exact;
     else it is k / 2, six standard deviations below the expected overlap.
+    Lists are split by set size: a document enters the band of its size and
+    the next, so linked pairs meet in the band of the larger one.
     """
-    shown = sketches.withColumn("held", F.size("sketch")).select("doc_id", "fp", "n", "sign", "held", F.explode("sketch").alias("value"))
+    shown = sketches.select("doc_id", "fp", F.explode("sketch").alias("value"))
     common = staged(shown.groupBy("value").agg(F.count("*").alias("docs")).where("docs > 1"), "common")
+    # Values that no other document has come first in the order and need no list.
+    ranked = shown.join(common, "value").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("docs", "value"))).alias("values"))
     overlap = F.when(100 * F.col("n") <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(k // 2)
-    ranked = (
-        shown.join(common, "value").groupBy("doc_id", "fp", "n", "sign", "held").agg(F.array_sort(F.collect_list(F.struct("docs", "value"))).alias("values"))
-        # Values that no other document has come first in the order and need no list.
-        .withColumn("take", (F.col("held") - overlap + 1 - (F.col("held") - F.size("values"))).cast("int"))
-        .where("take > 0")
-    )
-    return ranked.select(F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"), "doc_id", "fp", "n", "sign").select(F.col("e.value").alias("value"), "doc_id", "fp", "n", "sign")
+    band = F.floor(F.log("n") / math.log(100 / percent) + F.lit(1e-9)).cast("int")
+    facts = sketches.select("doc_id", "fp", "n", band.alias("band"), *SIGNS, (F.size("sketch") - overlap + 1).alias("needed"), F.size("sketch").alias("held"))
+    chosen = ranked.join(facts, ["doc_id", "fp"]).withColumn("take", (F.col("needed") - F.col("held") + F.size("values")).cast("int")).where("take > 0")
+    listed = chosen.select(F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"), *FACTS)
+    return listed.select(F.col("e.value").alias("value"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("list_band"), *FACTS)
 
 
 def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -153,7 +158,7 @@ def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     in different components are.  No group is gathered and none is cut short.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n long, fp long, fq long, sign long, sketch array<long>"
+    schema = "doc_id long, n long, fp long, fq long, s0 long, s1 long, s2 long, s3 long, sketch array<long>"
     every = staged(docs.mapInArrow(_sketches(words, k), schema), "sketches")
     usable = every.where("n > 0 and doc_id is not null")
     classes = staged(usable.groupBy("fp", "fq", "n").agg(F.min("doc_id").alias("rep")), "classes")
@@ -161,20 +166,23 @@ def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     sketches = staged(usable.join(firsts, ["doc_id", "fp", "fq", "n"], "left_semi").dropDuplicates(["doc_id", "fp"]), "firsts")
     keys = staged(index_keys(sketches, percent, k), "keys")
 
-    heads = keys.groupBy("value").agg(F.min(F.struct("doc_id", "fp", "n", "sign")).alias("head"), F.count("*").alias("docs")).where("docs > 1")
-    heads = staged(heads.select("value", *[F.col(f"head.{c}").alias(f"a_{c}" if c != "doc_id" else "a") for c in ("doc_id", "fp", "n", "sign")]), "heads")
-    members = keys.select("value", *_side("b"))
-    first = members.join(heads, "value").where((F.col("a") != F.col("b")) & _plausible(percent)).select("a", "a_fp", "b", "b_fp").distinct()
+    spot = ["value", "list_band"]
+    heads = keys.groupBy(*spot).agg(F.min(F.struct(*FACTS)).alias("head"), F.count("*").alias("docs")).where("docs > 1")
+    heads = staged(heads.select(*spot, *[F.col(f"head.{c}").alias(f"a_{c}" if c != "doc_id" else "a") for c in FACTS]), "heads")
+    members = staged(keys.select(*spot, *_side("b")).join(heads, spot), "members")
+    first = members.where((F.col("a") != F.col("b")) & _plausible(percent)).select("a", "a_fp", "b", "b_fp").distinct()
     links = _links(first, sketches, docs, words, percent, k)
 
     roots = staged(components(links), "roots")
-    placed = keys.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("root", "doc_id")).drop("root")
+    listed = members.select(*spot, *[F.col("b" if c == "doc_id" else f"b_{c}").alias(c) for c in FACTS])
+    placed = listed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("root", "doc_id")).drop("root")
     placed = staged(placed, "placed")
-    open_lists = staged(placed.groupBy("value").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select("value"), "open")
-    apart = staged(placed.join(open_lists, "value", "left_semi"), "apart")
+    # Lists inside one component are done.
+    open_lists = staged(placed.groupBy(*spot).agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select(*spot), "open")
+    apart = staged(placed.join(open_lists, spot, "left_semi"), "apart")
     pairs = (
-        apart.select("value", "at", *_side("a")).join(apart.select("value", F.col("at").alias("b_at"), *_side("b")), "value")
-        .where((F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & _plausible(percent))
+        apart.select(*spot, "at", *_side("a")).join(apart.select(*spot, F.col("at").alias("b_at"), *_side("b")), spot)
+        .where((F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & (F.col("list_band") == F.greatest("a_band", "b_band")) & _plausible(percent))
         .select("a", "a_fp", "b", "b_fp").distinct()
     )
     more = _links(pairs, sketches, docs, words, percent, k)
@@ -182,6 +190,6 @@ def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("fp", "fq", "n", F.coalesce("root", "rep").alias("component"))
     named = staged(named, "named")
-    out = every.drop("sketch", "sign").join(named, ["fp", "fq", "n"], "left")
+    out = every.select("doc_id", "n", "fp", "fq").join(named, ["fp", "fq", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
