@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberkeep.llm import sql
 from emberkeep.llm.bottomk import bottomk_near_duplicates
+from emberkeep.llm.lexicon_bpe import encode_words
+from emberkeep.llm.mixing import mix_sources
 from emberkeep.llm.suffix_dedup import remove_repeats
+from emberkeep.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,12 +30,27 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = encode_words(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk_near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op9_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_toxicity, op5_mix_to_weights, op8_bpe_lexicon, op9_minhash_near_dedup,)}
 
 
 def oracle_sql() -> dict[str, str]:
