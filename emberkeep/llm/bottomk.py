@@ -17,7 +17,12 @@ SKETCH = 64  # values kept of each document
 SIGN_BINS = 128  # two bits from each bin of the hash range: a coarse sketch that fits in four longs
 SIGN_MISSES = 40  # bins in which a pair may differ; at similarity 0.8, 19 are expected, with a deviation of 4
 SIGNS = ("s0", "s1", "s2", "s3")
-FACTS = ("doc_id", "fp", "n", "band", *SIGNS)
+SPOT = ["value", "list_band"]
+FACTS = ("doc_id", "n", "band", *SIGNS)
+SHORT_LIST = 8  # documents up to which a list is compared pair by pair at once
+LEADERS = 4  # documents of a longer list that the others are compared with in a round
+TRIES = 8  # leaders that a document is compared with in a round
+ROUNDS = 4
 EVEN_BITS = 0x5555555555555555
 
 Batches = Iterator[pa.RecordBatch]
@@ -90,8 +95,12 @@ def _confirm(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _as(side: str, column: str) -> str:
+    return side if column == "doc_id" else f"{side}_{column}"
+
+
 def _side(name: str) -> list[Column]:
-    return [F.col(c).alias(f"{name}_{c}" if c != "doc_id" else name) for c in FACTS]
+    return [F.col(c).alias(_as(name, c)) for c in FACTS]
 
 
 def _plausible(percent: int) -> Column:
@@ -104,25 +113,25 @@ def _plausible(percent: int) -> Column:
     return sizes & (misses <= SIGN_MISSES)
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """Of candidate pairs (a, a_fp, b, b_fp): the union sketch filters, the full sets decide."""
+def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
+    """Candidate pairs (a, b) whose union sketch doesn't rule them out."""
     for side in "ab":
-        own = sketches.select(F.col("doc_id").alias(side), F.col("fp").alias(f"{side}_fp"), F.col("sketch").alias(f"{side}_sketch"))
-        pairs = pairs.join(own, [side, f"{side}_fp"])
+        pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
     union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
     # Six standard deviations below the threshold for a full sketch; exact sets settle the rest.
-    likely = staged(pairs.where(100 * shared >= (percent - 30) * F.size(union)).select("a", "a_fp", "b", "b_fp"), "likely")
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b"))
-    sets = with_keys(docs, ids, "doc_id").mapInArrow(_full_sets(words), "doc_id long, fp long, values binary")
-    sets = staged(sets.dropDuplicates(["doc_id", "fp"]), "sets")
+    return staged(pairs.where(100 * shared >= (percent - 30) * F.size(union)).select("a", "b"), "likely")
+
+
+def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of likely pairs those that the full sets confirm."""
     for side in "ab":
-        likely = likely.join(sets.select(F.col("doc_id").alias(side), F.col("fp").alias(f"{side}_fp"), F.col("values").alias(f"{side}_values")), [side, f"{side}_fp"])
+        likely = likely.join(sets.select(F.col("doc_id").alias(side), F.col("values").alias(f"{side}_values")), side)
     return staged(likely.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
-def index_keys(sketches: DataFrame, percent: int, k: int) -> DataFrame:
-    """(value, list_band, facts): the inverted lists that every linked pair must share one of.
+def index_lists(sketches: DataFrame, percent: int, k: int) -> DataFrame:
+    """(value, list_band, docs, facts): the inverted lists that every linked pair must share one of.
 
     A linked pair shares at least m retained values, so it shares one of the
     len - m + 1 rarest of each side.  With whole sets in the sketch m is exact;
@@ -130,16 +139,52 @@ def index_keys(sketches: DataFrame, percent: int, k: int) -> DataFrame:
     Lists are split by set size: a document enters the band of its size and
     the next, so linked pairs meet in the band of the larger one.
     """
-    shown = sketches.select("doc_id", "fp", F.explode("sketch").alias("value"))
+    shown = sketches.select("doc_id", F.explode("sketch").alias("value"))
     common = staged(shown.groupBy("value").agg(F.count("*").alias("docs")).where("docs > 1"), "common")
     # Values that no other document has come first in the order and need no list.
-    ranked = shown.join(common, "value").groupBy("doc_id", "fp").agg(F.array_sort(F.collect_list(F.struct("docs", "value"))).alias("values"))
+    ranked = shown.join(common, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("docs", "value"))).alias("values"))
     overlap = F.when(100 * F.col("n") <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(k // 2)
     band = F.floor(F.log("n") / math.log(100 / percent) + F.lit(1e-9)).cast("int")
-    facts = sketches.select("doc_id", "fp", "n", band.alias("band"), *SIGNS, (F.size("sketch") - overlap + 1).alias("needed"), F.size("sketch").alias("held"))
-    chosen = ranked.join(facts, ["doc_id", "fp"]).withColumn("take", (F.col("needed") - F.col("held") + F.size("values")).cast("int")).where("take > 0")
-    listed = chosen.select(F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"), *FACTS)
-    return listed.select(F.col("e.value").alias("value"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("list_band"), *FACTS)
+    facts = sketches.select("doc_id", "n", band.alias("band"), *SIGNS, (F.size("sketch") - overlap + 1).alias("needed"), F.size("sketch").alias("held"))
+    chosen = ranked.join(facts.select("doc_id", "band", "needed", "held"), "doc_id")
+    chosen = chosen.withColumn("take", (F.col("needed") - F.col("held") + F.size("values")).cast("int")).where("take > 0")
+    listed = chosen.select("doc_id", "band", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"))
+    listed = listed.select(F.col("e.value").alias("value"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("list_band"), "doc_id")
+    listed = staged(listed, "listed")
+    several = staged(listed.groupBy(*SPOT).agg(F.count("*").alias("docs")).where("docs > 1"), "several")
+    return staged(listed.join(several, SPOT).join(facts.drop("needed", "held"), "doc_id"), "lists")
+
+
+def _leader_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Each document with some of the leaders of its lists, in other components than its own."""
+    def rank(seed: int) -> Column:
+        return F.xxhash64("doc_id", *SPOT, F.lit(turn * LEADERS + seed))
+
+    heads = lists.groupBy(*SPOT).agg(F.array_distinct(F.array(*[F.min_by(F.struct("at", *FACTS), rank(i)) for i in range(LEADERS)])).alias("heads"))
+    heads = staged(heads.select(*SPOT, F.explode("heads").alias("h")).select(*SPOT, F.col("h.at").alias("a_at"), *[F.col(f"h.{c}").alias(_as("a", c)) for c in FACTS]), "heads")
+    met = lists.select(*SPOT, "at", *_side("b")).join(heads, SPOT).where((F.col("at") != F.col("a_at")) & _plausible(percent))
+    some = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a"))), 1, TRIES).alias("tries"))
+    tried = some.select("b", F.explode("tries").alias("t")).select(F.col("t.a").alias("a"), "b")
+    return tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _placed(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists that several components share, with each document's component as ``at``."""
+    placed = lists.drop("at").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("root", "doc_id")).drop("root")
+    placed = staged(placed, "placed")
+    shared = placed.groupBy(*SPOT).agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select(*SPOT)
+    return staged(placed.join(staged(shared, "open"), SPOT, "left_semi"), "apart")
+
+
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All plausible pairs of each list that are in different components, each from its first list only."""
+    mine = lists.groupBy("doc_id", "list_band").agg(F.array_sort(F.collect_set("value")).alias("mine"))
+    rows = staged(lists.join(mine, ["doc_id", "list_band"]), "mine")
+    left = rows.select(*SPOT, "at", F.col("mine").alias("a_mine"), *_side("a"))
+    right = rows.select(*SPOT, F.col("at").alias("b_at"), F.col("mine").alias("b_mine"), *_side("b"))
+    first = F.element_at(F.array_intersect("a_mine", "b_mine"), 1) == F.col("value")
+    here = (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & (F.col("list_band") == F.greatest("a_band", "b_band"))
+    return left.join(right, SPOT).where(here & _plausible(percent) & first).select("a", "b")
 
 
 def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
@@ -150,43 +195,45 @@ def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     into words at ASCII white space after lower-casing A-Z; a text with fewer
     than ``words`` words is one shingle, and one without words (null, empty)
     has an empty set and no links.  Equal sets collapse before the index is
-    built.  Ids are integers; a null id gets a null component and is kept; rows
-    that repeat an id share its component, and extra columns are not read.
-
-    Documents of a list are first compared with its least document, so a large
-    group of copies costs one comparison each; then only pairs that are still
-    in different components are.  No group is gathered and none is cut short.
+    built.  Ids are integers; a null id gets a null component and is kept.  Rows
+    that repeat an id with the same words share its component; where the words
+    differ, the text of least fingerprint among those that no smaller id has is
+    the one compared.  Extra columns are not read.
+
+    Short lists are compared pair by pair.  In long ones documents meet a few
+    leaders, in rounds, and drop out with the lists that one component fills,
+    so a large group of copies costs some comparisons each; then all pairs
+    still in different components are compared.  No group is gathered and none
+    is cut short.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n long, fp long, fq long, s0 long, s1 long, s2 long, s3 long, sketch array<long>"
     every = staged(docs.mapInArrow(_sketches(words, k), schema), "sketches")
     usable = every.where("n > 0 and doc_id is not null")
     classes = staged(usable.groupBy("fp", "fq", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    firsts = classes.select(F.col("rep").alias("doc_id"), "fp", "fq", "n")
-    sketches = staged(usable.join(firsts, ["doc_id", "fp", "fq", "n"], "left_semi").dropDuplicates(["doc_id", "fp"]), "firsts")
-    keys = staged(index_keys(sketches, percent, k), "keys")
-
-    spot = ["value", "list_band"]
-    heads = keys.groupBy(*spot).agg(F.min(F.struct(*FACTS)).alias("head"), F.count("*").alias("docs")).where("docs > 1")
-    heads = staged(heads.select(*spot, *[F.col(f"head.{c}").alias(f"a_{c}" if c != "doc_id" else "a") for c in FACTS]), "heads")
-    members = staged(keys.select(*spot, *_side("b")).join(heads, spot), "members")
-    first = members.where((F.col("a") != F.col("b")) & _plausible(percent)).select("a", "a_fp", "b", "b_fp").distinct()
-    links = _links(first, sketches, docs, words, percent, k)
+    firsts = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("fp", "fq", "n")).alias("c")).select("doc_id", "c.*")
+    sketches = staged(usable.join(firsts, ["doc_id", "fp", "fq", "n"], "left_semi").dropDuplicates(["doc_id"]), "firsts")
+    lists = index_lists(sketches, percent, k).withColumn("at", F.col("doc_id"))
 
+    short, long = lists.where(F.col("docs") <= SHORT_LIST), lists.where(F.col("docs") > SHORT_LIST)
+    likely = _likely(_pairs(short, percent).union(_leader_pairs(long, 0, percent)).distinct(), sketches, percent, k)
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(long.select("doc_id"))
+    sets = with_keys(docs, ids, "doc_id").mapInArrow(_full_sets(words), "doc_id long, fp long, values binary")
+    sets = staged(sets.join(sketches.select("doc_id", "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"]), "sets")
+    links = _links(likely, sets, percent)
     roots = staged(components(links), "roots")
-    listed = members.select(*spot, *[F.col("b" if c == "doc_id" else f"b_{c}").alias(c) for c in FACTS])
-    placed = listed.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("root", "doc_id")).drop("root")
-    placed = staged(placed, "placed")
-    # Lists inside one component are done.
-    open_lists = staged(placed.groupBy(*spot).agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select(*spot), "open")
-    apart = staged(placed.join(open_lists, spot, "left_semi"), "apart")
-    pairs = (
-        apart.select(*spot, "at", *_side("a")).join(apart.select(*spot, F.col("at").alias("b_at"), *_side("b")), spot)
-        .where((F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & (F.col("list_band") == F.greatest("a_band", "b_band")) & _plausible(percent))
-        .select("a", "a_fp", "b", "b_fp").distinct()
-    )
-    more = _links(pairs, sketches, docs, words, percent, k)
-    final = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
+    edges = F.col("node").alias("a"), F.col("root").alias("b")
+    open_lists = _placed(long, roots)
+    for turn in range(1, ROUNDS):
+        tried = _likely(_leader_pairs(open_lists, turn, percent), sketches, percent, k)
+        links = _links(tried, sets, percent)
+        if links.isEmpty():
+            break
+        roots = staged(components(roots.select(*edges).union(links)), "roots")
+        open_lists = _placed(open_lists, roots)
+    # Whatever the rounds left is compared whole.
+    links = _links(_likely(_pairs(open_lists, percent), sketches, percent, k), sets, percent)
+    final = components(roots.select(*edges).union(links))
 
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("fp", "fq", "n", F.coalesce("root", "rep").alias("component"))
     named = staged(named, "named")

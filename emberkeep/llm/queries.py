@@ -14,6 +14,14 @@ from emberkeep.llm.lexicon_bpe import encode_words
 from emberkeep.llm.mixing import mix_sources
 from emberkeep.llm.suffix_dedup import remove_repeats
 from emberkeep.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from emberkeep.llm.url_reputation import UrlRule, filter_urls
+from emberkeep.llm.vector_dedup import near_duplicate_vectors
+from emberkeep.llm.vector_search import nearest_neighbours
+
+URL_RULES = [
+    UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"), UrlRule("block", "example.org", "/en/1"),
+    UrlRule("allow", "com", "/fr/"), UrlRule("block", "com", "/de/"),
+]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +38,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -40,6 +52,10 @@ def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op8_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = encode_words(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -49,9 +65,18 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bottomk_near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op4_toxicity, op5_mix_to_weights, op8_bpe_lexicon, op9_minhash_near_dedup,)}
+    numbered = (
+        op1_suffix_array_dedup, op2_url_reputation, op4_toxicity, op5_mix_to_weights, op7_embedding_near_dedup, op8_bpe_lexicon,
+        op9_minhash_near_dedup, op10_nearest_neighbours,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_minhash_near_dedup": sql.NEAR_DEDUP}
+    return {"op2_url_reputation": sql.URL_REPUTATION, "op9_minhash_near_dedup": sql.NEAR_DEDUP}

@@ -7,7 +7,7 @@ with recursive w as (
   select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') as ws from documents
 ), s as (
   select doc_id, case when len(ws) < 2 then ws
-    else list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) end as sh from w
+    else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end as sh from w
 ), e as (select doc_id, unnest(sh) as x from s),
 l as (
   select a, b from (select p.doc_id as a, q.doc_id as b, count(*) as c from e p join e q on p.x = q.x and p.doc_id < q.doc_id group by 1, 2) i
@@ -17,3 +17,47 @@ r as (select doc_id, doc_id as c from s union select u.b, r.c from r join u on u
 g as (select doc_id, min(c) as c from r group by 1)
 select s.doc_id, len(s.sh)::bigint as n_shingles, g.c as component_id, s.doc_id = g.c as kept from s join g using (doc_id)
 """
+
+_SUFFIX = "case when array_to_string(labels[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') then array_to_string(labels[-2:], '.') else labels[-1] end"
+_DOMAIN = "case when array_to_string(labels[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br') then array_to_string(labels[-3:], '.') else array_to_string(labels[-2:], '.') end"
+
+
+def _strength(name: str, key: str) -> str:
+    return f"""{name}_groups as (select {key} as k, sum(good) as good, sum(n) as n from hosts where n > 0 group by 1),
+{name}_sums as (select count(*) as g, sum(good) as good, sum(n) as n, sum(n * n) as sq, sum(good * good / n) as spread from {name}_groups),
+{name}_parts as (select good / n as share, n - sq / n - (g - 1) as room, g, n, spread - good * good / n as between_ from {name}_sums),
+{name}_alike as (select *, case when share not in (0, 1) and room > 0 then (between_ / (share * (1 - share)) - (g - 1)) / room end as alike from {name}_parts),
+{name}_level as (select coalesce(share, 0.5) as share, case when alike is null then 10.0 when alike > 0
+  then round(least(greatest((1 - alike) / alike, 1.0), 1000.0), 6) else 1000.0 end as strength from {name}_alike)"""
+
+
+URL_REPUTATION = rf"""
+with cut as (
+  select page_id, case when strpos(coalesce(url, ''), '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages
+), parts as (
+  select page_id, regexp_extract(rest, '^[^/?#]*') as raw_host, rest from cut
+), parsed as (
+  select page_id, translate(raw_host, '{UPPER}', '{LOWER}') as host, regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') as path from parts
+), judged as (
+  select *, case
+    when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/en/1') then 'example.org/en/1'
+    when (host = 'example.org' or ends_with(host, '.example.org')) and starts_with(path, '/es/') then 'example.org/es/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/fr/') then 'com/fr/'
+    when (host = 'com' or ends_with(host, '.com')) and starts_with(path, '/de/') then 'com/de/'
+    when (host = 'org' or ends_with(host, '.org')) and starts_with(path, '/') then 'org/' end as rule from parsed
+), ruled as (
+  select *, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' end as said from judged
+), counted as (
+  select host, count(said)::double as n, count(case when said = 'allow' then 1 end)::double as good, string_split(host, '.') as labels from ruled group by host
+), hosts as (select host, n, good, {_SUFFIX} as suffix, {_DOMAIN} as domain from counted),
+{_strength("suffix", "suffix")}, {_strength("domain", "domain")}, {_strength("host", "host")},
+suffixes as (select suffix, (sum(good) + max(strength) * max(share)) / (sum(n) + max(strength)) as mean from hosts, suffix_level group by suffix),
+domains as (
+  select domain, (sum(good) + max(strength) * max(s.mean)) / (sum(n) + max(strength)) as mean
+  from hosts h join suffixes s using (suffix), domain_level group by domain, suffix
+), means as (
+  select host, (good + strength * d.mean) / (n + strength) as m, n + strength as w from hosts h join domains d using (domain), host_level
+)
+select page_id, r.host, path, rule, coalesce(said, case when least(1.0, m + 1.645 * sqrt(m * (1 - m) / (w + 1))) < 0.5 then 'block' else 'allow' end) as verdict
+from ruled r join means using (host)
+"""
