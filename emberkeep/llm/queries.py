@@ -12,11 +12,14 @@ from emberkeep.llm import sql
 from emberkeep.llm.bottomk import bottomk_near_duplicates
 from emberkeep.llm.lexicon_bpe import encode_words
 from emberkeep.llm.mixing import mix_sources
+from emberkeep.llm.notices import scan_notices
 from emberkeep.llm.suffix_dedup import remove_repeats
 from emberkeep.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from emberkeep.llm.url_reputation import UrlRule, filter_urls
 from emberkeep.llm.vector_dedup import near_duplicate_vectors
 from emberkeep.llm.vector_search import nearest_neighbours
+from emberkeep.llm.wavelet import read_shards, write_shards
+from emberkeep.session import work_dir
 
 URL_RULES = [
     UrlRule("allow", "org", "/"), UrlRule("block", "example.org", "/es/"), UrlRule("block", "example.org", "/en/1"),
@@ -42,6 +45,10 @@ def op2_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(_table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_notices(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
@@ -52,6 +59,12 @@ def op5_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "tokens")
+    write_shards(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_shards(spark, path)
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -72,7 +85,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     numbered = (
-        op1_suffix_array_dedup, op2_url_reputation, op4_toxicity, op5_mix_to_weights, op7_embedding_near_dedup, op8_bpe_lexicon,
+        op1_suffix_array_dedup, op2_url_reputation, op3_license_scan, op4_toxicity, op5_mix_to_weights, op6_wavelet_tokens, op7_embedding_near_dedup, op8_bpe_lexicon,
         op9_minhash_near_dedup, op10_nearest_neighbours,
     )
     return {f.__name__: f for f in numbered}
