@@ -17,10 +17,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberkeep.llm.common import MIX_A, MIX_B, U, slices, word_bounds
 
 CHUNK_BYTES = 8 << 20  # text that one task holds at a time
+SLICE_BYTES = 2 << 20
 LEAST_CHUNKS = 64
 KEY_BYTES = 6
 COVERED = np.array([False, True])
@@ -36,12 +38,24 @@ def _words_at(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 56,), dtype="<u8", buffer=padded, strides=(1,))
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, windows, row) for each anchor.
+def _run_keys(words: np.ndarray, at: np.ndarray, size: int, salt: np.uint64) -> np.ndarray:
+    """48-bit hashes of the ``size`` bytes from each place."""
+    h = np.full(len(at), salt, U)
+    for step in [*range(0, size - 8, 8), size - 8]:
+        h = (h ^ words[at + step]) * MIX_A
+        h ^= h >> U(29)
+    h *= MIX_B
+    return (h ^ (h >> U(31))) >> U(16)
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows, row, windows of the left key, left key, right key) for each anchor.
 
     A window is a start whose ``length`` bytes lie in one row; its anchor is
     the leftmost gram of least hash inside it, which depends on those bytes
-    alone.  The windows of one anchor are consecutive.
+    alone.  The windows of one anchor are consecutive.  The earlier ones also
+    hold the bytes before the gram that the left key covers, the later ones
+    those after it, up to the right key's end.
     """
     n = len(data)
     starts = np.arange(n)
@@ -49,7 +63,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     valid = starts + length <= row_end
     if not valid.any():
         none = np.zeros(0, np.int64)
-        return none.astype(U), none, none, none
+        return none.astype(U), none, none, none, none, none.astype(U), none.astype(U)
     gram, words = _gram(length), _words_at(data)
     h = np.zeros(n, U)
     for at in range(0, gram, 8):
@@ -68,7 +82,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
     begins = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
     counts = np.diff(np.concatenate((begins, [len(where)])))
     rows = np.searchsorted(offsets, first[begins], "right") - 1
-    return h[where[begins]] >> U(16), first[begins], counts, rows
+    at, side = where[begins], (length - gram) // 2
+    lefts = np.clip(at - side - first[begins] + 1, 0, counts)
+    # A key is read at a clipped place only where no window uses it.
+    left = _run_keys(words, np.maximum(at - side, 0), gram + side, U(1))
+    right = _run_keys(words, np.minimum(at, max(n - gram - side, 0)), gram + side, U(2))
+    return h[at] >> U(16), first[begins], counts, rows, lefts, left, right
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
@@ -82,6 +101,11 @@ def unpack_keys(blob: bytes) -> np.ndarray:
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
+    top = int(keys.max(initial=0))
+    if top < 1 << 24 and len(keys) > 1 << 16:  # few possible keys: a table instead of a sort
+        present = np.zeros(top + 1, np.int64)
+        present[keys] = 1
+        return np.cumsum(present)[keys] - 1
     return np.unique(keys, return_inverse=True)[1]
 
 
@@ -174,15 +198,18 @@ class _Chunk:
     def __init__(self, table: pa.Table, length: int):
         self.length, self.parts = length, []
         ids, texts = table.column("doc_id").combine_chunks(), table.column("text").combine_chunks()
-        for first, last, data, offsets in slices(texts):
+        for first, last, data, offsets in slices(texts, SLICE_BYTES):
             own = ids.slice(first, last - first)
-            key, window, count, row = anchors(data, offsets, length)
+            key, window, count, row, lefts, left, right = anchors(data, offsets, length)
             held = ~own.is_null().to_numpy(zero_copy_only=False)
             docs = own.fill_null(0).to_numpy(zero_copy_only=False)
             named = held[row]
-            self.parts.append((own, data, offsets, key[named], window[named], count[named], docs[row[named]]))
-        self.keys = np.concatenate([np.zeros(0, U), *[p[3] for p in self.parts]])
-        self.docs = np.concatenate([np.zeros(0, np.int64), *[p[6] for p in self.parts]])
+            self.parts.append((own, data, offsets, key[named], window[named], count[named], docs[row[named]], lefts[named], left[named], right[named]))
+        keys, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        for _, _, _, _, _, count, docs, lefts, left, right in self.parts:
+            keys += [left[lefts > 0], right[lefts < count]]
+            owners += [docs[lefts > 0], docs[lefts < count]]
+        self.keys, self.docs = np.concatenate(keys), np.concatenate(owners)
 
     def own_keys(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct keys, and whether several of the documents here have them."""
@@ -193,24 +220,34 @@ class _Chunk:
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[heads], np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads)
 
-    def contexts(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Distinct texts around shared anchors: bytes, key, least document; and for each part the text of each anchor (-1: none)."""
+    def contexts(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple], np.ndarray, np.ndarray]:
+        """Distinct texts of the windows whose left or right key is shared.
+
+        Bytes, key and least document of each; for each part of the chunk the
+        text of each anchor (-1: none), its first window and how many; and the
+        shared keys in use with the keys of their anchors.
+        """
         seen: dict[bytes, int] = {}
-        keys, least, of_part = [], [], []
-        for _, data, _, key, window, count, docs in self.parts:
+        keys, least, of_part, used = [], [], [], [(np.zeros(0, U), np.zeros(0, U))]
+        for _, data, _, key, window, count, docs, lefts, left, right in self.parts:
             raw, chosen = data.tobytes(), np.full(len(key), -1)
-            for i in np.flatnonzero(np.isin(key, shared)).tolist():
-                at = int(window[i])
-                piece = raw[at : at + int(count[i]) - 1 + self.length]
+            in_left, in_right = (lefts > 0) & np.isin(left, shared), (lefts < count) & np.isin(right, shared)
+            used += [(left[in_left], key[in_left]), (right[in_right], key[in_right])]
+            first = window + np.where(in_left, 0, lefts)
+            many = np.where(in_left, lefts, 0) + np.where(in_right, count - lefts, 0)
+            at = np.flatnonzero(many)
+            for i, low, high, doc in zip(at.tolist(), first[at].tolist(), (first[at] + many[at] - 1 + self.length).tolist(), docs[at].tolist()):
+                piece = raw[low:high]
                 number = seen.setdefault(piece, len(seen))
                 if number == len(keys):
                     keys.append(key[i])
-                    least.append(docs[i])
-                elif docs[i] < least[number]:
-                    least[number] = docs[i]
+                    least.append(doc)
+                elif doc < least[number]:
+                    least[number] = doc
                 chosen[i] = number
-            of_part.append(chosen)
-        return list(seen), np.array(keys, U), np.array(least, np.int64), of_part
+            of_part.append((chosen, first, many))
+        flat = [np.concatenate(x) for x in zip(*used)]
+        return list(seen), np.array(keys, U), np.array(least, np.int64), of_part, *flat
 
 
 def _groups(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -253,12 +290,13 @@ def _send_contexts(length: int, buckets: int) -> Callable[[pa.Table, pa.Table],
             chunk = _Chunk(table, length)
             keys, several = chunk.own_keys()
             shared = np.unique(np.concatenate([keys[several], *[unpack_keys(x.as_py()) for x in told.column("shared")]]))
-            pieces, key, least, _ = chunk.contexts(shared)
+            pieces, key, least, _, used, used_in = chunk.contexts(shared)
+            told_on = {bucket: np.unique(used[at]) for bucket, at in _groups(used_in, buckets)}
             sizes = np.array([len(p) for p in pieces], np.int32)
             squeeze = zstandard.ZstdCompressor(level=1)
             for bucket, at in _groups(key, buckets):
                 text = squeeze.compress(b"".join([pieces[i] for i in at]))
-                rows.append((bucket, table.column("chunk")[0].as_py(), text, sizes[at].tobytes(), least[at].tobytes(), pack_keys(np.unique(key[at]))))
+                rows.append((bucket, table.column("chunk")[0].as_py(), text, sizes[at].tobytes(), least[at].tobytes(), pack_keys(told_on[bucket])))
         return _rows(["bucket", "chunk", "pieces", "sizes", "owners", "keys"], [pa.int64(), pa.int64(), *[pa.binary()] * 4], rows)
 
     return run
@@ -269,12 +307,25 @@ def _sort_bucket(length: int) -> Callable[[pa.Table], pa.Table]:
         open_up = zstandard.ZstdDecompressor()
         texts = [open_up.decompress(x.as_py()) for x in table.column("pieces")]
         sizes = [np.frombuffer(x.as_py(), np.int32) for x in table.column("sizes")]
-        every, owner = np.concatenate(sizes).astype(np.int64), np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        begin = np.cumsum(every) - every
-        windows = every - length + 1
+        owners = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
+        # Equal texts of several chunks are sorted once, for the least document.
+        numbers: dict[bytes, int] = {}
+        which = []
+        for text, size in zip(texts, sizes):
+            ends = np.cumsum(size).tolist()
+            which += [numbers.setdefault(text[low:high], len(numbers)) for low, high in zip([0, *ends], ends)]
+        which = np.array(which)
+        least = np.full(len(numbers), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, owners)
+        every = np.array([len(t) for t in numbers], np.int64)
+        data = np.frombuffer(b"".join(numbers), np.uint8)
+        del texts, numbers
+        begin, windows = np.cumsum(every) - every, every - length + 1
         is_window = np.arange(len(data)) - np.repeat(begin, every) < np.repeat(windows, every)
-        found = repeated_windows(data, is_window, np.repeat(owner, windows), length)
+        sorted_once = repeated_windows(data, is_window, np.repeat(least, windows), length)
+        begin, many = np.cumsum(windows) - windows, windows[which]
+        step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        found = sorted_once[np.repeat(begin[which], many) + step] | np.repeat(owners > least[which], many)
         ends, rows = np.cumsum([int((s - length + 1).sum()) for s in sizes]), []
         for i, part in enumerate(np.split(found, ends[:-1])):
             rows.append((table.column("chunk")[i].as_py(), table.column("bucket")[i].as_py(), table.column("keys")[i].as_py(), np.packbits(part).tobytes()))
@@ -283,14 +334,14 @@ def _sort_bucket(length: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _cut(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _cut(length: int, buckets: int, names: list[str]) -> Callable[[pa.Table, pa.Table], pa.Table]:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = ["doc_id", "n_bytes", "kept", "spans"]
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        out = []
+        out, row = [], 0
+        carried = [table.column(n).combine_chunks() for n in names[4:]]
         chunk = _Chunk(table, length)
-        pieces, key, least, of_part = chunk.contexts(np.unique(np.concatenate([np.zeros(0, U), *[unpack_keys(x.as_py()) for x in told.column("keys")]])))
+        pieces, key, least, of_part, _, _ = chunk.contexts(np.unique(np.concatenate([np.zeros(0, U), *[unpack_keys(x.as_py()) for x in told.column("keys")]])))
         windows = np.array([len(p) - length + 1 for p in pieces], np.int64)
         begin = np.cumsum(windows) - windows
         removed = np.zeros(int(windows.sum()), bool)
@@ -299,7 +350,7 @@ def _cut(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             total = int(windows[at].sum())
             place = np.repeat(begin[at], windows[at]) + np.arange(total) - np.repeat(np.cumsum(windows[at]) - windows[at], windows[at])
             removed[place] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=total).astype(bool)
-        for (ids, data, offsets, _, window, count, docs), chosen in zip(chunk.parts, of_part):
+        for (ids, data, offsets, _, _, _, docs, *_), (chosen, window, count) in zip(chunk.parts, of_part):
             change = np.zeros(len(data) + 1, np.int32)
             use = chosen >= 0
             number, first, many = chosen[use], window[use], count[use]
@@ -317,13 +368,14 @@ def _cut(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             in_row = offsets[rows]
             spans = pa.ListArray.from_arrays(pa.array(heads, pa.int32()), pa.StructArray.from_arrays([pa.array(starts - in_row), pa.array(ends - in_row)], names=["start", "end"]))
             kept = pa.array([keep[bounds[i] : bounds[i + 1]] for i in range(len(ids))], pa.binary())
-            out.append(pa.table([ids.cast(pa.int64()), pa.array(np.diff(offsets)), kept, spans.cast(spans_type)], names=names))
-        return pa.concat_tables(out) if out else _rows(names, [pa.int64(), pa.int64(), pa.binary(), spans_type], [])
+            out.append(pa.table([ids.cast(pa.int64()), pa.array(np.diff(offsets)), kept, spans.cast(spans_type), *[c.slice(row, len(ids)) for c in carried]], names=names))
+            row += len(ids)
+        return pa.concat_tables(out) if out else _rows(names, [pa.int64(), pa.int64(), pa.binary(), spans_type, *[c.type for c in carried]], [])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: Column | None = None) -> DataFrame:
     """Cut every byte that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
     Texts are UTF-8 bytes; null is empty.  Strings are judged on the input.
@@ -331,7 +383,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``kept`` (the remaining bytes) and ``spans`` (maximal removed runs as byte
     ranges).  A text shorter than ``length`` stays whole; so does a row with a
     null id, which removes nothing elsewhere either.  Rows that repeat an id
-    don't remove from each other.  Ids are integers; other columns aren't read.
+    don't remove from each other.  Ids are integers; other columns aren't read,
+    but ``carry`` is one more column to bring along.
 
     Documents are dealt into chunks by a hash of the id and shuffled once; all
     three passes over the text read that shuffle.  What else moves is six bytes
@@ -341,16 +394,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if length < 32:
         raise ValueError("length must be 32 or more")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    more = [] if carry is None else [carry.alias("carried")]
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
     total = docs.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first().n or 0
     chunks = max(LEAST_CHUNKS, total // CHUNK_BYTES)
-    buckets = 2 * chunks
+    buckets = 4 * chunks
     dealt: Column = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks))
-    held = docs.select(dealt.alias("chunk"), "doc_id", "text")
+    held = docs.select(dealt.alias("chunk"), "*")
+    schema = T.StructType.fromDDL("doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+    schema = T.StructType([*schema.fields, *[docs.schema["carried"] for _ in more]])
     listed = held.groupBy("chunk").applyInArrow(_list_keys(length, chunks), "bucket long, chunk long, single binary, several binary")
     told = listed.groupBy("bucket").applyInArrow(_match_keys, "chunk long, shared binary")
     sent = held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
         _send_contexts(length, buckets), "bucket long, chunk long, pieces binary, sizes binary, owners binary, keys binary")
     found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "chunk long, bucket long, keys binary, found binary")
     return held.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
-        _cut(length, buckets), "doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
+        _cut(length, buckets, ["doc_id", "n_bytes", "kept", "spans", *(["carried"] if more else [])]), schema)
