@@ -26,15 +26,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def with_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is among ``keys`` (one column of that name).
+def with_keys(df: DataFrame, keys: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """Rows of ``df`` whose ``column`` is among ``keys`` (one column of that name), or with ``left_anti`` is not.
 
     The keys are counted first; few go to every executor, so the wide side
     stays where it is, and more are joined by a shuffle.
     """
     keys = keys.select(column).distinct()
     few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return df.join(F.broadcast(keys) if few else keys, column, "left_semi")
+    return df.join(F.broadcast(keys) if few else keys, column, how)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from emberkeep.llm.common import ALNUM_OR_HIGH, LOWER, U, slices, word_bounds
 
@@ -17,6 +18,7 @@ GRAMS = (4, 5, 6)  # bytes, the blank on either side of a word included
 DIM = 4
 SEGMENT = 2  # words whose bags are averaged before the softmax
 SAMPLE_PER_CLASS = 800  # labelled rows of each class that the model is fitted on, at most
+CALIBRATE_EVERY, FALSE_ALARM = 4, 3.0
 LEAST_DOCS = 3  # a subword that fewer sampled documents have isn't learnt
 STEPS, AVERAGED_STEPS, RATE, MOMENTUM = 40, 10, 1.0, 0.7
 HASH = U(0x9E3779B97F4A7C15)
@@ -170,6 +172,21 @@ def train(texts: list[str | None], toxic: list[int]) -> ToxicityModel | None:
     return ToxicityModel(whole, params[1], params[2])
 
 
+def calibrated(model: ToxicityModel, texts: list[str | None], toxic: list[int]) -> ToxicityModel:
+    """Moves the bias to the cut that serves rows apart from the fit best, where a false alarm costs ``FALSE_ALARM`` misses."""
+    y = np.asarray(toxic)
+    if len(set(y.tolist())) < 2:
+        return model
+    scores = score_column(pa.array([t or "" for t in texts]), model.bucket_scores(), model.log_odds_bias())
+    odds = np.log(np.maximum(scores, 1e-30)) - np.log1p(-np.minimum(scores, 1 - 1e-15))
+    steps = np.unique(odds)
+    cuts = np.concatenate(([0.0], (steps[1:] + steps[:-1]) / 2))
+    gain = [(odds[y == 1] >= c).mean() - FALSE_ALARM * (odds[y == 0] >= c).mean() for c in cuts]
+    best = np.flatnonzero(np.array(gain) >= max(gain) - 1e-12)
+    middle = float(cuts[best[np.argsort(cuts[best])[len(best) // 2]]])
+    return ToxicityModel(model.embedding, model.weight, model.bias - np.array([0.0, middle]))
+
+
 def score_column(column: pa.Array, bucket_scores: np.ndarray, bias: float) -> np.ndarray:
     """Scores of whole texts: the probability of the most toxic segment; 0 without words."""
     out = np.zeros(len(column))
@@ -214,18 +231,27 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         picked = some if picked is None else picked.union(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(picked), "id")
     rows = sorted((r.id, r.text or "", r.y) for r in texts.collect())
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    # The rows are in id order; every fourth of a class sets the cut and isn't fitted on.
+    apart, seen = [], [0, 0]
+    for row in rows:
+        seen[row[2]] += 1
+        apart.append(seen[row[2]] % CALIBRATE_EVERY == 0)
+    fit, rest = ([r for r, a in zip(rows, apart) if a == side] for side in (False, True))
+    model = train([r[1] for r in fit], [r[2] for r in fit])
+    return None if model is None else calibrated(model, [r[1] for r in rest], [r[2] for r in rest])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text", carry: Column | None = None) -> DataFrame:
     """``doc_id`` and ``score`` of every row, from whole texts, without a shuffle.
 
     A text without words (null, empty) scores 0, as everything does when there
-    was no model to fit.  Only the id and the text are read; repeated rows and
-    null ids score like any other.
+    was no model to fit.  Only the id and the text are read, but ``carry`` is
+    one more column to bring along; repeated rows and null ids score like any
+    other.
     """
-    held = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    more = [] if carry is None else [carry.alias("carried")]
+    held = docs.select(F.col(id_col).alias("doc_id"), *more, F.col(text_col).cast("string").alias("text"))
     context = docs.sparkSession.sparkContext
     table = None if model is None else context.broadcast(model.bucket_scores())
-    schema = f"doc_id {held.schema['doc_id'].dataType.simpleString()}, score double"
+    schema = T.StructType([*held.schema.fields[:-1], T.StructField("score", T.DoubleType())])
     return held.mapInArrow(_scorer(table, 0.0 if model is None else model.log_odds_bias()), schema)
