@@ -21,7 +21,7 @@ def _cases(key: str, table: dict) -> str:
 
 def _definitions() -> dict[str, tuple[str, str, str]]:
     dot = "aggregate(zip_with(a, b, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)"
-    part = [f"try_cast(regexp_extract(s, {_lit(SEMVER)}, {i}) as int)" for i in (1, 2, 3)]
+    part = [f"try_cast(regexp_extract(s, {_lit(SEMVER)}, {i}) as bigint)" for i in (1, 2, 3)]
     pre = f"regexp_extract(s, {_lit(SEMVER)}, 4)"
     pii = ", ".join(f"case when t rlike {_lit(p)} then '{n}' end" for n, p in security.PII_PATTERNS.items())
     secrets = ", ".join(f"case when t rlike {_lit(p)} then '{n}' end" for n, p in security.SECRET_PATTERNS.items())
@@ -40,7 +40,7 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
                        f"case when s is null then 'null' else {quote_sql('s')} end"),
         "line_key": ("k string", "string",
                      key_sql("k")),
-        "semver": ("s string", "struct<major int, minor int, patch int, release int, pre string>",
+        "semver": ("s string", "struct<major bigint, minor bigint, patch bigint, release int, pre string>",
                    f"case when s rlike {_lit(SEMVER)} then named_struct('major', {part[0]}, 'minor', {part[1]}, "
                    f"'patch', {part[2]}, 'release', case when {pre} = '' then 1 else 0 end, 'pre', {pre}) end"),
         "checksum": ("content string", "string", "concat('sha256:', sha2(cast(content as binary), 256))"),

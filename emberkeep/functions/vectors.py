@@ -35,6 +35,7 @@ def score_against(vector: Column, norm: Column, query: list[float]) -> Column:
     q = np.asarray(query, dtype="f8")
     q = q / np.sqrt(float(q @ q))
 
+    # Called nondeterministic so that a condition on the score isn't a second evaluation of the kernel.
     @F.arrow_udf("double")
     def kernel(vectors: pa.Array, norms: pa.Array) -> pa.Array:
         out = np.full(len(vectors), np.nan)
@@ -48,7 +49,7 @@ def score_against(vector: Column, norm: Column, query: list[float]) -> Column:
             out[usable] = np.einsum("ij,j->i", matrix, q) / lengths[usable]
         return pa.array(out, mask=~usable)
 
-    return F.round(kernel(vector, norm), SCORE_DECIMALS)
+    return F.round(kernel.asNondeterministic()(vector, norm), SCORE_DECIMALS)
 
 
 def expired(expires_ms: Column, now_ms: Column | int) -> Column:

@@ -10,31 +10,38 @@ BUMPS = ("patch", "minor", "major")
 
 
 def semver(s: Column) -> Column:
-    """struct<major, minor, patch, release, pre>, ordered as versions are.
+    """struct<major, minor, patch, release, parts, pre, text>, ordered as versions are.
 
-    ``release`` is 0 for a pre-release, so it sorts below its release.  Text
-    that is not a version gives null.
+    ``release`` is 0 for a pre-release, so it sorts below its release;
+    ``parts`` are the dot-parts of the pre-release, numbers before and as
+    numbers.  ``text`` is what was stored.  Text that is not a version, or has
+    a number beyond 64 bits, gives null.
     """
+    number = r"^\d+$"
     part = [F.regexp_extract(s, SEMVER, i) for i in range(1, 5)]
     parsed = F.struct(
-        part[0].try_cast("int").alias("major"),
-        part[1].try_cast("int").alias("minor"),
-        part[2].try_cast("int").alias("patch"),
+        part[0].try_cast("bigint").alias("major"),
+        part[1].try_cast("bigint").alias("minor"),
+        part[2].try_cast("bigint").alias("patch"),
         F.when(part[3] == "", F.lit(1)).otherwise(F.lit(0)).alias("release"),
+        F.transform(F.split(part[3], r"\."), lambda x: F.struct(
+            F.when(x.rlike(number), 0).otherwise(1).alias("kind"), x.try_cast("decimal(38,0)").alias("number"), x.alias("text"))).alias("parts"),
         part[3].alias("pre"),
+        s.alias("text"),
     )
-    return F.when(s.rlike(SEMVER), parsed)
+    sound = F.forall(F.array(*part[:3]), lambda x: x.try_cast("bigint").isNotNull())
+    return F.when(s.rlike(SEMVER) & sound, parsed)
 
 
 def semver_cmp(a: Column, b: Column) -> Column:
     """-1, 0 or 1."""
-    left, right = semver(a), semver(b)
+    left, right = (semver(x).dropFields("pre", "text") for x in (a, b))
     return F.when(left < right, -1).when(left > right, 1).when(left == right, 0)
 
 
 def semver_text(v: Column) -> Column:
-    core = F.concat_ws(".", v["major"], v["minor"], v["patch"])
-    return F.when(v["release"] == 1, core).otherwise(F.concat(core, F.lit("-"), v["pre"]))
+    """The version as it was stored."""
+    return v["text"]
 
 
 def parse_artefact_ref(s: Column, default_namespace: str = "default") -> Column:

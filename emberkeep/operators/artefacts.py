@@ -305,7 +305,7 @@ def version_order(version: Column) -> Column:
     sv = semver(version)
     minor = F.least(sv["minor"], F.lit(1023))
     patch = F.when(minor == 1023, 1023).otherwise(F.least(sv["patch"], F.lit(1023)))
-    return sv["major"].cast("long") * 1048576 + minor * 1024 + patch
+    return sv["major"].cast("double") * 1048576 + minor * 1024 + patch
 
 
 def consecutive_diff(v: DataFrame, carried: list[str]) -> DataFrame:

@@ -53,9 +53,10 @@ def get_many(checkpoints: DataFrame, ids: DataFrame) -> DataFrame:
 def inject_upstream(consumers: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """consumer_id -> map of each dependency to its output; misses are null.
 
-    Only the consumer's own list is gathered again, so its size bounds a group.
+    A dependency that is listed twice counts once.  Only the consumer's own list
+    is gathered again, so its size bounds a group.
     """
-    wanted = consumers.select("consumer_id", F.posexplode_outer("depends_on").alias("pos", "agent_id"))
+    wanted = consumers.select("consumer_id", F.posexplode_outer(F.array_distinct("depends_on")).alias("pos", "agent_id"))
     found = wanted.join(checkpoints.select("agent_id", "data"), "agent_id", "left")
     entry = F.when(F.col("agent_id").isNotNull(), F.struct("pos", F.col("agent_id").alias("key"), F.col("data").alias("value")))
     listed = found.groupBy("consumer_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))

@@ -38,8 +38,9 @@ def visible_text(html: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """Link targets in order; relative ones in their internal form."""
-    found = F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href="([^"]*)"'), F.lit(1))
+    """Link targets in order, quoted either way or bare; relative ones in their internal form."""
+    held = F.regexp_extract_all(html, F.lit(r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(1))
+    found = F.transform(held, lambda u: F.when(u.rlike("^[\"']"), F.substring(u, F.lit(2), F.length(u) - 2)).otherwise(u))
     return F.transform(found, lambda u: F.when(u.startswith("http"), u).otherwise(
         F.concat(F.lit("[Internal link → "), u, F.lit("]"))))
 

@@ -26,7 +26,6 @@ DELIMITERS = {"comma": ",", "tab": "\t", "pipe": "|"}
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 ARRAY_HEADER = rf'^({QUOTED}|[A-Za-z_][^\["\:]*)?\[(\d*)([\t|]?)\](\{{(?:{QUOTED}|[^}}"])*\}})?:\s*(.*)$'
 KEY_VALUE = rf'^({QUOTED}|[^":\[\{{]+):\s*(.*)$'
-LEVELS = 5  # nesting levels the format can produce
 ROWS_PER_BLOCK = 10_000
 
 
@@ -206,7 +205,7 @@ def _cell(c: Column, kind: str) -> Column:
 def _directive(lines: Column, name: str, default: str) -> Column:
     start = f"%{name} "
     found = F.filter(lines, lambda x: F.trim(x).startswith(start))
-    return F.coalesce(F.trim(F.substring(F.trim(F.get(found, F.lit(0))), len(start) + 1, 40)), F.lit(default))
+    return F.coalesce(F.trim(F.substring(F.trim(F.get(found, F.lit(0))), len(start) + 1, 2**31 - 1)), F.lit(default))
 
 
 def read_doc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,12 +250,18 @@ def _header_part(content: Column, group: int) -> Column:
     return F.regexp_extract(content, ARRAY_HEADER, group)
 
 
-def classify_lines(lines: DataFrame) -> DataFrame:
+def line_levels(lines: DataFrame) -> int:
+    """How many levels of lines the deepest document has; plans fold that many."""
+    return (lines.agg(F.max("depth")).first()[0] or 0) + 1
+
+
+def classify_lines(lines: DataFrame, levels: int | None = None) -> DataFrame:
     """Add what each line is, and the line it hangs under.
 
     The parent is the nearest line above at a smaller depth, found with one
     window per document.  Rows of a tabular block are told by their parent.
     """
+    levels = levels or line_levels(lines)
     content = F.col("content")
     item = content.rlike(r"^-(?: |$)")
     body = F.when(item, F.trim(F.substring(content, F.lit(2), F.length(content)))).otherwise(content)
@@ -280,9 +285,9 @@ def classify_lines(lines: DataFrame) -> DataFrame:
     })
     above = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
     me = F.struct("line_no", "depth", "kind", "declared", "names", "mark")
-    tracked = named.withColumns({f"__p{d}": F.last(F.when(F.col("depth") == d, me), True).over(above) for d in range(LEVELS)})
-    parent = F.array_max(F.array(*[F.when(F.col("depth") > d, F.col(f"__p{d}")) for d in range(LEVELS)]))
-    hung = tracked.withColumn("parent", parent).drop(*[f"__p{d}" for d in range(LEVELS)])
+    tracked = named.withColumns({f"__p{d}": F.last(F.when(F.col("depth") == d, me), True).over(above) for d in range(levels)})
+    parent = F.array_max(F.array(*[F.when(F.col("depth") > d, F.col(f"__p{d}")) for d in range(levels)]))
+    hung = tracked.withColumn("parent", parent).drop(*[f"__p{d}" for d in range(levels)])
     in_table = (F.col("parent.kind") == "tabular") & (F.col("kind") != "close") & (F.col("parent.depth") == F.col("depth") - 1)
     return hung.withColumn("kind", F.when(in_table, "row").otherwise(F.col("kind")))
 
@@ -300,7 +305,9 @@ def _diagnostic(severity: str, line_no: Column, message: Column) -> Column:
 
 def validate_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, severity, message) for everything wrong with each document."""
-    lines = classify_lines(read_doc_lines(docs, id_col, text_col))
+    read = read_doc_lines(docs, id_col, text_col)
+    levels = line_levels(read)
+    lines = classify_lines(read, levels)
     content, n = F.col("content"), F.col("line_no")
     indent = F.regexp_extract("raw", r"^([ \t]*)", 1)
     unpaired = F.regexp_replace(content, QUOTED, "")
@@ -325,11 +332,12 @@ def validate_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             "ERROR", n, F.concat(F.lit("Missing colon — expected key: value but got: "), content))),
     ]
     per_line = lines.select("doc_id", F.explode_outer(F.array_compact(F.array(*checks))).alias("d")).where("d is not null")
-    return per_line.unionByName(_block_diagnostics(lines)).select("doc_id", "d.line_no", "d.severity", "d.message")
+    return per_line.unionByName(_block_diagnostics(lines, levels)).select("doc_id", "d.line_no", "d.severity", "d.message")
 
 
-def validate_blocks(lines: DataFrame) -> DataFrame:
+def validate_blocks(lines: DataFrame, levels: int | None = None) -> DataFrame:
     """Counted and declared length of every block, and whether a line ends it."""
+    levels = levels or line_levels(lines)
     blocks = lines.where(F.col("kind").isin("tabular", "list")).select(
         "doc_id", F.col("line_no").alias("block"), F.col("depth").alias("at"), "declared", F.lit(0).alias("counted"))
     counts = (F.col("kind") == "row") | (F.col("is_item") & (F.col("parent.kind") == "list"))
@@ -338,13 +346,13 @@ def validate_blocks(lines: DataFrame) -> DataFrame:
     counted = blocks.unionByName(members).groupBy("doc_id", "block").agg(
         F.max("at").alias("at"), F.max("declared").alias("declared"), F.sum("counted").alias("counted"))
     ends = lines.groupBy("doc_id").agg(
-        F.array(*[F.max(F.when(F.col("depth") <= d, F.col("line_no"))) for d in range(LEVELS)]).alias("last_at"))
+        F.array(*[F.max(F.when(F.col("depth") <= d, F.col("line_no"))) for d in range(levels)]).alias("last_at"))
     closed = F.coalesce(F.get("last_at", F.col("at")) > F.col("block"), F.lit(False))
     return counted.join(ends, "doc_id").select("doc_id", "block", "declared", "counted", closed.alias("closed"))
 
 
-def _block_diagnostics(lines: DataFrame) -> DataFrame:
-    blocks = validate_blocks(lines).where("declared is not null")
+def _block_diagnostics(lines: DataFrame, levels: int) -> DataFrame:
+    blocks = validate_blocks(lines, levels).where("declared is not null")
     off = F.col("closed") & (F.col("counted") != F.col("declared"))
     checks = [
         F.when(off, _diagnostic("ERROR", F.col("block"), F.format_string("Declared %d items but counted %d", "declared", "counted"))),
@@ -388,7 +396,9 @@ def decode_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Lines fold into their parents level by level, deepest first; every level
     groups by (doc_id, line) on data already partitioned by document.
     """
-    lines = classify_lines(read_doc_lines(docs, id_col, text_col))
+    read = read_doc_lines(docs, id_col, text_col)
+    levels = line_levels(read)
+    lines = classify_lines(read, levels)
     b = F.col("body")
     is_field = F.col("kind") == "field"
     is_header = F.col("kind").isin("tabular", "list", "inline")
@@ -418,13 +428,13 @@ def decode_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     whole = Window.partitionBy("doc_id")
     counted = lines.where("kind <> 'close'").withColumn("__several", F.count("*").over(whole) > 1)
     # A line with nothing one level above it is kept at the root for its error only.
-    lost = (F.col("depth") > 0) & ~F.coalesce(F.col("parent.depth") == F.col("depth") - 1, F.lit(False)) | (F.col("depth") >= LEVELS)
+    lost = (F.col("depth") > 0) & ~F.coalesce(F.col("parent.depth") == F.col("depth") - 1, F.lit(False))
     stray = F.when(lost, F.array(F.format_string("Line %d: unexpected depth", "line_no"))).otherwise(F.array().cast("array<string>"))
     nodes = counted.select(
         "doc_id", "line_no", F.when(lost, 0).otherwise(F.col("depth")).alias("depth"), F.when(lost, "stray").otherwise(F.col("kind")).alias("kind"),
         (F.col("is_item") & ~lost).alias("is_item"), "strict", "declared", F.coalesce("parent.line_no", F.lit(0)).alias("under"),
         F.when(~lost, key).alias("key"), leaf.alias("json"), F.concat(wrong, stray).alias("errors"))
-    for depth in range(LEVELS - 2, -1, -1):
+    for depth in range(levels - 2, -1, -1):
         nodes = _fold_level(nodes, depth)
     return _fold_roots(nodes)
 

@@ -1,33 +1,39 @@
 """Running aggregates and exact percentiles that no hot key can pile into one task.
 
 A plain window sends a whole key to one task.  Here the order column is cut at
-fixed points; rows shuffle by (key, bucket), per-bucket totals (a few rows per
-key) give each bucket its offset, and the window only runs inside a bucket.
+fixed points, more of them the more rows there are; rows shuffle once by (key,
+bucket), per-bucket totals (a few rows per key) give each bucket its offset, and
+the window only runs inside a bucket.  Tables of all sizes go this way.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
-PLAIN_ROWS = 1_000_000  # a table this small cannot hold a key too large for one task
+LEAST_BUCKETS, MOST_BUCKETS = 8, 1_024  # the cut points are literals of the plan
 
 Aggs = dict[str, tuple[str, Column]]
 FOLD = {"sum": F.sum, "count": F.sum, "rank": F.sum, "max": F.max, "min": F.min}
 
 
-def order_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[int | float]:
-    """Cut points of the order column, read once; none for a table that needs no cuts.
+def bucket_count(rows: int) -> int:
+    """A quarter of the square root of the row count, within what a plan holds."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, math.isqrt(rows) // 4))
+
+
+def order_bounds(df: DataFrame, order: str, buckets: int | None = None) -> list[int | float]:
+    """Cut points of the order column, as many as the row count asks for.
 
     They become literals, so every later evaluation of a row, also a repeated
     one after a lost executor, puts it in the same bucket.
     """
+    buckets = buckets or bucket_count(df.count())
     points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    row = df.agg(F.count("*").alias("n"), F.percentile_approx(order, points, F.lit(2_000)).alias("p")).first()
-    return [] if row.n <= PLAIN_ROWS else sorted(set(row.p))
+    return sorted(set(df.agg(F.percentile_approx(order, points, F.lit(4 * MOST_BUCKETS)).alias("p")).first().p or []))
 
 
 def _bucket(order: str, bounds: list) -> Column:
@@ -77,13 +83,9 @@ def running(
     bounds = order_bounds(df, order) if bounds is None else bounds
     inputs = {n: (F.lit(1) if kind in ("count", "rank") else expr) for n, (kind, expr) in aggs.items()}
     staged = df.withColumns({f"__in_{n}": e for n, e in inputs.items()})
-    if not bounds:
-        plain = _within(keys, order, ties, aggs, descending)
-        shown = [(c["v"] if aggs[n][0] == "prev" else c).alias(n) for n, c in plain.items()]
-        return staged.select(*df.columns, *shown)
-
     staged = staged.withColumn("__bucket", _bucket(order, bounds))
-    part = [*keys, "__bucket"]
+    # Key and bucket as one text that is never null: rows shuffle by it once, for the window and the join.
+    staged = staged.withColumn("__spot", F.to_json(F.struct(*keys, "__bucket")))
     position = F.struct(order, *ties)
     ends_with = F.min_by if descending else F.max_by
 
@@ -91,22 +93,17 @@ def running(
         value = F.col(f"__in_{name}")
         return ends_with(F.struct(value.alias("v")), position) if kind == "prev" else FOLD[kind](value)
 
-    totals = staged.groupBy(*part).agg(*[total(n, k).alias(f"__t_{n}") for n, (k, _) in aggs.items()])
+    totals = staged.groupBy("__spot", *keys, "__bucket").agg(*[total(n, k).alias(f"__t_{n}") for n, (k, _) in aggs.items()])
     direction = F.desc if descending else F.asc
     before = Window.partitionBy(*keys).orderBy(direction("__bucket")).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys],
-        F.col("__bucket").alias("__b"),
+        F.col("__spot").alias("__s"),
         *[FOLD.get(k, F.last)(f"__t_{n}").over(before).alias(f"__o_{n}") for n, (k, _) in aggs.items()],
     )
-    on = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys],
-        F.col("__bucket") == F.col("__b"),
-    )
+    local = staged.repartition("__spot").withColumns({f"__w_{n}": c for n, c in _within(["__spot"], order, ties, aggs, descending).items()})
     added = []
-    for name, here in _within(part, order, ties, aggs, descending).items():
-        kind, offset = aggs[name][0], F.col(f"__o_{name}")
+    for name, (kind, _) in aggs.items():
+        here, offset = F.col(f"__w_{name}"), F.col(f"__o_{name}")
         if kind == "prev":
             value = F.coalesce(here, offset)["v"]
         elif kind in ("max", "min"):
@@ -115,7 +112,7 @@ def running(
         else:
             value = F.when(offset.isNull(), here).otherwise(offset + F.coalesce(here, F.lit(0)))
         added.append(value.alias(name))
-    return staged.join(offsets, on, "left").select(*df.columns, *added)
+    return local.join(offsets, F.col("__spot") == F.col("__s"), "left").select(*df.columns, *added)
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float], bounds: list | None = None) -> DataFrame:

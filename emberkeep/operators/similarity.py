@@ -35,8 +35,9 @@ def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _usable(df: DataFrame, dim: int) -> DataFrame:
-    """Rows of the right dimension whose vector is not all zeros."""
-    return df.where((F.size("embedding") == dim) & F.exists("embedding", lambda x: x != 0))
+    """Rows of the right dimension whose vector is finite, without nulls and not all zeros."""
+    sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return df.where((F.size("embedding") == dim) & sound & F.exists("embedding", lambda x: x != 0))
 
 
 class _Best:

@@ -84,7 +84,7 @@ def read_api_log(spark, sf_dir):
 
 @query(with_views("v6", """
 select event_type as action, cast(at_ms as bigint) as at_ms, strftime(epoch_ms(at_ms), '%Y-%m-%d') as day, 'artefact_id=' || subject || ',user_id=u' || at_ms % 7 as metadata
-from v6 where event_type = 'artefact.fetch'"""))
+from v6"""))
 def append_audit(spark, sf_dir):
     path = work_dir(spark, "audit")
     actions = view(spark, sf_dir, "v6").select(
@@ -118,7 +118,7 @@ def error_breakdown(spark, sf_dir):
 
 @query(with_views("v5 v6", f"""
 with r as (select * from v6 where event_type = 'artefact.fetch' and at_ms >= {NOW} - 30 * 86400000::bigint),
-s as (select doc_id, doc_id % 5 <> 0 as passed, 100 - doc_id % 50 as score from documents)
+s as (select doc_id, doc_id % 5 <> 0 as passed, 100 - doc_id % 50 as score from documents where doc_id % 60 <= 30)
 select 'by_type' as section, type as key, count(*)::double as value from v5 group by type
 union all select 'by_status', status, count(*) from v5 group by status
 union all select 'total', 'artefacts', count(*) from v5
@@ -128,7 +128,8 @@ union all select 'security', 'scans', count(*) from s union all select 'security
 union all select 'security', 'avg_risk_score', round(avg(score), 6) from s"""))
 def org_stats(spark, sf_dir):
     d = F.col("doc_id")
-    scans = table(spark, sf_dir, "documents").select((d % 5 != 0).alias("passed"), (100 - d % 50).alias("score"))
+    scans = table(spark, sf_dir, "documents").select(
+        (d % 5 != 0).alias("passed"), (100 - d % 50).alias("score"), (F.lit(NOW) - (d % 60) * 86_400_000).alias("at_ms"))
     return L.org_stats(versions(spark, sf_dir), fetches(spark, sf_dir), scans, NOW)
 
 

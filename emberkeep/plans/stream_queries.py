@@ -90,10 +90,14 @@ def status_stream(spark, sf_dir):
     return S.status_stream(lifecycle_of(table_stream(spark, sf_dir, "conversations")), 150)
 
 
-@query()
+@query(with_views("v3", f"""
+with g as (select lookup_key, ts, lag(ts) over (partition by lookup_key order by ts) as prev from v3 where operation = 'GET'),
+b as (select *, count(*) filter (prev is null or ts >= prev + interval 10 minute) over (partition by lookup_key order by ts rows unbounded preceding) as burst from g),
+r as (select lookup_key, min(ts) as s, max(ts) as e, count(*) as reads from b group by lookup_key, burst)
+select lookup_key, {MS.format('s')} as at_ms, reads from r where e + interval 10 minute <= (select max(ts) - interval 10 minute from v3 where operation = 'GET')"""))
 def coalesce_requests(spark, sf_dir):
     first = S.coalesce_requests(log_stream(spark, sf_dir).where("operation = 'GET'"), ["lookup_key"], "10 minutes")
-    return run_to_table(first.select("lookup_key", "ts"), "coalesce").select("lookup_key")
+    return run_to_table(first, "coalesce").select("lookup_key", ms("ts").alias("at_ms"), "reads")
 
 
 @query(with_views("v3", f"""

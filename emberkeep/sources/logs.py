@@ -13,6 +13,7 @@ TSV = {"sep": "\t", "header": "true", "timestampFormat": ACCESS_TIME, "quote": "
 # The fields of the request log.
 API_LOG = ("timestamp timestamp, level string, requestId string, method string, path string, status int, "
            "latencyMs bigint, userId string, orgId string, cacheHit boolean, artefactId string, artefactVersion string")
+# The fields that each audited action keeps.
 AUDIT_FIELDS = {
     "artefact.publish": ["user_id", "ip_address", "artefact_id", "version", "scan_result"],
     "artefact.fetch": ["user_id", "artefact_id", "version", "agent"],
@@ -43,16 +44,17 @@ def read_api_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_rows(actions: DataFrame) -> DataFrame:
-    """Actions in the audit schema: each event keeps its own fields as metadata."""
+    """Every action in the audit schema: known ones keep their own fields as metadata, others all columns."""
     held = set(actions.columns)
 
     def fields_of(event: str):
         return F.create_map(*[x for f in AUDIT_FIELDS[event] if f in held for x in (F.lit(f), F.col(f).cast("string"))])
 
-    metadata = F.lit(None).cast("map<string,string>")
+    rest = [c for c in actions.columns if c not in ("action", "created_at")]
+    metadata = F.create_map(*[x for c in rest for x in (F.lit(c), F.col(c).cast("string"))]).cast("map<string,string>")
     for event in AUDIT_FIELDS:
         metadata = F.when(F.col("action") == event, fields_of(event)).otherwise(metadata)
-    return actions.where(F.col("action").isin(*AUDIT_FIELDS)).select(
+    return actions.select(
         "action", "created_at", F.map_filter(metadata, lambda k, v: v.isNotNull()).alias("metadata"))
 
 

@@ -77,8 +77,13 @@ def status_stream(events: DataFrame, max_bytes: int = C.DEFAULT_MAX_BYTES, label
 
 
 def coalesce_requests(reads: DataFrame, keys: list[str], window: str) -> DataFrame:
-    """The first read of a key passes; repeats within the window are suppressed."""
-    return reads.withWatermark("ts", window).dropDuplicatesWithinWatermark(keys)
+    """One row per burst: the first read of a key passes, reads that follow another within the window are suppressed.
+
+    A burst is a session whose gap is the window, so the answer depends on
+    event times alone; it is emitted when the watermark closes the burst.
+    """
+    bursts = reads.withWatermark("ts", window).groupBy(*keys, F.session_window("ts", window).alias("burst"))
+    return bursts.agg(F.count("*").alias("reads")).select(*keys, F.col("burst.start").alias("ts"), "reads")
 
 
 def rate_limit_stream(requests: DataFrame, limits: dict[str, int], delay: str, window: str = "1 minute") -> DataFrame:

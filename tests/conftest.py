@@ -13,11 +13,3 @@ def spark():
     session = local_session(8, 4, "emberkeep-tests")
     yield session
     session.stop()
-
-
-@pytest.fixture
-def bucketed(monkeypatch):
-    """Force the bucketed path of running aggregates on small tables."""
-    from emberkeep.operators import running
-
-    monkeypatch.setattr(running, "PLAIN_ROWS", 0)

@@ -104,3 +104,12 @@ def test_table_blocks_split_large_groups(spark):
     got = {(r.g, r.block_no): r.text for r in blocks.collect()}
     assert sorted(got) == [(0, 0), (0, 1), (0, 2), (1, 0), (1, 1), (1, 2)]
     assert got[(0, 2)] == "rows[3]{id}:\n  20\n  22\n  24\n---"
+
+
+def test_documents_of_any_depth_decode(spark):
+    lines = [f"{'  ' * d}k{d}:" for d in range(9)] + ["  " * 9 + "leaf: 7"]
+    got = L.decode_docs(spark.createDataFrame([("deep", "\n".join(lines)), ("flat", "a: 1")], "doc_id string, text string")).collect()
+    deep = 7
+    for d in reversed(range(9)):
+        deep = {f"k{d}": deep if d < 8 else {"leaf": 7}}
+    assert {r.doc_id: (json.loads(r.json), r.errors) for r in got} == {"deep": (deep, []), "flat": ({"a": 1}, [])}

@@ -29,17 +29,5 @@ def test_query_matches_oracle(spark, duck, name):
         assert got[1]
 
 
-BUCKETED = ["enforce_memory_ceiling", "session_counters", "pending_writes", "checkpoint_outputs", "consecutive_diff", "next_version",
-            "latest_asof", "review_queue_age", "request_metrics", "budget_status", "escalation_level", "encode_table"]
-
-
-@pytest.mark.parametrize("name", BUCKETED)
-def test_bucketed_path_matches_oracle(spark, duck, bucketed, name):
-    """The way taken on large tables gives the same rows."""
-    df = entry.queries()[name](spark, SF)
-    cursor = duck.execute(ORACLE[name])
-    assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in cursor.description], cursor.fetchall())
-
-
 def test_entry_is_the_flagship(spark):
     assert entry.entry(spark).columns == ["id", "score"]

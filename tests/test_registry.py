@@ -22,6 +22,12 @@ def test_semver_order(spark):
     assert [r.v for r in df.orderBy(V.semver(F.col("v"))).collect()] == order
     ranks = [r.o for r in df.select("v", R.version_order(F.col("v")).alias("o")).orderBy(V.semver(F.col("v"))).collect()]
     assert ranks == sorted(ranks)
+    wide = ["1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.2", "1.0.0-alpha.10", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0", "20240101123000.0.0"]
+    df = spark.createDataFrame([(v,) for v in random.Random(2).sample(wide, len(wide))], "v string")
+    assert [r.v for r in df.orderBy(V.semver(F.col("v"))).collect()] == wide
+    same = spark.createDataFrame([("1.02.0", "1.2.0"), ("99999999999999999999.0.0", "1.2.0")], "a string, b string")
+    got = same.select(V.semver_cmp(F.col("a"), F.col("b")).alias("c"), V.semver_text(V.semver(F.col("a"))).alias("t")).collect()
+    assert [tuple(r) for r in got] == [(0, "1.02.0"), (None, None)]
     odd = spark.createDataFrame([("1.5000.7",), ("1.6000.1",), ("1.6000.2",)], "v string")
     ranks = [r.o for r in odd.select(R.version_order(F.col("v")).alias("o")).collect()]
     assert ranks == sorted(ranks)
@@ -34,7 +40,7 @@ def test_references(spark):
                    ("", "x", "1", "INVALID_ID"), ("a", "b", "latest", "INVALID_VERSION")]
 
 
-def test_first_publish_is_one_and_bumps_compound(spark, bucketed):
+def test_first_publish_is_one_and_bumps_compound(spark):
     steps = ["minor", "patch", "patch", "major", "minor", "patch", "major"]
     publishes = spark.createDataFrame([("new", i, b) for i, b in enumerate(steps)] + [("old", i, b) for i, b in enumerate(steps)], "id string, publish_no long, bump string")
     known = spark.createDataFrame([("old", "3.2.9"), ("old", "3.10.1")], "id string, version string")
@@ -128,7 +134,7 @@ def test_upsert_keeps_created_at(spark):
     assert {r.agent_id: (r.data, r.created_at, r.updated_at) for r in after.collect()} == {"k": ("second", 1, 5), "other": ("o", 2, 2)}
 
 
-def test_outputs_continue_in_further_rows(spark, bucketed):
+def test_outputs_continue_in_further_rows(spark):
     turns = spark.createDataFrame([("a", 1, "Part one."), ("a", 2, "Part two."), ("a", 3, ""), ("a", 4, "Part three."), ("b", 1, "")], "agent_id string, turn long, text string")
     assert [r.output for r in C.checkpoint_outputs(turns, "turn").collect()] == ["Part one.\nPart two.\nPart three."]
     split = C.checkpoint_outputs(turns, "turn", parts_per_row=2).orderBy("row_no").collect()
@@ -180,3 +186,9 @@ def test_report_with_tables_and_external_links(spark):
     for part in ("| **Title** | T |", "| **Author** | N/A |", "## Page 1 of 2", "### Tables (1 found)\n\n**Table 1**\n\n| a | b |\n| --- | --- |\n| 1 |  |",
                  "- <https://x.org>", "- [Internal link → /in]", D.NO_TEXT, D.NO_LINKS, "| Total links | 2 |"):
         assert part in text
+
+
+def test_a_repeated_dependency_counts_once(spark):
+    consumers = spark.createDataFrame([("c", ["a", "b", "a"])], "consumer_id string, depends_on array<string>")
+    held = spark.createDataFrame([("a", "A")], "agent_id string, data string")
+    assert C.inject_upstream(consumers, held).collect()[0].inputs == {"a": "A", "b": None}

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from emberkeep.operators.running import exact_percentiles, order_bounds, running
+from emberkeep.operators.running import bucket_count, exact_percentiles, order_bounds, running
 
 def all_kinds():
     return {"s": ("sum", F.col("v")), "n": ("count", F.lit(1)), "hi": ("max", F.struct("at", "v")), "lo": ("min", F.col("v")),
@@ -33,14 +33,20 @@ def test_global_running_sum(spark):
     assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
 
 
-def test_bounds_only_for_large_tables(spark, monkeypatch):
+def test_every_table_is_cut_and_larger_ones_more(spark):
     df = frame(spark, 4)
-    assert order_bounds(df, "at") == []
-    monkeypatch.setattr("emberkeep.operators.running.PLAIN_ROWS", 10)
-    assert order_bounds(df, "at", 8)
+    assert 0 < len(order_bounds(df, "at")) < 8 and order_bounds(df.where("at < 0"), "at") == []
+    assert bucket_count(0) < bucket_count(10**6) < bucket_count(10**7)
 
 
-def test_percentiles_equal_the_exact_aggregate(spark, bucketed):
+def test_a_row_shuffles_once(spark):
+    """The window and the join read one shuffle of the rows; only totals, added up before, move besides."""
+    cut = running(frame(spark, 6), ["k"], "at", ["id"], {"s": ("sum", F.col("v"))}, bounds=[10, 20])
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_COL") == 1 and plan.rindex("ENSURE_REQUIREMENTS") < plan.index("partial_sum")
+
+
+def test_percentiles_equal_the_exact_aggregate(spark):
     df = frame(spark, 5).where("k is not null")
     got = {r.k: (r.p50, r.p95) for r in exact_percentiles(df, ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
     want = {r.k: (r.a, r.b) for r in df.groupBy("k").agg(F.percentile("v", 0.5).alias("a"), F.percentile("v", 0.95).alias("b")).collect()}

@@ -57,9 +57,11 @@ def test_late_puts_are_dropped(spark, tmp_path):
 
 
 def test_repeated_reads_collapse(spark, tmp_path):
-    reads = seconds(spark, [("k", 0), ("k", 5), ("k", 9), ("m", 9)], "key string, s long")
-    got = run_to_table(S.coalesce_requests(in_batches(spark, tmp_path, reads, 1, "ts"), ["key"], "1 minute"), "reads-test")
-    assert sorted(r.key for r in got.collect()) == ["k", "m"]
+    reads = seconds(spark, [("k", 0), ("k", 5), ("k", 50), ("m", 9), ("k", 200), ("z", 10_000)], "key string, s long")
+    for batches in (1, 3):
+        source = in_batches(spark, tmp_path / str(batches), reads, batches, "ts")
+        got = run_to_table(S.coalesce_requests(source, ["key"], "1 minute"), "reads-test").collect()
+        assert sorted((r.key, int(r.ts.timestamp()), r.reads) for r in got) == [("k", 0, 3), ("k", 200, 1), ("m", 9, 1)]
 
 
 def test_invalidation_of_all_namespaces(spark, tmp_path):

@@ -134,3 +134,22 @@ def test_copies_collapse_to_a_representative(spark):
     assert {(r.id, r.copies) for r in distinct.collect()} == {("x0", 50), ("y", 1)}
     assert S.similarity_join(distinct, None, 0.9, 4).count() == 1
     assert S.copy_members(df, distinct).where("representative = 'x0'").count() == 50
+
+
+def test_a_bad_vector_costs_no_other_row(spark):
+    """NaN, null elements and zeros in the middle of a batch leave the others' matches alone."""
+    nan = float("nan")
+    rows = [("a", [1.0, 0.0]), ("bad", [nan, 1.0]), ("hole", [None, 1.0]), ("zero", [0.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])]
+    entries = spark.createDataFrame(rows, "id string, embedding array<double>")
+    queries = entries.select(F.col("id").alias("query_id"), "embedding").where("id in ('a', 'bad')")
+    for limit in (1 << 20, 0):
+        got = S.search_topk_batch(entries, queries, 2, 2, query_bytes_limit=limit).collect()
+        assert sorted((r.query_id, r["rank"], r.id) for r in got) == [("a", 1, "a"), ("a", 2, "b")]
+    assert [(r.id_a, r.id_b) for r in S.similarity_join(entries, None, 0.8, 2).collect()] == [("a", "b")]
+
+
+def test_a_search_evaluates_its_kernel_once(spark):
+    entries = spark.createDataFrame([("a", [1.0, 0.0], 0), ("b", [0.9, 0.1], 0)], "id string, embedding array<double>, expires_ms long")
+    found = O.search_threshold(entries, [1.0, 0.0], 0.5)
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.id for r in found.collect()] == ["a", "b"]
