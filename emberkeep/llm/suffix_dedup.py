@@ -100,6 +100,13 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return out.view("<u8").ravel().astype(U)
 
 
+def _among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which keys are in ``held``, which is sorted."""
+    if not len(held):
+        return np.zeros(len(keys), bool)
+    return held[np.minimum(np.searchsorted(held, keys), len(held) - 1)] == keys
+
+
 def _dense(keys: np.ndarray) -> np.ndarray:
     top = int(keys.max(initial=0))
     if top < 1 << 24 and len(keys) > 1 << 16:  # few possible keys: a table instead of a sort
@@ -231,7 +238,7 @@ class _Chunk:
         keys, least, of_part, used = [], [], [], [(np.zeros(0, U), np.zeros(0, U))]
         for _, data, _, key, window, count, docs, lefts, left, right in self.parts:
             raw, chosen = data.tobytes(), np.full(len(key), -1)
-            in_left, in_right = (lefts > 0) & np.isin(left, shared), (lefts < count) & np.isin(right, shared)
+            in_left, in_right = (lefts > 0) & _among(left, shared), (lefts < count) & _among(right, shared)
             used += [(left[in_left], key[in_left]), (right[in_right], key[in_right])]
             first = window + np.where(in_left, 0, lefts)
             many = np.where(in_left, lefts, 0) + np.where(in_right, count - lefts, 0)
@@ -277,9 +284,16 @@ def _list_keys(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
 def _match_keys(table: pa.Table) -> pa.Table:
     """Tells each chunk which of its keys documents of other chunks have too."""
     single = [unpack_keys(x.as_py()) for x in table.column("single")]
-    every = np.sort(np.concatenate([*single, *[unpack_keys(x.as_py()) for x in table.column("several")]]))
-    shared = np.unique(every[1:][every[1:] == every[:-1]])
-    rows = [(c.as_py(), pack_keys(keys[np.isin(keys, shared)])) for c, keys in zip(table.column("chunk"), single)]
+    several = [unpack_keys(x.as_py()) for x in table.column("several")]
+    every = np.concatenate([*single, *several])
+    order = np.argsort(every)
+    held = every[order]
+    same = held[1:] == held[:-1]
+    shared = np.zeros(len(every), bool)
+    shared[order[1:][same]] = True
+    shared[order[:-1][same]] = True
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in single])))
+    rows = [(c.as_py(), pack_keys(keys[shared[low:high]])) for c, keys, low, high in zip(table.column("chunk"), single, bounds, bounds[1:])]
     return _rows(["chunk", "shared"], [pa.int64(), pa.binary()], [r for r in rows if r[1]])
 
 
@@ -302,6 +316,15 @@ def _send_contexts(length: int, buckets: int) -> Callable[[pa.Table, pa.Table],
     return run
 
 
+def _numbered(texts: list[bytes], sizes: list[np.ndarray], numbers: dict[bytes, int]) -> list[int]:
+    """A number for each piece of the texts, the same for equal pieces."""
+    out = []
+    for text, size in zip(texts, sizes):
+        ends = np.cumsum(size).tolist()
+        out += [numbers.setdefault(text[low:high], len(numbers)) for low, high in zip([0, *ends], ends)]
+    return out
+
+
 def _sort_bucket(length: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
         open_up = zstandard.ZstdDecompressor()
@@ -310,11 +333,7 @@ def _sort_bucket(length: int) -> Callable[[pa.Table], pa.Table]:
         owners = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("owners")])
         # Equal texts of several chunks are sorted once, for the least document.
         numbers: dict[bytes, int] = {}
-        which = []
-        for text, size in zip(texts, sizes):
-            ends = np.cumsum(size).tolist()
-            which += [numbers.setdefault(text[low:high], len(numbers)) for low, high in zip([0, *ends], ends)]
-        which = np.array(which)
+        which = np.array(_numbered(texts, sizes, numbers), np.int64)
         least = np.full(len(numbers), np.iinfo(np.int64).max)
         np.minimum.at(least, which, owners)
         every = np.array([len(t) for t in numbers], np.int64)
@@ -351,7 +370,6 @@ def _cut(length: int, buckets: int, names: list[str]) -> Callable[[pa.Table, pa.
             place = np.repeat(begin[at], windows[at]) + np.arange(total) - np.repeat(np.cumsum(windows[at]) - windows[at], windows[at])
             removed[place] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=total).astype(bool)
         for (ids, data, offsets, _, _, _, docs, *_), (chosen, window, count) in zip(chunk.parts, of_part):
-            change = np.zeros(len(data) + 1, np.int32)
             use = chosen >= 0
             number, first, many = chosen[use], window[use], count[use]
             owner = np.repeat(np.arange(len(number)), many)
@@ -359,8 +377,7 @@ def _cut(length: int, buckets: int, names: list[str]) -> Callable[[pa.Table, pa.
             # The least document of equal texts here stands for them; the others repeat it.
             hit = removed[begin[number][owner] + step] | (docs[use] > least[number])[owner]
             at = (first[owner] + step)[hit]
-            np.add.at(change, at, 1)
-            np.add.at(change, at + length, -1)
+            change = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + length, minlength=len(data) + 1)
             covered = np.cumsum(change[:-1]) > 0
             starts, ends, rows = word_bounds(covered.astype(np.uint8), offsets, COVERED)
             keep, bounds = data[~covered].tobytes(), np.concatenate(([0], np.cumsum(~covered)))[offsets]
