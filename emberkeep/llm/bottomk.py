@@ -20,7 +20,7 @@ SIGNS = ("s0", "s1", "s2", "s3")
 SPOT = ["value", "list_band"]
 FACTS = ("doc_id", "n", "band", *SIGNS)
 SHORT_LIST = 8  # documents up to which a list is compared pair by pair at once
-LEADERS = 4  # documents of a longer list that the others are compared with in a round
+LEADERS = 3  # documents of a longer list that the others are compared with in a round
 TRIES = 8  # leaders that a document is compared with in a round
 ROUNDS = 4
 EVEN_BITS = 0x5555555555555555
@@ -103,14 +103,18 @@ def _side(name: str) -> list[Column]:
     return [F.col(c).alias(_as(name, c)) for c in FACTS]
 
 
-def _plausible(percent: int) -> Column:
-    """Sizes and coarse sketches that a linked pair can have."""
+def _misses() -> Column:
+    """Bins in which the coarse sketches of a pair differ."""
     misses = F.lit(0)
     for sign in SIGNS:
         differ = F.col(f"a_{sign}").bitwiseXOR(F.col(f"b_{sign}"))
         misses += F.bit_count(differ.bitwiseOR(F.shiftrightunsigned(differ, 1)).bitwiseAND(F.lit(EVEN_BITS)))
-    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    return sizes & (misses <= SIGN_MISSES)
+    return misses
+
+
+def _plausible(percent: int) -> Column:
+    """Sizes and coarse sketches that a linked pair can have."""
+    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (_misses() <= SIGN_MISSES)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
@@ -163,7 +167,8 @@ def _leader_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
     heads = lists.groupBy(*SPOT).agg(F.array_distinct(F.array(*[F.min_by(F.struct("at", *FACTS), rank(i)) for i in range(LEADERS)])).alias("heads"))
     heads = staged(heads.select(*SPOT, F.explode("heads").alias("h")).select(*SPOT, F.col("h.at").alias("a_at"), *[F.col(f"h.{c}").alias(_as("a", c)) for c in FACTS]), "heads")
     met = lists.select(*SPOT, "at", *_side("b")).join(heads, SPOT).where((F.col("at") != F.col("a_at")) & _plausible(percent))
-    some = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("a", "b", F.lit(turn)), "a"))), 1, TRIES).alias("tries"))
+    # The leaders that look most alike first.
+    some = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct(_misses().alias("misses"), "a"))), 1, TRIES).alias("tries"))
     tried = some.select("b", F.explode("tries").alias("t")).select(F.col("t.a").alias("a"), "b")
     return tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
