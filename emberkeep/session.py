@@ -12,7 +12,7 @@ STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreP
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "emberkeep") -> SparkSession:
-    """A local session for tests and the benchmark; clusters bring their own."""
+    """A local session for tests and the benchmark, with a work folder of its own; clusters bring theirs."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -21,6 +21,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='emberkeep-')}")  # one folder for all of the session's tables
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
