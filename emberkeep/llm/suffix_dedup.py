@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -199,6 +200,11 @@ def repeated_windows(data: np.ndarray, is_window: np.ndarray, owners: np.ndarray
     return out
 
 
+def _in_order(table: pa.Table) -> pa.Table:
+    """The rows of a chunk in an order of their own: shuffled blocks arrive in any, and passes number pieces by it."""
+    return table.take(pc.sort_indices(table.select(["doc_id", "text"]), sort_keys=[("doc_id", "ascending"), ("text", "ascending")]))
+
+
 class _Chunk:
     """The anchors of a group of documents, and what is known of them from the group alone."""
 
@@ -301,7 +307,7 @@ def _send_contexts(length: int, buckets: int) -> Callable[[pa.Table, pa.Table],
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if table.num_rows:
-            chunk = _Chunk(table, length)
+            chunk = _Chunk(_in_order(table), length)
             keys, several = chunk.own_keys()
             shared = np.unique(np.concatenate([keys[several], *[unpack_keys(x.as_py()) for x in told.column("shared")]]))
             pieces, key, least, _, used, used_in = chunk.contexts(shared)
@@ -357,7 +363,7 @@ def _cut(length: int, buckets: int, names: list[str]) -> Callable[[pa.Table, pa.
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(table: pa.Table, told: pa.Table) -> pa.Table:
-        out, row = [], 0
+        table, out, row = _in_order(table), [], 0
         carried = [table.column(n).combine_chunks() for n in names[4:]]
         chunk = _Chunk(table, length)
         pieces, key, least, of_part, _, _ = chunk.contexts(np.unique(np.concatenate([np.zeros(0, U), *[unpack_keys(x.as_py()) for x in told.column("keys")]])))
