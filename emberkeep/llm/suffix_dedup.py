@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberkeep.llm.common import MIX_A, MIX_B, U, slices, word_bounds
+from emberkeep.llm.common import MIX_A, MIX_B, U, mixed, slices, word_bounds
 
 CHUNK_BYTES = 8 << 20  # text that one task holds at a time
 SLICE_BYTES = 2 << 20
 LEAST_CHUNKS = 64
 KEY_BYTES = 6
+HOT_PIECES = 1 << 14  # pieces that may meet on one anchor
+COUNT_ALL = 32  # pieces of an anchor in a chunk from which they are counted one by one, else by a sample
 COVERED = np.array([False, True])
 
 
@@ -233,34 +235,65 @@ class _Chunk:
         heads = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         return keys[heads], np.minimum.reduceat(docs, heads) != np.maximum.reduceat(docs, heads)
 
-    def contexts(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple], np.ndarray, np.ndarray]:
+    def counted_anchors(self, salt: int) -> tuple[np.ndarray, np.ndarray]:
+        """Anchors and how many different pieces they have here.
+
+        Few pieces count as ``COUNT_ALL`` with the chance that makes the
+        expectation right, so that most anchors needn't be sent.
+        """
+        keys, pieces = [np.zeros(0, U)], [np.zeros(0, U)]
+        for _, data, _, key, window, count, *_ in self.parts:
+            words = _words_at(data)
+            # The first and the last window hold all bytes of a piece, since it is shorter than two.
+            ends = [_run_keys(words, at, self.length, U(salt)) for salt, at in ((4, window), (5, window + count - 1))]
+            keys.append(key)
+            pieces.append(mixed(ends[0]) ^ ends[1] ^ key)
+        key = np.concatenate(keys)
+        key = key[np.unique(np.concatenate(pieces), return_index=True)[1]]
+        key, many = np.unique(key, return_counts=True)
+        chosen = many > (mixed(key, salt) % U(COUNT_ALL)).astype(np.int64)
+        return key[chosen], np.maximum(many[chosen], COUNT_ALL)
+
+    def contexts(self, shared: np.ndarray, hot: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, list[tuple], tuple, tuple]:
         """Distinct texts of the windows whose left or right key is shared.
 
-        Bytes, key and least document of each; for each part of the chunk the
-        text of each anchor (-1: none), its first window and how many; and the
-        shared keys in use with the keys of their anchors.
+        Bytes, place and least document of each; for each part of the chunk the
+        texts in it, their documents, first windows and how many; and the shared
+        keys and the hot anchors in use, each with places.  The place of a text
+        is its anchor; of a hot anchor each window is a text, placed by its hash.
         """
         seen: dict[bytes, int] = {}
-        keys, least, of_part, used = [], [], [], [(np.zeros(0, U), np.zeros(0, U))]
+        places, least, of_part, used, used_hot = [], [], [], [(np.zeros(0, U), np.zeros(0, U))], [(np.zeros(0, U), np.zeros(0, U))]
         for _, data, _, key, window, count, docs, lefts, left, right in self.parts:
-            raw, chosen = data.tobytes(), np.full(len(key), -1)
+            raw = data.tobytes()
             in_left, in_right = (lefts > 0) & _among(left, shared), (lefts < count) & _among(right, shared)
-            used += [(left[in_left], key[in_left]), (right[in_right], key[in_right])]
             first = window + np.where(in_left, 0, lefts)
             many = np.where(in_left, lefts, 0) + np.where(in_right, count - lefts, 0)
-            at = np.flatnonzero(many)
-            for i, low, high, doc in zip(at.tolist(), first[at].tolist(), (first[at] + many[at] - 1 + self.length).tolist(), docs[at].tolist()):
+            is_hot = _among(key, hot)
+            for keys, some in ((left, in_left & ~is_hot), (right, in_right & ~is_hot)):
+                used.append((keys[some], key[some]))
+            at, split = np.flatnonzero((many > 0) & ~is_hot), np.flatnonzero((many > 0) & is_hot)
+            place, first, many, doc = [key[at]], [first[at], first[split]], [many[at], many[split]], docs[at]
+            anchor = np.repeat(split, many[1])
+            single = np.repeat(first[1] - np.cumsum(many[1]) + many[1], many[1]) + np.arange(len(anchor))
+            place.append(_run_keys(_words_at(data), single, self.length, U(3)))
+            used.append((np.where(single < window[anchor] + lefts[anchor], left[anchor], right[anchor]), place[1]))
+            used_hot.append((key[anchor], place[1]))
+            place, first = np.concatenate(place), np.concatenate((first[0], single))
+            many, doc = np.concatenate((many[0], np.ones(len(single), np.int64))), np.concatenate((doc, docs[anchor]))
+            chosen = np.empty(len(first), np.int64)
+            for i, (low, high, owner) in enumerate(zip(first.tolist(), (first + many - 1 + self.length).tolist(), doc.tolist())):
                 piece = raw[low:high]
                 number = seen.setdefault(piece, len(seen))
-                if number == len(keys):
-                    keys.append(key[i])
-                    least.append(doc)
-                elif doc < least[number]:
-                    least[number] = doc
+                if number == len(places):
+                    places.append(place[i])
+                    least.append(owner)
+                elif owner < least[number]:
+                    least[number] = owner
                 chosen[i] = number
-            of_part.append((chosen, first, many))
-        flat = [np.concatenate(x) for x in zip(*used)]
-        return list(seen), np.array(keys, U), np.array(least, np.int64), of_part, *flat
+            of_part.append((chosen, doc, first, many))
+        flat = [tuple(np.concatenate(x) for x in zip(*pairs)) for pairs in (used, used_hot)]
+        return list(seen), np.array(places, U), np.array(least, np.int64), of_part, *flat
 
 
 def _groups(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -278,29 +311,49 @@ def _rows(names: list[str], types: list, rows: list[tuple]) -> pa.Table:
 
 def _list_keys(length: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     def run(table: pa.Table) -> pa.Table:
-        chunk, rows = table.column("chunk")[0].as_py(), []
-        keys, several = _Chunk(table, length).own_keys()
-        for bucket, at in _groups(keys, buckets):
-            rows.append((bucket, chunk, pack_keys(keys[at[~several[at]]]), pack_keys(keys[at[several[at]]])))
-        return _rows(["bucket", "chunk", "single", "several"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
+        number, rows = table.column("chunk")[0].as_py(), []
+        chunk = _Chunk(table, length)
+        keys, several = chunk.own_keys()
+        anchor, many = chunk.counted_anchors(number)
+        counted = {bucket: (pack_keys(anchor[at]), many[at].astype(np.int32).tobytes()) for bucket, at in _groups(anchor, buckets)}
+        listed = {bucket: (pack_keys(keys[at[~several[at]]]), pack_keys(keys[at[several[at]]])) for bucket, at in _groups(keys, buckets)}
+        for bucket in sorted({*listed, *counted}):
+            rows.append((bucket, number, *listed.get(bucket, (b"", b"")), *counted.get(bucket, (b"", b""))))
+        return _rows(["bucket", "chunk", "single", "several", "anchors", "counts"], [pa.int64(), pa.int64(), *[pa.binary()] * 4], rows)
+
+    return run
+
+
+def _hot_anchors(table: pa.Table, most: int) -> np.ndarray:
+    keys = np.concatenate([unpack_keys(x.as_py()) for x in table.column("anchors")])
+    counts = np.concatenate([np.frombuffer(x.as_py(), np.int32) for x in table.column("counts")])
+    keys, which = np.unique(keys, return_inverse=True)
+    return keys[np.bincount(which, counts, len(keys)) > most]
+
+
+def _match_keys(chunks: int, most: int) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        """Tells each chunk which of its keys documents of other chunks have too, and all chunks the hot anchors."""
+        single = [unpack_keys(x.as_py()) for x in table.column("single")]
+        several = [unpack_keys(x.as_py()) for x in table.column("several")]
+        every = np.concatenate([*single, *several])
+        order = np.argsort(every)
+        held = every[order]
+        same = held[1:] == held[:-1]
+        shared = np.zeros(len(every), bool)
+        shared[order[1:][same]] = True
+        shared[order[:-1][same]] = True
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in single])))
+        rows = [(c.as_py(), pack_keys(keys[shared[low:high]]), b"") for c, keys, low, high in zip(table.column("chunk"), single, bounds, bounds[1:])]
+        rows, hot = [r for r in rows if r[1]], pack_keys(_hot_anchors(table, most))
+        rows += [(chunk, b"", hot) for chunk in range(chunks if hot else 0)]
+        return _rows(["chunk", "shared", "hot"], [pa.int64(), pa.binary(), pa.binary()], rows)
 
     return run
 
 
-def _match_keys(table: pa.Table) -> pa.Table:
-    """Tells each chunk which of its keys documents of other chunks have too."""
-    single = [unpack_keys(x.as_py()) for x in table.column("single")]
-    several = [unpack_keys(x.as_py()) for x in table.column("several")]
-    every = np.concatenate([*single, *several])
-    order = np.argsort(every)
-    held = every[order]
-    same = held[1:] == held[:-1]
-    shared = np.zeros(len(every), bool)
-    shared[order[1:][same]] = True
-    shared[order[:-1][same]] = True
-    bounds = np.concatenate(([0], np.cumsum([len(x) for x in single])))
-    rows = [(c.as_py(), pack_keys(keys[shared[low:high]])) for c, keys, low, high in zip(table.column("chunk"), single, bounds, bounds[1:])]
-    return _rows(["chunk", "shared"], [pa.int64(), pa.binary()], [r for r in rows if r[1]])
+def _told(table: pa.Table, column: str) -> np.ndarray:
+    return np.unique(np.concatenate([np.zeros(0, U), *[unpack_keys(x.as_py()) for x in table.column(column)]]))
 
 
 def _send_contexts(length: int, buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
@@ -309,15 +362,15 @@ def _send_contexts(length: int, buckets: int) -> Callable[[pa.Table, pa.Table],
         if table.num_rows:
             chunk = _Chunk(_in_order(table), length)
             keys, several = chunk.own_keys()
-            shared = np.unique(np.concatenate([keys[several], *[unpack_keys(x.as_py()) for x in told.column("shared")]]))
-            pieces, key, least, _, used, used_in = chunk.contexts(shared)
-            told_on = {bucket: np.unique(used[at]) for bucket, at in _groups(used_in, buckets)}
+            shared = np.union1d(keys[several], _told(told, "shared"))
+            pieces, place, least, _, *used = chunk.contexts(shared, _told(told, "hot"))
+            told_on, hot_on = ({bucket: pack_keys(np.unique(x[at])) for bucket, at in _groups(x_in, buckets)} for x, x_in in used)
             sizes = np.array([len(p) for p in pieces], np.int32)
             squeeze = zstandard.ZstdCompressor(level=1)
-            for bucket, at in _groups(key, buckets):
+            for bucket, at in _groups(place, buckets):
                 text = squeeze.compress(b"".join([pieces[i] for i in at]))
-                rows.append((bucket, table.column("chunk")[0].as_py(), text, sizes[at].tobytes(), least[at].tobytes(), pack_keys(told_on[bucket])))
-        return _rows(["bucket", "chunk", "pieces", "sizes", "owners", "keys"], [pa.int64(), pa.int64(), *[pa.binary()] * 4], rows)
+                rows.append((bucket, table.column("chunk")[0].as_py(), text, sizes[at].tobytes(), least[at].tobytes(), told_on[bucket], hot_on.get(bucket, b"")))
+        return _rows(["bucket", "chunk", "pieces", "sizes", "owners", "keys", "hot"], [pa.int64(), pa.int64(), *[pa.binary()] * 5], rows)
 
     return run
 
@@ -353,8 +406,8 @@ def _sort_bucket(length: int) -> Callable[[pa.Table], pa.Table]:
         found = sorted_once[np.repeat(begin[which], many) + step] | np.repeat(owners > least[which], many)
         ends, rows = np.cumsum([int((s - length + 1).sum()) for s in sizes]), []
         for i, part in enumerate(np.split(found, ends[:-1])):
-            rows.append((table.column("chunk")[i].as_py(), table.column("bucket")[i].as_py(), table.column("keys")[i].as_py(), np.packbits(part).tobytes()))
-        return _rows(["chunk", "bucket", "keys", "found"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
+            rows.append((*[table.column(c)[i].as_py() for c in ("chunk", "bucket", "keys", "hot")], np.packbits(part).tobytes()))
+        return _rows(["chunk", "bucket", "keys", "hot", "found"], [pa.int64(), pa.int64(), *[pa.binary()] * 3], rows)
 
     return run
 
@@ -366,22 +419,20 @@ def _cut(length: int, buckets: int, names: list[str]) -> Callable[[pa.Table, pa.
         table, out, row = _in_order(table), [], 0
         carried = [table.column(n).combine_chunks() for n in names[4:]]
         chunk = _Chunk(table, length)
-        pieces, key, least, of_part, _, _ = chunk.contexts(np.unique(np.concatenate([np.zeros(0, U), *[unpack_keys(x.as_py()) for x in told.column("keys")]])))
+        pieces, place_of, least, of_part, *_ = chunk.contexts(_told(told, "keys"), _told(told, "hot"))
         windows = np.array([len(p) - length + 1 for p in pieces], np.int64)
         begin = np.cumsum(windows) - windows
         removed = np.zeros(int(windows.sum()), bool)
         bits = {b.as_py(): f.as_py() for b, f in zip(told.column("bucket"), told.column("found"))}
-        for bucket, at in _groups(key, buckets):
+        for bucket, at in _groups(place_of, buckets):
             total = int(windows[at].sum())
             place = np.repeat(begin[at], windows[at]) + np.arange(total) - np.repeat(np.cumsum(windows[at]) - windows[at], windows[at])
             removed[place] = np.unpackbits(np.frombuffer(bits[bucket], np.uint8), count=total).astype(bool)
-        for (ids, data, offsets, _, _, _, docs, *_), (chosen, window, count) in zip(chunk.parts, of_part):
-            use = chosen >= 0
-            number, first, many = chosen[use], window[use], count[use]
+        for (ids, data, offsets, *_), (number, doc, first, many) in zip(chunk.parts, of_part):
             owner = np.repeat(np.arange(len(number)), many)
             step = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
             # The least document of equal texts here stands for them; the others repeat it.
-            hit = removed[begin[number][owner] + step] | (docs[use] > least[number])[owner]
+            hit = removed[begin[number][owner] + step] | (doc > least[number])[owner]
             at = (first[owner] + step)[hit]
             change = np.bincount(at, minlength=len(data) + 1) - np.bincount(at + length, minlength=len(data) + 1)
             covered = np.cumsum(change[:-1]) > 0
@@ -398,7 +449,7 @@ def _cut(length: int, buckets: int, names: list[str]) -> Callable[[pa.Table, pa.
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: Column | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: Column | None = None, hot: int = HOT_PIECES) -> DataFrame:
     """Cut every byte that a string of ``length`` bytes covers which also starts in a document of smaller id.
 
     Texts are UTF-8 bytes; null is empty.  Strings are judged on the input.
@@ -412,8 +463,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Documents are dealt into chunks by a hash of the id and shuffled once; all
     three passes over the text read that shuffle.  What else moves is six bytes
     a distinct anchor and chunk, the compressed text around shared anchors, one
-    bit per window, all by hash.  Equal texts within a chunk are sent once, so
-    a passage that a third of all documents have doesn't fill its bucket.
+    bit per window, all by hash.  Equal texts within a chunk are sent once.
+    Different texts on one anchor, as where a passage of many documents ends,
+    are counted first; an anchor of more than about ``hot`` is split by the
+    hash of the whole window, so equal windows still meet and a passage that a
+    third of all documents have doesn't fill its bucket.
     """
     if length < 32:
         raise ValueError("length must be 32 or more")
@@ -426,10 +480,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = docs.select(dealt.alias("chunk"), "*")
     schema = T.StructType.fromDDL("doc_id long, n_bytes long, kept binary, spans array<struct<start:bigint,end:bigint>>")
     schema = T.StructType([*schema.fields, *[docs.schema["carried"] for _ in more]])
-    listed = held.groupBy("chunk").applyInArrow(_list_keys(length, chunks), "bucket long, chunk long, single binary, several binary")
-    told = listed.groupBy("bucket").applyInArrow(_match_keys, "chunk long, shared binary")
+    listed = held.groupBy("chunk").applyInArrow(_list_keys(length, chunks), "bucket long, chunk long, single binary, several binary, anchors binary, counts binary")
+    told = listed.groupBy("bucket").applyInArrow(_match_keys(chunks, hot), "chunk long, shared binary, hot binary")
     sent = held.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(
-        _send_contexts(length, buckets), "bucket long, chunk long, pieces binary, sizes binary, owners binary, keys binary")
-    found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "chunk long, bucket long, keys binary, found binary")
+        _send_contexts(length, buckets), "bucket long, chunk long, pieces binary, sizes binary, owners binary, keys binary, hot binary")
+    found = sent.groupBy("bucket").applyInArrow(_sort_bucket(length), "chunk long, bucket long, keys binary, hot binary, found binary")
     return held.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(
         _cut(length, buckets, ["doc_id", "n_bytes", "kept", "spans", *(["carried"] if more else [])]), schema)
