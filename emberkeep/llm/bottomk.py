@@ -14,8 +14,7 @@ from emberkeep.llm.common import LOWER, NOT_SPACE, U, mixed, shingle_hashes, sli
 from emberkeep.llm.components import components
 
 SKETCH = 64  # values kept of each document
-SIGN_BINS = 128  # two bits from each bin of the hash range: a coarse sketch that fits in four longs
-SIGN_MISSES = 40  # bins in which a pair may differ; at similarity 0.8, 19 are expected, with a deviation of 4
+SIGN_BINS = 128  # two bits from each bin of the hash range: a coarse sketch that fits in four longs and orders what is tried
 SIGNS = ("s0", "s1", "s2", "s3")
 SPOT = ["value", "list_band"]
 FACTS = ("doc_id", "n", "band", *SIGNS)
@@ -113,8 +112,8 @@ def _misses() -> Column:
 
 
 def _plausible(percent: int) -> Column:
-    """Sizes and coarse sketches that a linked pair can have."""
-    return (100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")) & (_misses() <= SIGN_MISSES)
+    """Sizes that a linked pair can have."""
+    return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
