@@ -23,6 +23,7 @@ from emberkeep.llm.common import text_bytes
 LEXICON_CHUNKS = 50_000  # frequent words compiled into the transducer
 LONGEST_CACHED = 100  # characters
 CACHED_CHUNKS = 400_000  # a worker forgets its words beyond this many
+COUNTED_CHARS = 128 << 20  # text after which a task sends its counts
 SHORT_WORD = 48  # symbols up to which a plain scan finds the next merge
 BATCH_BYTES = 2 << 20
 
@@ -277,24 +278,25 @@ def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     seen: Counter[str] = Counter()
 
     def shown() -> pa.RecordBatch:
-        often = {c: n for c, n in seen.items() if n > 1 and len(c) <= LONGEST_CACHED}
-        return pa.RecordBatch.from_arrays([pa.array(list(often), pa.string()), pa.array(list(often.values()), pa.int64())], names=["chunk", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
 
+    held = 0
     for batch in batches:
         for _, texts in _small(batch.column(0)):
             for text in texts:
                 seen.update(text.split())
-            if len(seen) > CACHED_CHUNKS:
+                held += len(text)
+            if len(seen) > CACHED_CHUNKS or held > COUNTED_CHARS:
                 yield shown()
                 seen.clear()
+                held = 0
     yield shown()
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", most: int = LEXICON_CHUNKS) -> list[str]:
     """The most frequent runs without white space in all documents.
 
-    Counts are lossy in one way: a run that a task meets only once between two
-    flushes isn't sent.  They choose what the lexicon holds, never an encoding.
+    Tasks send all their counts, so the result doesn't depend on partitions.
     """
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_chunks, "chunk string, n long")
     top = counted.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(most)
