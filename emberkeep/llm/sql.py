@@ -61,3 +61,82 @@ domains as (
 select page_id, r.host, path, rule, coalesce(said, case when least(1.0, m + 1.645 * sqrt(m * (1 - m) / (w + 1))) < 0.5 then 'block' else 'allow' end) as verdict
 from ruled r join means using (host)
 """
+
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length({0}) + 1), lambda i: ascii(substr({0}, i, 1))::bigint)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, step: xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end))))"""
+
+
+def _field(name: str) -> str:
+    return f"coalesce(strlen({name}::varchar)::varchar || ':' || {name}::varchar, '-')"
+
+
+_FIELDS = " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars"))
+
+
+def _sides(name: str, nodes: str) -> str:
+    """Digests on either side of each node that isn't a tree's last one."""
+    return f"""{name} as (
+  select a.lvl, a.tree, a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx < a.idx), '') as before, coalesce(string_agg(b.h, '' order by b.idx) filter (b.idx > a.idx), '') as after
+  from {nodes} a join {nodes} b on a.lvl = b.lvl and a.tree = b.tree and a.idx // 3 = b.idx // 3 where a.n > 1 group by 1, 2, 3
+)"""
+
+
+def _up(name: str, leaves: str) -> str:
+    return f"""{name} as (
+  select 0 as lvl, tree, idx, n, h from {leaves}
+  union all
+  select lvl + 1, tree, idx // 3, (max(n) + 2) // 3, sha256(string_agg(h, '' order by idx)) from {name} where n > 1 group by lvl, tree, idx // 3
+)"""
+
+
+MERKLE = f"""
+with recursive hashed as (
+  select doc_id, coalesce('+' || source, '') as tree, sha256({_FIELDS} || {_field("text")}) as h,
+    sha256({_FIELDS} || {_field("(case when " + _CRC32.format("doc_id::varchar") + " % 2 = 0 then replace(text, chr(10), '') else text end)")}) as tampered from documents
+), leaves as (select *, row_number() over (partition by tree order by doc_id) - 1 as idx, count(*) over (partition by tree) as n from hashed),
+{_up("up", "leaves")}, {_sides("sides", "up")},
+ends as (select tree as name, h, '' as tree, row_number() over (order by tree) - 1 as idx, count(*) over () as n from up where n = 1),
+{_up("top", "ends")}, {_sides("top_sides", "top")},
+walk as (
+  select doc_id, tree, h as leaf, tampered as folded, '' as proof, 0 as lvl, idx, n from leaves
+  union all
+  select doc_id, w.tree, leaf, sha256(before || folded || after), proof || before || after, w.lvl + 1, w.idx // 3, (n + 2) // 3
+  from walk w join sides s on s.lvl = w.lvl and s.tree = w.tree and s.idx = w.idx where n > 1
+), over_groups as (
+  select doc_id, leaf, e.h as subroot, folded, proof, 0 as lvl, e.idx, e.n from walk w join ends e on e.name = w.tree where w.n = 1
+  union all
+  select doc_id, leaf, subroot, sha256(before || folded || after), proof || before || after, w.lvl + 1, w.idx // 3, (n + 2) // 3
+  from over_groups w join top_sides s on s.lvl = w.lvl and s.idx = w.idx where n > 1
+)
+select doc_id, leaf, subroot, (select h from top where n = 1) as root, sha256(proof) as proof_sha256, folded as folded_root, folded = (select h from top where n = 1) as verified
+from over_groups where n = 1
+"""
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every round as three steps: nearest entries, floors of means, and the books of the next one."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""assigned{r} as (
+  select vec_id, label, part, x, min_by(entry, d * {entries} + entry) as entry, min(d) as d
+  from (select p.*, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.c[i]) * (p.x[i] - b.c[i])))::bigint as d from cut p join book{r} b using (part)) group by all
+)""")
+        if r < rounds:
+            steps.append(f"""means{r} as (
+  select part, entry, list(case when s >= 0 then s // n else -((-s + n - 1) // n) end order by place) as c
+  from (select part, entry, place, sum(x[place])::bigint as s, count(*) as n from assigned{r}, (select unnest(range(1, 1 + (select max(len(x)) from cut))) as place) group by 1, 2, 3) group by 1, 2
+), book{r + 1} as (select part, entry, coalesce(m.c, b.c) as c from book{r} b left join means{r} m using (part, entry))""")
+    return f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 4096)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), cut as (select vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] as x from kept, (select unnest(range({parts})) as part)),
+book0 as (select part, entry, x as c from cut join (select vec_id, row_number() over (order by vec_id) - 1 as entry from kept) using (vec_id) where entry < {entries}),
+{", ".join(steps)},
+digest as (select sha256(string_agg(array_to_string(c, ','), ',' order by part, entry)) as d from book{rounds}),
+coded as (select vec_id, any_value(label) as label, string_agg(printf('%02x', entry), '' order by part) as code, sum(d)::bigint as error from assigned{rounds} group by vec_id)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, (select d from digest) as codebooks_sha256 from coded
+"""
+
+
+VECTOR_CODES = _vector_codes()
