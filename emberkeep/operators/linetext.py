@@ -2,15 +2,17 @@
 
 A document is one row of text.  Encoding is a column expression, because the
 format fixes how deep structure may nest before it falls back to inline JSON.
-Decoding and validation work on exploded lines: one shuffle by document, then
-windows and one grouping per nesting level over the same partitioning.
+A document's tree of lines is found where the document is read; validation then
+works line by line without a shuffle, and decoding puts opening and closing
+tokens in order with one, whatever the depth.
 """
 
 from __future__ import annotations
 
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from emberkeep.functions import text as T
 from emberkeep.operators.running import running
@@ -66,7 +68,7 @@ def _is_plain(v: str) -> str:
 
 
 def _token_sql(v: str) -> str:
-    number = T.number_sql(f"cast({v}.raw as double)")
+    number = f"coalesce({T.number_sql(f'try_cast({v}.raw as double)')}, 'null')"  # the reader turns what no double holds into a word
     return (f"case {v}.kind when 'null' then 'null' when 'string' then {T.quote_sql(f'{v}.raw')} "
             f"when 'double' then {number} else {v}.raw end")
 
@@ -154,8 +156,20 @@ def encode_json(json_col: str) -> Column:
         when 'object' then {_object_sql(j, 0)} when 'array' then {_array_sql("''", '', j, 0)} else {single} end) end""")
 
 
-def encode_json_docs(df: DataFrame, json_col: str, out: str = "text") -> DataFrame:
-    return df.withColumn(out, encode_json(json_col))
+def encode_json_docs(df: DataFrame, json_col: str, out: str = "text", error: str | None = None) -> DataFrame:
+    """``df`` with each JSON text as a document, null where it is not JSON.
+
+    A number that no double holds is written as ``null``, or inside an array or
+    object as the reader's word for it, in quotes.
+
+    ``error`` names one more column that says what could not be written as it was.
+    """
+    j = F.col(f"`{json_col}`")
+    numbers = F.regexp_extract_all(F.regexp_replace(j, QUOTED, '""'), F.lit(r"(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)"), F.lit(1))
+    infinite = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == float("inf"))
+    problem = F.when(j.isNotNull() & F.try_parse_json(j).isNull(), "not JSON").when(infinite, "number out of range")
+    named = {out: encode_json(json_col)} | ({error: problem} if error else {})
+    return df.withColumns(named)
 
 
 def _cells(tokens: Column) -> Column:
@@ -171,8 +185,8 @@ def encode_table(
     each block declares its own length and reads back alone.
     """
     numbered = running(df, group, order, [], {"__row": ("count", F.lit(1))})
-    types = dict(df.dtypes)
-    tokens = F.array(*[_cell(F.col(f), types[f]) for f in fields])
+    kinds = dict(df.dtypes)
+    tokens = F.array(*[_cell(F.col(f), kinds[f]) for f in fields])
     block = F.floor((F.col("__row") - 1) / rows_per_block).cast("long")
     gathered = numbered.groupBy(*group, block.alias("block_no")).agg(
         F.sort_array(F.collect_list(F.struct("__row", tokens.alias("cells")))).alias("rows"))
@@ -208,30 +222,40 @@ def _directive(lines: Column, name: str, default: str) -> Column:
     return F.coalesce(F.trim(F.substring(F.trim(F.get(found, F.lit(0))), len(start) + 1, 2**31 - 1)), F.lit(default))
 
 
+def _spaces(raw: Column) -> Column:
+    return F.length(raw) - F.length(F.ltrim(raw))
+
+
+def _depth(raw: Column) -> Column:
+    return F.floor(_spaces(raw) / 2).cast("int")
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, delimiter, strict, lines) of every document; ``lines`` are its meaningful ones as (line_no, raw)."""
+    lines = F.split(F.col(text_col), "\n", -1)
+    staged = docs.select(F.col(id_col).alias("doc_id"), lines.alias("__lines"))
+    ends = F.array_position(F.transform("__lines", lambda x: F.trim(x)), CLOSE)
+    head = F.slice("__lines", F.lit(1), F.greatest(ends, F.lit(1)).cast("int"))
+    has_header = F.exists(head, lambda x: F.trim(x).startswith("%"))
+    headed = staged.withColumn("__head", F.when(has_header, head).otherwise(F.array().cast("array<string>")))
+    delimiter = _directive(F.col("__head"), "delimiter", "comma")
+    numbered = F.transform("__lines", lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("raw")))
+    kept = F.filter(numbered, lambda x: (x["line_no"] > F.size("__head")) & (F.trim(x["raw"]) != "") & ~F.trim(x["raw"]).rlike("^[#%]"))
+    return headed.select(
+        "doc_id", F.when(delimiter == "tab", "\t").when(delimiter == "pipe", "|").otherwise(",").alias("delimiter"),
+        (_directive(F.col("__head"), "strict", "true") != "false").alias("strict"), kept.alias("lines"))
+
+
 def read_doc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line_no, spaces, depth, content, raw, delimiter, strict) of every meaningful line.
 
     Blank lines, comments and the directive header are left out.  ``---`` ends
     a header only where a directive stands before it.
     """
-    lines = F.split(F.col(text_col), "\n", -1)
-    staged = docs.select(F.col(id_col).alias("doc_id"), lines.alias("__lines"))
-    ends = F.array_position(F.transform("__lines", lambda x: F.trim(x)), CLOSE)
-    has_header = F.exists(F.slice("__lines", F.lit(1), F.greatest(ends, F.lit(1)).cast("int")), lambda x: F.trim(x).startswith("%"))
-    head = F.when(has_header, F.slice("__lines", F.lit(1), F.greatest(ends, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<string>"))
-    prepared = staged.withColumn("__head", head).select(
-        "doc_id", "__lines", F.size("__head").alias("__skip"),
-        _directive(F.col("__head"), "delimiter", "comma").alias("__delimiter"),
-        (_directive(F.col("__head"), "strict", "true") != "false").alias("strict"))
-    exploded = prepared.select(
-        "doc_id", "__skip", "__delimiter", "strict", F.posexplode_outer("__lines").alias("__pos", "raw"))
-    trimmed = F.trim(F.col("raw"))
-    kept = exploded.where((F.col("__pos") >= F.col("__skip")) & (trimmed != "") & ~trimmed.rlike("^[#%]"))
-    spaces = F.length("raw") - F.length(F.ltrim("raw"))
-    return kept.select(
-        "doc_id", (F.col("__pos") + 1).alias("line_no"), spaces.alias("spaces"), F.floor(spaces / 2).cast("int").alias("depth"),
-        trimmed.alias("content"), "raw",
-        F.when(F.col("__delimiter") == "tab", "\t").when(F.col("__delimiter") == "pipe", "|").otherwise(",").alias("delimiter"), "strict")
+    read = _documents(docs, id_col, text_col).select("doc_id", "delimiter", "strict", F.inline("lines"))
+    return read.select(
+        "doc_id", "line_no", _spaces(F.col("raw")).alias("spaces"), _depth(F.col("raw")).alias("depth"), F.trim("raw").alias("content"), "raw",
+        "delimiter", "strict")
 
 
 def split_cells(text: Column, delimiter: Column) -> Column:
@@ -250,46 +274,131 @@ def _header_part(content: Column, group: int) -> Column:
     return F.regexp_extract(content, ARRAY_HEADER, group)
 
 
-def line_levels(lines: DataFrame) -> int:
-    """How many levels of lines the deepest document has; plans fold that many."""
-    return (lines.agg(F.max("depth")).first()[0] or 0) + 1
+NODE = ("parent", "end", "first_field", "members", "items")
+TREE = types.ArrayType(types.StructType([types.StructField(n, types.IntegerType()) for n in NODE]))
+PLAIN, ITEM, CLOSES = 0, 1, 2  # what the tree has to know of a line
 
 
-def classify_lines(lines: DataFrame, levels: int | None = None) -> DataFrame:
-    """Add what each line is, and the line it hangs under.
+def nearest_smaller(depths: list[int], marks: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """Of each line of a document: the nearest line above at a smaller depth, and what hangs one level below the line itself.
 
-    The parent is the nearest line above at a smaller depth, found with one
-    window per document.  Rows of a tabular block are told by their parent.
+    ``end`` is the next line at the same or a smaller depth, ``first_field``
+    the first line one level below that is no list item; -1 stands for none.
+    One pass with a stack, whatever the depths.
     """
-    levels = levels or line_levels(lines)
-    content = F.col("content")
-    item = content.rlike(r"^-(?: |$)")
-    body = F.when(item, F.trim(F.substring(content, F.lit(2), F.length(content)))).otherwise(content)
-    staged = lines.withColumns({"is_item": item, "body": body})
-    b = F.col("body")
-    is_header = b.rlike(ARRAY_HEADER)
-    fields = F.regexp_replace(_header_part(b, 4), r"^\{|\}$", "")
-    mark = F.when(_header_part(b, 3) == "|", "|").when(_header_part(b, 3) == "\t", "\t").otherwise(F.col("delimiter"))
-    kind = (
+    n = len(depths)
+    parents, ends, fields, members, items = [-1] * n, [n] * n, [-1] * n, [0] * n, [0] * n
+    open_lines: list[int] = []
+    for i, depth in enumerate(depths):
+        while open_lines and depths[open_lines[-1]] >= depth:
+            ends[open_lines.pop()] = i
+        if open_lines:
+            parent = parents[i] = open_lines[-1]
+            if depths[parent] == depth - 1 and marks[i] != CLOSES:
+                members[parent] += 1
+                if marks[i] == ITEM:
+                    items[parent] += 1
+                elif fields[parent] < 0:
+                    fields[parent] = i
+        open_lines.append(i)
+    return list(zip(parents, ends, fields, members, items))
+
+
+@F.arrow_udf(returnType=TREE)
+def _line_tree(depths: pa.Array, marks: pa.Array) -> pa.Array:
+    rows = zip(depths.to_pylist(), marks.to_pylist())
+    trees = [None if d is None else [dict(zip(NODE, t)) for t in nearest_smaller(d, m)] for d, m in rows]
+    return pa.array(trees, pa.list_(pa.struct([(n, pa.int32()) for n in NODE])))
+
+
+def _is_item(content: Column) -> Column:
+    return content.rlike(r"^-(?: |$)")
+
+
+def _body(content: Column) -> Column:
+    return F.when(_is_item(content), F.trim(F.substring(content, F.lit(2), F.length(content)))).otherwise(content)
+
+
+def _kind(content: Column, body: Column) -> Column:
+    header = body.rlike(ARRAY_HEADER)
+    return (
         F.when(content == CLOSE, "close")
-        .when(is_header & (_header_part(b, 4) != ""), "tabular")
-        .when(is_header & (_header_part(b, 5) == ""), "list")
-        .when(is_header, "inline")
-        .when(b.rlike(KEY_VALUE), "field")
+        .when(header & (_header_part(body, 4) != ""), "tabular")
+        .when(header & (_header_part(body, 5) == ""), "list")
+        .when(header, "inline")
+        .when(body.rlike(KEY_VALUE), "field")
         .otherwise("token")
     )
-    named = staged.withColumn("kind", kind).withColumns({
-        "declared": F.when(is_header, _header_part(b, 2).try_cast("int")),
-        "mark": mark,
-        "names": F.when(F.col("kind") == "tabular", F.transform(split_cells(fields, mark), _unquoted)),
-    })
-    above = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    me = F.struct("line_no", "depth", "kind", "declared", "names", "mark")
-    tracked = named.withColumns({f"__p{d}": F.last(F.when(F.col("depth") == d, me), True).over(above) for d in range(levels)})
-    parent = F.array_max(F.array(*[F.when(F.col("depth") > d, F.col(f"__p{d}")) for d in range(levels)]))
-    hung = tracked.withColumn("parent", parent).drop(*[f"__p{d}" for d in range(levels)])
-    in_table = (F.col("parent.kind") == "tabular") & (F.col("kind") != "close") & (F.col("parent.depth") == F.col("depth") - 1)
-    return hung.withColumn("kind", F.when(in_table, "row").otherwise(F.col("kind")))
+
+
+def _mark(body: Column, delimiter: Column) -> Column:
+    return F.when(_header_part(body, 3) == "|", "|").when(_header_part(body, 3) == "\t", "\t").otherwise(delimiter)
+
+
+def _field_text(body: Column) -> Column:
+    return F.regexp_replace(_header_part(body, 4), r"^\{|\}$", "")
+
+
+def _has_key(body: Column, kind: Column) -> Column:
+    return (kind == "field") | (kind.isin("tabular", "list", "inline") & (_header_part(body, 1) != ""))
+
+
+def _shape(content: Column, delimiter: Column) -> Column:
+    """What a line is to the lines below it."""
+
+    def of_body(b: Column) -> Column:
+        return T.let(_kind(content, b), lambda kind: F.struct(
+            kind.alias("kind"), _is_item(content).alias("is_item"), _has_key(b, kind).alias("keyed"), _mark(b, delimiter).alias("mark"),
+            F.when(kind == "tabular", F.transform(split_cells(_field_text(b), _mark(b, delimiter)), _unquoted)).alias("names"),
+            ((kind == "inline") | ((kind == "field") & (F.regexp_extract(b, KEY_VALUE, 2) != "")) | ((kind == "token") & (b != ""))).alias("valued")))
+
+    return T.let(_body(content), of_body)
+
+
+def classify_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every meaningful line with what it is and the line it hangs under; a document without any keeps one row of nulls.
+
+    ``place`` counts a document's lines from 0, ``parent`` is the nearest line
+    above at a smaller depth, ``end`` the place of the next line at no greater
+    depth, ``members`` and ``items`` how many lines stand one level below.  A
+    document is one row when it is read, so its tree is found there and then:
+    the plan has no shuffle and the same size for any depth.  Only lines that
+    have others below are looked at for their shape before lines become rows.
+    """
+    read = _documents(docs, id_col, text_col)
+    depths = F.transform("lines", lambda x: _depth(x["raw"]))
+    marks = F.transform("lines", lambda x: F.when(F.trim(x["raw"]) == CLOSE, CLOSES).when(_is_item(F.trim(x["raw"])), ITEM).otherwise(PLAIN))
+    treed = read.withColumn("tree", _line_tree(depths, marks))
+    lines, tree = F.col("lines"), F.col("tree")
+    live = F.filter(lines, lambda x: F.trim(x["raw"]) != CLOSE)
+    roots = F.filter(live, lambda x: _depth(x["raw"]) == 0)
+    first = F.get(roots, F.lit(0))
+
+    def with_parents(shapes: Column) -> Column:
+        def parent(p: Column) -> Column:
+            depth, up = _depth(F.get(lines, p)["raw"]), F.get(tree, p)["parent"]
+            in_table = (F.get(shapes, up)["kind"] == "tabular") & (_depth(F.get(lines, up)["raw"]) == depth - 1)
+            return F.when(p >= 0, F.struct(
+                F.get(lines, p)["line_no"].alias("line_no"), depth.alias("depth"), F.get(tree, p)["first_field"].alias("first_field"),
+                F.coalesce(in_table, F.lit(False)).alias("is_row"), F.get(shapes, p).alias("shape")))
+
+        return F.transform(lines, lambda x, i: T.let(F.get(tree, i), lambda t: F.struct(
+            i.alias("place"), x["line_no"].alias("line_no"), x["raw"].alias("raw"), t["end"].alias("end"), t["first_field"].alias("first_field"), t["members"].alias("members"),
+            t["items"].alias("items"), parent(t["parent"]).alias("parent"))))
+
+    shapes = F.transform(lines, lambda x, i: F.when(F.get(tree, i)["end"] > i + 1, _shape(F.trim(x["raw"]), F.col("delimiter"))))
+    rows = treed.select(
+        "doc_id", "delimiter", "strict", F.size("lines").alias("n_lines"), (F.size(live) > 1).alias("several"), F.size(roots).alias("roots"),
+        first["line_no"].alias("root_line"), _shape(F.trim(first["raw"]), F.col("delimiter")).alias("root_shape"),
+        F.inline_outer(T.let(shapes, with_parents)))
+    read_back = rows.withColumns({
+        "spaces": _spaces(F.col("raw")), "depth": _depth(F.col("raw")), "content": F.trim("raw"),
+        "is_item": _is_item(F.trim("raw")), "body": _body(F.trim("raw"))})
+    b = F.col("body")
+    placed = read_back.withColumn("kind", _kind(F.col("content"), b)).withColumns({
+        "declared": F.when(F.col("kind").isin("tabular", "list", "inline"), _header_part(b, 2).try_cast("int")), "mark": _mark(b, F.col("delimiter"))})
+    in_table = (F.col("parent.shape.kind") == "tabular") & (F.col("kind") != "close") & (F.col("parent.depth") == F.col("depth") - 1)
+    return placed.withColumn("kind", F.when(in_table, "row").otherwise(F.col("kind")))
 
 
 def _unquoted(s: Column) -> Column:
@@ -299,67 +408,77 @@ def _unquoted(s: Column) -> Column:
 # --- validation ---------------------------------------------------------------------
 
 
-def _diagnostic(severity: str, line_no: Column, message: Column) -> Column:
-    return F.struct(line_no.cast("int").alias("line_no"), F.lit(severity).alias("severity"), message.alias("message"))
+# The wording that users of the format look for.
+MESSAGES = {
+    "space": "Trailing space", "tab": "Tab character used in indentation", "indent": "Indentation %d is not a multiple of 2",
+    "width": "Row has %d columns, expected %d", "open": "Unterminated quoted string", "escape": "Invalid escape sequence: %s",
+    "dangling": "Unterminated escape sequence at end of line", "header": "Malformed array header: %s", "negative": "Negative array length: %s",
+    "length": "Non-integer array length: %s", "empty": "Empty field list {} in tabular header", "delimiter": "Field list may not use the declared delimiter '%s'",
+    "colon": "Missing colon — expected key: value but got: %s", "count": "Declared %d items but counted %d",
+    "unclosed": "Array block opened at line %d was never closed with ---",
+}
+LENGTH = r"^[^:]*?\[([^\]\t|]*)[\t|]?\]"
+
+
+def _diagnostic(severity: str, message: str, *values: Column | str) -> Column:
+    text = F.format_string(MESSAGES[message], *values) if values else F.lit(MESSAGES[message])
+    return F.struct(F.col("line_no").cast("int").alias("line_no"), F.lit(severity).alias("severity"), text.alias("message"))
 
 
 def validate_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, severity, message) for everything wrong with each document."""
-    read = read_doc_lines(docs, id_col, text_col)
-    levels = line_levels(read)
-    lines = classify_lines(read, levels)
-    content, n = F.col("content"), F.col("line_no")
+    """(doc_id, line_no, severity, message) for everything wrong with each document; one pass without a shuffle."""
+    lines = classify_lines(docs, id_col, text_col).where("line_no is not null")
+    content, kind, b = F.col("content"), F.col("kind"), F.col("body")
     indent = F.regexp_extract("raw", r"^([ \t]*)", 1)
     unpaired = F.regexp_replace(content, QUOTED, "")
+    dangling = unpaired.rlike(r'"(?:[^"\\]|\\.)*\\$')
     escapes = F.regexp_extract_all(content, F.lit(rf"({QUOTED})"), F.lit(1))
     bad_escape = F.regexp_extract(F.array_join(F.transform(escapes, lambda q: F.replace(q, F.lit("\\\\"), F.lit(""))), ""), r'(\\[^"\\nrt])', 1)
-    wide = F.size(split_cells(content, F.col("parent.mark")))
-    expected = F.size("parent.names")
-    free = ~F.col("kind").isin("row", "close")
-    looks_header = free & F.regexp_replace(F.col("body"), QUOTED, '""').rlike(r'^[^:]*\[[^\]]*\].*:') & ~F.col("kind").isin("tabular", "list", "inline")
-    checks = [
-        F.when(F.col("raw").endswith(" "), _diagnostic("WARNING", n, F.lit("Trailing space"))),
-        F.when(indent.contains("\t"), _diagnostic("ERROR", n, F.lit("Tab character used in indentation"))),
-        F.when(F.col("spaces") % 2 != 0, _diagnostic("ERROR", n, F.format_string("Indentation %d is not a multiple of 2", "spaces"))),
-        F.when((F.col("kind") == "row") & (wide != expected), _diagnostic(
-            "ERROR", n, F.format_string("Row has %d columns, expected %d", wide, expected))),
-        F.when(unpaired.contains('"'), _diagnostic("ERROR", n, F.lit("Unterminated quoted string"))),
-        F.when(bad_escape != "", _diagnostic("ERROR", n, F.concat(F.lit("Invalid escape sequence: "), bad_escape))),
-        F.when(looks_header, _diagnostic("ERROR", n, F.concat(F.lit("Malformed array header: "), content))),
-        F.when((F.col("kind") == "tabular") & _header_part(F.col("body"), 4).rlike(r"^\{\s*\}$"), _diagnostic(
-            "ERROR", n, F.lit("Empty field list {} in tabular header"))),
-        F.when((F.col("kind") == "token") & ~F.col("is_item") & ~looks_header, _diagnostic(
-            "ERROR", n, F.concat(F.lit("Missing colon — expected key: value but got: "), content))),
-    ]
-    per_line = lines.select("doc_id", F.explode_outer(F.array_compact(F.array(*checks))).alias("d")).where("d is not null")
-    return per_line.unionByName(_block_diagnostics(lines, levels)).select("doc_id", "d.line_no", "d.severity", "d.message")
-
-
-def validate_blocks(lines: DataFrame, levels: int | None = None) -> DataFrame:
-    """Counted and declared length of every block, and whether a line ends it."""
-    levels = levels or line_levels(lines)
-    blocks = lines.where(F.col("kind").isin("tabular", "list")).select(
-        "doc_id", F.col("line_no").alias("block"), F.col("depth").alias("at"), "declared", F.lit(0).alias("counted"))
-    counts = (F.col("kind") == "row") | (F.col("is_item") & (F.col("parent.kind") == "list"))
-    members = lines.where(counts & (F.col("parent.depth") == F.col("depth") - 1)).select(
-        "doc_id", F.col("parent.line_no").alias("block"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("declared"), F.lit(1).alias("counted"))
-    counted = blocks.unionByName(members).groupBy("doc_id", "block").agg(
-        F.max("at").alias("at"), F.max("declared").alias("declared"), F.sum("counted").alias("counted"))
-    ends = lines.groupBy("doc_id").agg(
-        F.array(*[F.max(F.when(F.col("depth") <= d, F.col("line_no"))) for d in range(levels)]).alias("last_at"))
-    closed = F.coalesce(F.get("last_at", F.col("at")) > F.col("block"), F.lit(False))
-    return counted.join(ends, "doc_id").select("doc_id", "block", "declared", "counted", closed.alias("closed"))
-
-
-def _block_diagnostics(lines: DataFrame, levels: int) -> DataFrame:
-    blocks = validate_blocks(lines, levels).where("declared is not null")
-    off = F.col("closed") & (F.col("counted") != F.col("declared"))
+    wide, expected = F.size(split_cells(content, F.col("parent.shape.mark"))), F.size("parent.shape.names")
+    free, is_header = ~kind.isin("row", "close"), kind.isin("tabular", "list", "inline")
+    bare = F.regexp_replace(b, QUOTED, '""')
+    looks_header = free & bare.rlike(r"^[^:]*\[[^\]]*\].*:") & ~is_header
+    length = F.trim(F.regexp_extract(bare, LENGTH, 1))
+    negative, digits = looks_header & length.rlike(r"^-\d+$"), length.rlike(r"^\d*$")
+    # A length that no integer holds is as bad as letters.
+    no_integer = (looks_header & ~digits & ~negative) | (free & is_header & (_header_part(b, 2) != "") & _header_part(b, 2).try_cast("int").isNull())
+    sign = _header_part(b, 3)
     checks = [
-        F.when(off, _diagnostic("ERROR", F.col("block"), F.format_string("Declared %d items but counted %d", "declared", "counted"))),
-        F.when(~F.col("closed"), _diagnostic(
-            "WARNING", F.col("block"), F.format_string("Array block opened at line %d was never closed with ---", "block"))),
+        F.when(F.col("raw").endswith(" "), _diagnostic("WARNING", "space")),
+        F.when(indent.contains("\t"), _diagnostic("ERROR", "tab")),
+        F.when(F.col("spaces") % 2 != 0, _diagnostic("ERROR", "indent", "spaces")),
+        F.when((kind == "row") & (wide != expected), _diagnostic("ERROR", "width", wide, expected)),
+        F.when(dangling, _diagnostic("ERROR", "dangling")),
+        F.when(unpaired.contains('"') & ~dangling, _diagnostic("ERROR", "open")),
+        F.when(bad_escape != "", _diagnostic("ERROR", "escape", bad_escape)),
+        F.when(negative, _diagnostic("ERROR", "negative", length)),
+        F.when(no_integer, _diagnostic("ERROR", "length", F.when(is_header, _header_part(b, 2)).otherwise(length))),
+        F.when(looks_header & digits, _diagnostic("ERROR", "header", content)),
+        F.when((kind == "tabular") & _header_part(b, 4).rlike(r"^\{\s*\}$"), _diagnostic("ERROR", "empty")),
+        F.when((kind == "tabular") & (sign != "") & ~F.contains(_field_text(b), sign), _diagnostic("WARNING", "delimiter", sign)),
+        F.when((kind == "token") & ~F.col("is_item") & ~looks_header, _diagnostic("ERROR", "colon", content)),
+        F.when(_is_block() & _ended() & (F.col("declared") != _counted()), _diagnostic("ERROR", "count", "declared", _counted())),
+        F.when(_is_block() & F.col("declared").isNotNull() & ~_ended(), _diagnostic("WARNING", "unclosed", "line_no")),
     ]
-    return blocks.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("d"))
+    found = lines.select("doc_id", F.explode(F.array_compact(F.array(*checks))).alias("d"))
+    return found.select("doc_id", "d.line_no", "d.severity", "d.message")
+
+
+def _is_block() -> Column:
+    return F.col("kind").isin("tabular", "list")
+
+
+def _counted() -> Column:
+    return F.when(F.col("kind") == "tabular", F.col("members")).otherwise(F.col("items"))
+
+
+def _ended() -> Column:
+    return F.col("end") < F.col("n_lines")
+
+
+def validate_blocks(lines: DataFrame) -> DataFrame:
+    """Counted and declared length of every block of ``classify_lines``, and whether a line ends it."""
+    return lines.where(_is_block()).select("doc_id", F.col("line_no").alias("block"), "declared", _counted().alias("counted"), _ended().alias("closed"))
 
 
 def validation_summary(diagnostics: DataFrame, docs: DataFrame | None = None, id_col: str = "doc_id") -> DataFrame:
@@ -388,109 +507,112 @@ def _joined(parts: Column, open_: str, close: str) -> Column:
     return F.concat(F.lit(open_), F.array_join(parts, ","), F.lit(close))
 
 
+# Tokens that share a place are in this order: what ends before a line, what the line's parent closes there, the line itself, what it hides.
+ENDS, SWITCHES, OPENS, HIDES = range(4)
+
+
+def _text_token(place: Column, order: int, tie: Column, text: Column, is_value: Column | bool, opens: bool = False) -> Column:
+    """``is_value``: a value is complete after this text; ``opens``: it starts a member, which a comma parts from the one before."""
+    return _token(place, order, tie, text=text, is_value=F.lit(is_value) if isinstance(is_value, bool) else is_value, opens=F.lit(opens))
+
+
+def _token(place: Column, order: int, tie: Column, **fields: Column) -> Column:
+    kinds = {"text": "string", "is_value": "boolean", "opens": "boolean", "hidden": "int", "error": "string"}
+    return F.struct(
+        place.cast("int").alias("place"), F.lit(order).alias("order"), tie.cast("int").alias("tie"),
+        *[fields.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in kinds.items()])
+
+
 def decode_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, json, errors): documents as JSON text.
 
     A strict document with an error has null JSON; a lenient one skips what it
-    cannot read, fills short rows with empty strings and drops extra cells.
-    Lines fold into their parents level by level, deepest first; every level
-    groups by (doc_id, line) on data already partitioned by document.
+    cannot read, fills short rows with empty strings and drops extra cells.  A
+    document without lines is ``{}``, a null one null.
+
+    Every line becomes its opening text at its own place and its closing text
+    at the place where its block ends.  One shuffle by document puts the tokens
+    in order; running columns over them tell what is hidden below a skipped
+    line and where a comma goes.  The plan is the same for any depth.
     """
-    read = read_doc_lines(docs, id_col, text_col)
-    levels = line_levels(read)
-    lines = classify_lines(read, levels)
-    b = F.col("body")
-    is_field = F.col("kind") == "field"
-    is_header = F.col("kind").isin("tabular", "list", "inline")
+    lines = classify_lines(docs, id_col, text_col)
+    b, kind, item, root = F.col("body"), F.col("kind"), F.col("is_item"), F.col("root_shape")
+    place, end = F.col("place"), F.col("end")
+    up, above = F.col("parent.shape"), F.col("parent")
+    names = up["names"]
     value = F.regexp_extract(b, KEY_VALUE, 2)
-    cells = split_cells(F.col("content"), F.col("parent.mark"))
+    cells = split_cells(F.col("content"), up["mark"])
     inline = F.filter(split_cells(_header_part(b, 5), F.col("mark")), lambda c: c != "")
-    names = F.col("parent.names")
     row_json = _joined(F.transform(names, lambda name, i: F.concat(
         T.json_string(name), F.lit(":"), T.token_json(F.coalesce(F.get(cells, i), F.lit(""))))), "{", "}")
-    key = F.when(is_field, _key_json(F.regexp_extract(b, KEY_VALUE, 1))).when(
-        is_header & (_header_part(b, 1) != ""), _key_json(_header_part(b, 1)))
     leaf = (
-        F.when(F.col("kind") == "row", row_json)
-        .when(F.col("kind") == "inline", _joined(F.transform(inline, T.token_json), "[", "]"))
-        .when(is_field & (value != ""), _value_json(value))
-        .when((F.col("kind") == "token") & (b != ""), _value_json(b))
+        F.when(kind == "row", row_json)
+        .when(kind == "inline", _joined(F.transform(inline, T.token_json), "[", "]"))
+        .when((kind == "field") & (value != ""), _value_json(value))
+        .when((kind == "token") & (b != ""), _value_json(b))
     )
-    wrong = F.array_compact(F.array(
-        F.when(F.col("spaces") % 2 != 0, F.format_string("Line %d: indentation is not a multiple of 2", "line_no")),
-        F.when((F.col("kind") == "token") & ~F.col("is_item") & (F.col("depth") + F.col("line_no") > 0) & F.col("__several"),
-               F.format_string("Line %d: missing colon", "line_no")),
-        F.when((F.col("kind") == "row") & (F.size(cells) != F.size(names)), F.format_string(
-            "Line %d: expected %d columns but got %d", "line_no", F.size(names), F.size(cells))),
-        F.when((F.col("kind") == "inline") & (F.size(inline) != F.col("declared")), F.format_string(
-            "Line %d: declared length %d but got %d", "line_no", "declared", F.size(inline))),
-    ))
-    whole = Window.partitionBy("doc_id")
-    counted = lines.where("kind <> 'close'").withColumn("__several", F.count("*").over(whole) > 1)
-    # A line with nothing one level above it is kept at the root for its error only.
-    lost = (F.col("depth") > 0) & ~F.coalesce(F.col("parent.depth") == F.col("depth") - 1, F.lit(False))
-    stray = F.when(lost, F.array(F.format_string("Line %d: unexpected depth", "line_no"))).otherwise(F.array().cast("array<string>"))
-    nodes = counted.select(
-        "doc_id", "line_no", F.when(lost, 0).otherwise(F.col("depth")).alias("depth"), F.when(lost, "stray").otherwise(F.col("kind")).alias("kind"),
-        (F.col("is_item") & ~lost).alias("is_item"), "strict", "declared", F.coalesce("parent.line_no", F.lit(0)).alias("under"),
-        F.when(~lost, key).alias("key"), leaf.alias("json"), F.concat(wrong, stray).alias("errors"))
-    for depth in range(levels - 2, -1, -1):
-        nodes = _fold_level(nodes, depth)
-    return _fold_roots(nodes)
-
-
-NODE = ["line_no", "depth", "kind", "is_item", "strict", "declared", "under", "key", "json", "errors"]
-
-
-def _fold_level(nodes: DataFrame, depth: int) -> DataFrame:
-    """Fold the lines at ``depth + 1`` into their parents at ``depth``."""
-    home = F.when(F.col("depth") == depth + 1, F.col("under")).otherwise(F.col("line_no"))
-    is_child = F.col("depth") == depth + 1
-    packed = F.struct(*NODE)
-    grouped = nodes.groupBy("doc_id", home.alias("home")).agg(
-        F.max(F.when(~is_child, packed)).alias("node"),
-        F.array_sort(F.collect_list(F.when(is_child, packed))).alias("children"))
-    n, kids = F.col("node"), F.col("children")
-    rows = F.filter(kids, lambda c: c["kind"] == "row")
-    items = F.filter(kids, lambda c: c["is_item"])
-    fields = F.filter(kids, lambda c: c["key"].isNotNull() & ~c["is_item"])
-    pairs = F.transform(fields, lambda c: F.concat(c["key"], F.lit(":"), c["json"]))
-    count = F.when(n["kind"] == "tabular", F.size(rows)).otherwise(F.size(items))
-    own = (
-        F.when(n["kind"] == "tabular", _joined(F.transform(rows, lambda c: c["json"]), "[", "]"))
-        .when(n["kind"] == "list", _joined(F.transform(items, lambda c: c["json"]), "[", "]"))
-        .when(n["json"].isNotNull(), n["json"])
-        .otherwise(_joined(pairs, "{", "}"))
+    key = F.when(kind == "field", _key_json(F.regexp_extract(b, KEY_VALUE, 1))).when(
+        kind.isin("tabular", "list", "inline") & (_header_part(b, 1) != ""), _key_json(_header_part(b, 1)))
+    live = F.coalesce(kind != "close", F.lit(False))
+    bare = F.coalesce(root["kind"].isin("tabular", "list", "inline") & ~root["keyed"], F.lit(False))
+    single = F.coalesce((F.col("roots") == 1) & (root["kind"] == "token"), F.lit(False))
+    lost = live & (F.col("depth") > 0) & ~F.coalesce((above["depth"] == F.col("depth") - 1) & (up["kind"] != "close"), F.lit(False))
+    marked = lines.withColumns({"key": key, "leaf": leaf, "live": live, "lost": lost, "wrapped": ~(bare | single)})
+
+    key, leaf, live, lost = (F.col(c) for c in ("key", "leaf", "live", "lost"))
+    is_pair = key.isNotNull() & ~item
+    continues = up["is_item"] & up["keyed"]  # the parent's first field stands on its hyphen line, and more follow below
+    first_field = above["first_field"]
+    late = live & item & (up["kind"] == "list") & continues & (first_field >= 0) & (place > first_field)
+    kept_below = (
+        F.when(above["is_row"], False)
+        .when(up["kind"] == "tabular", kind == "row")
+        .when(up["kind"] == "list", (item & ~F.coalesce(late, F.lit(False))) | (continues & is_pair))
+        .when(up["valued"], continues & is_pair)
+        .otherwise(is_pair)
     )
-    # An item's own first field opens an object that its deeper lines continue.
-    first = F.concat(n["key"], F.lit(":"), own)
-    nested = F.when(n["kind"].isin("tabular", "list") | n["json"].isNotNull(), pairs).otherwise(F.array().cast("array<string>"))
-    as_object = _joined(F.concat(F.array(first), nested), "{", "}")
-    short = F.when(n["kind"].isin("tabular", "list") & (count != n["declared"]), F.array(
-        F.format_string("After line %d: declared %d but got %d", n["line_no"], n["declared"], count))).otherwise(F.array().cast("array<string>"))
-    here = n["depth"] == depth
-    folded = F.when(n["is_item"] & n["key"].isNotNull(), as_object).otherwise(own)
-    errors = F.concat(n["errors"], F.flatten(F.transform(kids, lambda c: c["errors"])))
-    values = {c: n[c] for c in NODE}
-    values["json"] = F.when(here, folded).otherwise(n["json"])
-    values["errors"] = F.when(here, F.concat(errors, short)).otherwise(n["errors"])
-    return grouped.select("doc_id", *[v.alias(c) for c, v in values.items()])
-
-
-def _fold_roots(nodes: DataFrame) -> DataFrame:
-    """One row per document from its lines at depth 0."""
-    at_root = (F.col("depth") == 0) & (F.col("kind") != "stray")
-    grouped = nodes.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.when(at_root, F.struct(*NODE)))).alias("roots"),
-        F.flatten(F.collect_list("errors")).alias("errors"), F.max("strict").alias("strict"))
-    roots = F.col("roots")
-    fields = F.filter(roots, lambda r: r["key"].isNotNull())
-    pairs = F.transform(fields, lambda r: F.concat(r["key"], F.lit(":"), r["json"]))
-    bare = roots[0]["key"].isNull() & roots[0]["kind"].isin("tabular", "list", "inline")
-    single = (F.size(roots) == 1) & (roots[0]["kind"] == "token")
-    json = F.when(bare | single, roots[0]["json"]).otherwise(_joined(pairs, "{", "}"))
-    ok = (F.size("errors") == 0) | ~F.col("strict")
-    return grouped.select("doc_id", F.when(ok, json).alias("json"), F.array_sort("errors").alias("errors"))
+    kept_root = F.when(bare, F.col("line_no") == F.col("root_line")).when(single, True).otherwise(is_pair)
+    shown = live & ~lost & F.coalesce(F.when(F.col("depth") == 0, kept_root).otherwise(kept_below), F.lit(False))
+    in_array = up["kind"].isin("tabular", "list") & (item | (kind == "row"))
+    named = F.when(is_pair & ~F.coalesce(in_array, F.lit(False)) & ~((F.col("depth") == 0) & bare), F.concat(key, F.lit(":"))).otherwise("")
+    nested = item & key.isNotNull() & (kind != "row")
+    is_list, is_leaf = kind.isin("tabular", "list"), leaf.isNotNull()
+    opening = F.concat(named, F.when(nested, F.concat(F.lit("{"), key, F.lit(":"))).otherwise(""), F.when(is_leaf, leaf).when(is_list, "[").otherwise("{"))
+    # The array of an item whose fields go on below ends before the first of them.
+    switches = nested & (kind == "list") & (F.col("members") > F.col("items"))
+    closing = F.concat(F.when(is_leaf | switches, "").when(is_list, "]").otherwise("}"), F.when(nested, "}").otherwise(""))
+    wrong = [
+        F.when(F.col("spaces") % 2 != 0, F.format_string("Line %d: indentation is not a multiple of 2", "line_no")),
+        F.when((kind == "token") & ~item & F.col("several"), F.format_string("Line %d: missing colon", "line_no")),
+        F.when((kind == "row") & (F.size(cells) != F.size(names)), F.format_string("Line %d: expected %d columns but got %d", "line_no", F.size(names), F.size(cells))),
+        F.when((kind == "inline") & (F.size(inline) != F.col("declared")), F.format_string("Line %d: declared length %d but got %d", "line_no", "declared", F.size(inline))),
+        F.when(lost, F.format_string("Line %d: unexpected depth", "line_no")),
+        F.when(late, F.format_string("Line %d: list item after a field", "line_no")),
+        F.when(is_list & ~lost & (F.col("declared") != _counted()), F.format_string("After line %d: declared %d but got %d", "line_no", "declared", _counted())),
+    ]
+    head, zero = F.coalesce(place == 0, F.lit(True)), F.lit(0)
+    tokens = [
+        F.when(head & F.col("wrapped"), _text_token(F.lit(-1), OPENS, zero, F.lit("{"), False)),
+        F.when(head & F.col("wrapped"), _text_token(F.col("n_lines"), ENDS, F.lit(1), F.lit("}"), True)),
+        F.when(shown, _text_token(place, OPENS, zero, opening, is_leaf, opens=True)),
+        F.when(shown & switches, _text_token(F.col("first_field"), SWITCHES, zero, F.lit("]"), True)),
+        F.when(shown & (closing != ""), _text_token(end, ENDS, -place, closing, True)),
+        F.when(live & ~shown & (end > place + 1), _token(place, HIDES, zero, hidden=F.lit(1))),
+        F.when(live & ~shown & (end > place + 1), _token(end, ENDS, -place, hidden=F.lit(-1))),
+        *[F.when(live & w.isNotNull(), _token(place, HIDES, F.lit(1), error=w)) for w in wrong],
+    ]
+    rows = marked.select("doc_id", F.col("n_lines").isNull().alias("absent"), "strict", F.inline_outer(F.array_compact(F.array(*tokens))))
+    ordered = Window.partitionBy("doc_id").orderBy("place", "order", "tie")
+    upto, before = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow), ordered.rowsBetween(Window.unboundedPreceding, -1)
+    seen = rows.withColumn("visible", F.col("text").isNotNull() & (F.coalesce(F.sum("hidden").over(upto), F.lit(0)) == 0))
+    follows = F.coalesce(F.last(F.when(F.col("visible"), F.col("is_value")), True).over(before), F.lit(False))
+    parted = seen.withColumn("text", F.when(F.col("visible"), F.concat(F.when(F.col("opens") & follows, ",").otherwise(""), F.col("text"))))
+    gathered = parted.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("place", "order", "tie", "text")))).alias("texts"),
+        F.array_sort(F.collect_list("error")).alias("errors"), F.max("strict").alias("strict"), F.max("absent").alias("absent"))
+    json = F.array_join(F.transform("texts", lambda t: t["text"]), "")
+    ok = ~F.col("absent") & ((F.size("errors") == 0) | ~F.col("strict"))
+    return gathered.select("doc_id", F.when(ok, json).alias("json"), "errors")
 
 
 # --- audits -------------------------------------------------------------------------

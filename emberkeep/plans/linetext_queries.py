@@ -129,7 +129,7 @@ def validate_docs(spark, sf_dir):
 @query("""
 select o_orderkey as doc_id, 7 as block, case when o_orderkey % 8 = 0 then 3 else 2 end as declared, 2 as counted, true as closed from orders""")
 def validate_blocks(spark, sf_dir):
-    return L.validate_blocks(L.classify_lines(L.read_doc_lines(view(spark, sf_dir, "v9"), "doc_id", "lson_text")))
+    return L.validate_blocks(L.classify_lines(view(spark, sf_dir, "v9"), "doc_id", "lson_text"))
 
 
 @query(f"""with {DIAGNOSTICS}

@@ -1,6 +1,7 @@
 """The line format: literal cases, traps and round trips of awkward documents."""
 
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -98,6 +99,16 @@ def test_diagnostics(spark):
     assert not any(line == 8 for line, _ in got)
 
 
+def test_diagnostics_of_headers_and_escapes(spark):
+    lines = ["a[1|]{x, y}:", "  1", "---", "b[-3]: 1", "c[two]: 1", "d[99999999999]: 1", 'e: "ends in \\', 'f: "fine \\\\"', "g[1|]{x|y}:", "  1|2", "---"]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, None), (3, "")], "doc_id long, text string")
+    got = {(r.line_no, r.severity, r.message) for r in L.validate_docs(docs).collect()}
+    assert got == {
+        (1, "WARNING", "Field list may not use the declared delimiter '|'"), (4, "ERROR", "Negative array length: -3"),
+        (5, "ERROR", "Non-integer array length: two"), (6, "ERROR", "Non-integer array length: 99999999999"),
+        (7, "ERROR", "Unterminated escape sequence at end of line")}
+
+
 def test_table_blocks_split_large_groups(spark):
     df = spark.range(25).select((F.col("id") % 2).alias("g"), "id")
     blocks = L.encode_table(df, ["g"], "rows", ["id"], "id", rows_per_block=5)
@@ -106,10 +117,67 @@ def test_table_blocks_split_large_groups(spark):
     assert got[(0, 2)] == "rows[3]{id}:\n  20\n  22\n  24\n---"
 
 
+def nested(depth, inner):
+    for d in reversed(range(depth)):
+        inner = {f"k{d}": inner}
+    return inner
+
+
 def test_documents_of_any_depth_decode(spark):
-    lines = [f"{'  ' * d}k{d}:" for d in range(9)] + ["  " * 9 + "leaf: 7"]
-    got = L.decode_docs(spark.createDataFrame([("deep", "\n".join(lines)), ("flat", "a: 1")], "doc_id string, text string")).collect()
-    deep = 7
-    for d in reversed(range(9)):
-        deep = {f"k{d}": deep if d < 8 else {"leaf": 7}}
-    assert {r.doc_id: (json.loads(r.json), r.errors) for r in got} == {"deep": (deep, []), "flat": ({"a": 1}, [])}
+    """A 500-level document and a line indented by 1,000 blanks cost the others nothing."""
+    lines = [f"{'  ' * d}k{d}:" for d in range(500)] + ["  " * 500 + "leaf: 7", "after: x"]
+    stray = "%lson 1.0\n%strict false\n---\na: 1\n" + " " * 1_000 + "lost: 2\nb:\n  c: 3"
+    texts = [("deep", "\n".join(lines)), ("flat", "a: 1"), ("stray", stray), ("strict", stray.replace("false", "true")), ("empty", ""), ("none", None)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    got = {r.doc_id: r for r in L.decode_docs(docs).collect()}
+    assert json.loads(got["deep"].json) == {**nested(500, {"leaf": 7}), "after": "x"} and got["flat"].json == '{"a":1}'
+    assert got["stray"].json == '{"a":1,"b":{"c":3}}' and got["stray"].errors == ["Line 5: unexpected depth"]
+    assert got["strict"].json is None and (got["empty"].json, got["none"].json) == ("{}", None)
+    assert L.validate_docs(docs).collect() == []
+
+
+def plan_size(df):
+    return len(df._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+
+def test_plans_have_one_size_for_any_depth(spark):
+    flat, deep = (spark.createDataFrame([(1, t)], "doc_id long, text string") for t in ("a: 1", "\n".join("  " * d + f"k{d}:" for d in range(300))))
+    assert plan_size(L.decode_docs(flat)) == plan_size(L.decode_docs(deep))
+    plan = L.validate_docs(deep)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and L.decode_docs(deep)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_nearest_smaller_lines_match_a_search():
+    rng = random.Random(4)
+    for _ in range(200):
+        depths = [rng.randrange(5) for _ in range(rng.randrange(30))]
+        marks = [rng.choice((L.PLAIN, L.ITEM, L.CLOSES)) for _ in depths]
+        for i, (parent, end, first, members, items) in enumerate(L.nearest_smaller(depths, marks)):
+            assert parent == max((j for j in range(i) if depths[j] < depths[i]), default=-1)
+            assert end == min((j for j in range(i + 1, len(depths)) if depths[j] <= depths[i]), default=len(depths))
+            below = [j for j in range(i + 1, end) if depths[j] == depths[i] + 1 and marks[j] != L.CLOSES]
+            assert (members, items) == (len(below), sum(marks[j] == L.ITEM for j in below))
+            assert first == min((j for j in below if marks[j] == L.PLAIN), default=-1)
+
+
+def test_items_with_arrays_and_more_fields(spark):
+    head = "%lson 1.0\n%strict false\n---\n"
+    got = decoded(
+        spark, "list[2]:\n  - tags[2]:\n    - a\n    - b\n    more: 1\n    deep:\n      x: 2\n  - last: 3\n---",
+        head + "list[1]:\n  - tags[2]:\n    - a\n    more: 1\n    - b\n      hidden: 9\n---\nz: 1", "only[0]:\n---", "- a\n- b", "plain",
+        "rows[2]{a, b}:\n  1, 2\n    under: 3\n  4, 5\n---")
+    assert json.loads(got[0].json) == {"list": [{"tags": ["a", "b"], "more": 1, "deep": {"x": 2}}, {"last": 3}]}
+    assert json.loads(got[1].json) == {"list": [{"tags": ["a"], "more": 1}], "z": 1} and "Line 8: list item after a field" in got[1].errors
+    assert json.loads(got[2].json) == {"only": []} and got[4].json == '"plain"'
+    assert json.loads(got[5].json) == {"rows": [{"a": 1, "b": 2}, {"a": 4, "b": 5}]}
+
+
+def test_lines_below_a_closing_line_are_errors(spark):
+    got = decoded(spark, "rows[1]{a}:\n  1\n---\n  c: 2\nb: 1")
+    assert got[0].json is None and got[0].errors == ["Line 4: unexpected depth"]
+
+
+def test_numbers_that_no_double_holds(spark):
+    docs = spark.createDataFrame([(1, '{"a":1e400,"b":[-1e999,2.5]}'), (2, '{"a":"1e400"}'), (3, "{oops"), (4, None)], "doc_id long, j string")
+    got = {r.doc_id: (r.text.split("\n")[4:] if r.text else None, r.error) for r in L.encode_json_docs(docs, "j", error="error").collect()}
+    assert got == {1: (["a: null", 'b[2]: "-Infinity", 2.5'], "number out of range"), 2: (['a: "1e400"'], None), 3: (None, "not JSON"), 4: (None, None)}
