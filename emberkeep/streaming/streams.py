@@ -2,7 +2,8 @@
 
 Every function maps streaming DataFrames to a streaming DataFrame and works on
 batch DataFrames as well, which gives each stream a batch twin to test against.
-State is built-in aggregation, window, join and dedup state only.
+State is built-in aggregation, window and join state, and two keyed processors
+with timers and state that expires.
 """
 
 from __future__ import annotations
@@ -12,28 +13,56 @@ from pyspark.sql import functions as F
 
 from emberkeep.functions.codes import case_of
 from emberkeep.operators import checkpoints as C
-from emberkeep.streaming.runner import run_batches
+from emberkeep.streaming.runner import needs_state_store, run_batches
+from emberkeep.streaming.stateful import CHANGE, FOLD, TEXT, LatestEvents, LiveEntries, fields
 
 # Alert thresholds of the service objectives.
 SLO = {"p99_ms": 500.0, "error_rate": 0.01, "hit_rate": 0.90, "fetch_failures": 0.005}
 AUTH_FAILURES, AUTH_WINDOW = 10, "15 minutes"
 
 
-def ttl_table_stream(puts: DataFrame, ttl: str, delay: str) -> DataFrame:
-    """Keyed latest value until ``ttl`` after the last put: (key, value, put_at, expired_at).
+def live_changes(puts: DataFrame, delay: str, ends_only: bool = False) -> DataFrame:
+    """What happens to entries as puts (key, value, ts, ttl_ms) come: (key, live, value, puts, first_put_ms, put_ms, expires_ms, changed_at).
 
-    A put restarts the clock of its key, so an entry's life is a session with
-    the TTL as its gap.  An entry is emitted once the watermark passes its end.
+    A put restarts the clock of its key with a time to live of its own; one that
+    is null or not above 0 has no end.  A row with ``live`` is the latest state
+    of a key, one without says that a life has ended, once and for all, when
+    the watermark passed its end.
     """
-    lives = puts.withWatermark("ts", delay).groupBy("key", F.session_window("ts", ttl).alias("life"))
-    return lives.agg(F.max_by("value", F.struct("ts", "value")).alias("value"), F.count("*").alias("puts")).select(
-        "key", "value", "puts", F.col("life.start").alias("first_put_at"), F.col("life.end").alias("expired_at"))
+    needs_state_store(puts.sparkSession)
+    shown = puts.withWatermark("ts", delay).select(
+        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"), "ts", F.unix_millis("ts").alias("ts_ms"),
+        F.coalesce(F.col("ttl_ms").cast("long"), F.lit(0)).alias("ttl_ms"))
+    return shown.groupBy("key").transformWithStateInPandas(
+        LiveEntries(ends_only), CHANGE, "append" if ends_only else "update", "EventTime", eventTimeColumnName="changed_at" if ends_only else "")
 
 
-def expiry_counts_stream(puts: DataFrame, ttl: str, interval: str, delay: str) -> DataFrame:
-    """Expirations per reaper interval."""
-    expiring = puts.withColumn("expires_at", F.col("ts") + F.expr(f"interval {ttl}")).withWatermark("expires_at", delay)
-    return expiring.groupBy(F.window("expires_at", interval).alias("w")).agg(F.count("*").alias("expired")).select(
+def ttl_table_stream(puts: DataFrame, delay: str, label: str = "ttl", base: str | None = None) -> DataFrame:
+    """Run ``live_changes`` to the end of what is there; returns the live entries and the lives that ended."""
+    return fold_lives(run_batches(live_changes(puts, delay), label, "update", base=base))
+
+
+def fold_lives(changes: DataFrame) -> DataFrame:
+    """(key, value, puts, first_put_ms, put_ms, expires_ms, live): every ended life, and of each key the latest life unless it ended.
+
+    Changes merge in any order: a life is known by its last put, later puts
+    make it another one, and of a life seen twice the one with more puts is
+    the newer.
+    """
+    shown = ["value", "puts", "first_put_ms", "put_ms", "expires_ms"]
+    ended = changes.where("not live").select("key", *shown, F.lit(False).alias("live")).distinct()
+    newest = F.max(F.struct("put_ms", F.col("value").isNotNull().alias("some"), "value", (~F.col("live")).alias("gone"), "puts", "first_put_ms", "expires_ms"))
+    latest = changes.groupBy("key").agg(newest.alias("n")).where("not n.gone")
+    return ended.unionByName(latest.select("key", *[F.col(f"n.{c}").alias(c) for c in shown], F.lit(True).alias("live")))
+
+
+def expiry_counts_stream(puts: DataFrame, interval: str, delay: str) -> DataFrame:
+    """Expirations per reaper interval: lives end in one stateful step, windows over their ends count them in the next.
+
+    A put that another one follows in time doesn't expire.
+    """
+    ends = live_changes(puts, delay, ends_only=True)
+    return ends.groupBy(F.window("changed_at", interval).alias("w")).agg(F.count("*").alias("expired")).select(
         F.col("w.start").alias("from_at"), F.col("w.end").alias("to_at"), "expired")
 
 
@@ -59,21 +88,40 @@ def fold_checkpoints(deltas: DataFrame) -> DataFrame:
     ).withColumn("size_bytes", F.octet_length("data").cast("long"))
 
 
-def status_stream(events: DataFrame, max_bytes: int = C.DEFAULT_MAX_BYTES, label: str = "status") -> DataFrame:
+IDLE_MS = 7 * 24 * 3_600_000
+
+
+def status_stream(
+    events: DataFrame, max_bytes: int = C.DEFAULT_MAX_BYTES, label: str = "status", idle_ms: int = IDLE_MS, base: str | None = None,
+) -> DataFrame:
     """Current status per agent, written whenever it changes; returns the latest ones.
 
-    The batch fold consists of mergeable aggregates, so it is the streaming
-    state as it stands.
+    The state holds the last event of each kind and lets go of agents that were
+    idle for ``idle_ms``.  What is written are such last events too, which
+    merge in any order, so an agent that comes back after it left the state
+    still has its whole past in the table.
     """
-    folded = events.where(C.event_rank(F.col("event_type")).isNotNull()).groupBy("agent_id").agg(*C.status_aggregates(max_bytes))
+    needs_state_store(events.sparkSession)
+    kind, at = F.col("event_type"), F.col("at_ms") * len(C.EVENT_RANK) + C.event_rank(F.col("event_type"))
+    size = F.coalesce(F.col("size_bytes"), F.lit(0))
+    resident = F.when(kind == "registered", size <= max_bytes).when(kind == "evicted", False).when(kind == "resolved", True)
+    rows = events.where(C.event_rank(kind).isNotNull()).select(
+        F.col("agent_id").cast("string").alias("key"), F.when(kind == "registered", at).alias("last_registered"),
+        F.when(kind.isin("committed", "resolved"), at).alias("last_committed"), F.when(kind == "evicted", at).alias("last_evicted"),
+        (2 * at + resident.cast("long")).alias("last_resident"), F.when(kind == "registered", at).alias("size_at"),
+        F.when(kind == "registered", F.col("size_bytes").cast("long")).alias("size_bytes"), F.col("at_ms").alias("updated_ms"))
+    folded = rows.groupBy("key").transformWithStateInPandas(LatestEvents(idle_ms), fields(key=TEXT, **{f.name: f.dataType for f in FOLD}), "update", "ProcessingTime")
+    return latest_status(run_batches(folded, label, "update", base=base, empty_batches=False), max_bytes)
+
+
+def latest_status(changes: DataFrame, max_bytes: int = C.DEFAULT_MAX_BYTES) -> DataFrame:
+    """The status that the last events of each kind, merged over all changes, amount to."""
+    lasts = [F.max(c).alias(c) for c in ("last_registered", "last_committed", "last_evicted", "last_resident", "updated_ms")]
+    merged = changes.groupBy(F.col("key").alias("agent_id")).agg(*lasts, F.max_by("size_bytes", F.struct("size_at", "size_bytes")).alias("size_bytes"))
+    held = merged.withColumns({
+        "last_size": F.struct(F.col("size_bytes").alias("value")), "last_resident": F.struct((F.col("last_resident") % 2 == 1).alias("value"))})
     shown = C.status_columns(max_bytes)
-    current = folded.select(
-        "agent_id", shown["status"].alias("status"), shown["in_memory"].alias("in_memory"),
-        F.col("last_size.value").alias("size_bytes"), "updated_ms")
-    changes = run_batches(current, label, "update")
-    columns = [c for c in current.columns if c != "agent_id"]
-    latest = changes.groupBy("agent_id").agg(F.max_by(F.struct(*columns), "batch_id").alias("s"))
-    return latest.select("agent_id", "s.*")
+    return held.select("agent_id", shown["status"].alias("status"), shown["in_memory"].alias("in_memory"), "size_bytes", "updated_ms")
 
 
 def coalesce_requests(reads: DataFrame, keys: list[str], window: str) -> DataFrame:
@@ -103,17 +151,30 @@ def auth_failure_stream(requests: DataFrame, delay: str, limit: int = AUTH_FAILU
     return counted.where(F.col("failures") > limit).select("remote_addr", F.col("w.start").alias("from_at"), "failures")
 
 
-def slo_stream(log: DataFrame, delay: str, window: str = "5 minutes", slide: str = "1 minute", slo: dict[str, float] = SLO) -> DataFrame:
-    """Objectives per sliding window and which of them are broken."""
+SKETCH_K = 4_096  # quantile sketches are exact up to this many values; beyond, ranks are off by less than 0.2 %
 
-    def share(test: Column) -> Column:
-        return F.avg(F.when(test, 1.0).otherwise(0.0))
 
-    seen = log.withWatermark("ts", delay).groupBy(F.window("ts", window, slide).alias("w")).agg(
-        F.count("*").alias("requests"), F.percentile_approx("duration_ms", 0.99, 10_000).alias("p99_ms"),
-        share(F.col("status") >= 400).alias("error_rate"), share(F.col("is_hit")).alias("hit_rate"),
-        share((F.col("operation") == "GET") & (F.col("status") == 404)).alias("fetch_failures"))
-    return seen.select(
+def slo_stream(log: DataFrame, delay: str, window: str = "5 minutes", slide: str = "1 minute", slo: dict[str, float] = SLO) -> DataFrame:
+    """Objectives per sliding window and which of them are broken.
+
+    Rows are counted once, in panes as long as the slide; a window merges the
+    counts and quantile sketches of its panes, so no row is copied to each of
+    its windows and the second step holds one row a pane.
+    """
+    panes = log.withWatermark("ts", delay).groupBy(F.window("ts", slide).alias("pane")).agg(
+        F.count("*").alias("n"), F.kll_sketch_agg_double(F.col("duration_ms").cast("double"), F.lit(SKETCH_K)).alias("durations"),
+        F.count_if(F.col("status") >= 400).alias("errors"), F.count_if("is_hit").alias("hits"),
+        F.count_if((F.col("operation") == "GET") & (F.col("status") == 404)).alias("missed"))
+    seen = panes.groupBy(F.window("pane", window, slide).alias("w")).agg(
+        F.sum("n").alias("requests"), F.kll_merge_agg_double("durations").alias("durations"),
+        *[F.sum(c).alias(c) for c in ("errors", "hits", "missed")])
+
+    def share(count: str) -> Column:
+        return F.col(count) / F.col("requests")
+
+    p99 = F.when(F.kll_sketch_get_n_double("durations") > 0, F.kll_sketch_get_quantile_double("durations", F.lit(0.99)))
+    rated = seen.select("w", "requests", p99.alias("p99_ms"), share("errors").alias("error_rate"), share("hits").alias("hit_rate"), share("missed").alias("fetch_failures"))
+    return rated.select(
         F.col("w.start").alias("from_at"), F.col("w.end").alias("to_at"), "requests", "p99_ms", "error_rate", "hit_rate", "fetch_failures",
         (F.col("p99_ms") > slo["p99_ms"]).alias("slow"), (F.col("error_rate") > slo["error_rate"]).alias("failing"),
         (F.col("hit_rate") < slo["hit_rate"]).alias("cold"), (F.col("fetch_failures") > slo["fetch_failures"]).alias("missing"))
