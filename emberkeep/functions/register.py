@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 from emberkeep.functions import security
 from emberkeep.functions.codes import ERROR_CODES, FRESH_MS
-from emberkeep.functions.text import key_sql, quote_sql
+from emberkeep.functions.text import key_sql, number_sql, quote_sql
 from emberkeep.functions.versions import SEMVER
 
 
@@ -23,6 +23,13 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
     dot = "aggregate(zip_with(a, b, (x, y) -> cast(x as double) * cast(y as double)), 0D, (s, x) -> s + x)"
     part = [f"try_cast(regexp_extract(s, {_lit(SEMVER)}, {i}) as bigint)" for i in (1, 2, 3)]
     pre = f"regexp_extract(s, {_lit(SEMVER)}, 4)"
+    words = (f"transform(split({pre}, r'\\.'), x -> named_struct('kind', case when x rlike r'^\\d+$' then 0 else 1 end, "
+             "'number', try_cast(x as decimal(38,0)), 'text', x))")
+    sound = " and ".join(f"{p} is not null" for p in part)
+    semver_type = "struct<major bigint, minor bigint, patch bigint, release int, parts array<struct<kind int, number decimal(38,0), text string>>, pre string, text string>"
+    head, at = "split_part(s, '@', 1)", "nullif(split_part(s, '@', 2), '')"
+    namespace = f"case when instr({head}, '/') > 0 then split_part({head}, '/', 1) else 'default' end"
+    named = f"case when instr({head}, '/') > 0 then regexp_extract({head}, r'^[^/]*/(.*)$', 1) else {head} end"
     pii = ", ".join(f"case when t rlike {_lit(p)} then '{n}' end" for n, p in security.PII_PATTERNS.items())
     secrets = ", ".join(f"case when t rlike {_lit(p)} then '{n}' end" for n, p in security.SECRET_PATTERNS.items())
     return {
@@ -40,9 +47,16 @@ def _definitions() -> dict[str, tuple[str, str, str]]:
                        f"case when s is null then 'null' else {quote_sql('s')} end"),
         "line_key": ("k string", "string",
                      key_sql("k")),
-        "semver": ("s string", "struct<major bigint, minor bigint, patch bigint, release int, pre string>",
-                   f"case when s rlike {_lit(SEMVER)} then named_struct('major', {part[0]}, 'minor', {part[1]}, "
-                   f"'patch', {part[2]}, 'release', case when {pre} = '' then 1 else 0 end, 'pre', {pre}) end"),
+        "semver": ("s string", semver_type,
+                   f"case when s rlike {_lit(SEMVER)} and {sound} then named_struct('major', {part[0]}, 'minor', {part[1]}, 'patch', {part[2]}, "
+                   f"'release', case when {pre} = '' then 1 else 0 end, 'parts', {words}, 'pre', {pre}, 'text', s) end"),
+        "parse_artefact_ref": ("s string", "struct<namespace string, name string, version string, error string>",
+                               f"named_struct('namespace', {namespace}, 'name', {named}, 'version', {at}, 'error', "
+                               f"case when s is null or {namespace} = '' or {named} = '' then 'INVALID_ID' "
+                               rf"when {at} is not null and not {at} rlike r'^\d+(\.\d+){{0,2}}(-[0-9A-Za-z.-]+)?$' then 'INVALID_VERSION' end)"),
+        "infer_bump": ("removed_required boolean, output_changed boolean, added_optional boolean", "string",
+                       "case when removed_required or output_changed then 'major' when added_optional then 'minor' else 'patch' end"),
+        "line_number": ("d double", "string", f"case when d is null or isnan(d) or abs(d) = double('infinity') then 'null' else {number_sql('d')} end"),
         "checksum": ("content string", "string", "concat('sha256:', sha2(cast(content as binary), 256))"),
         "template_vars": ("t string", "array<string>",
                           f"array_distinct(regexp_extract_all(t, {_lit(security.PLACEHOLDER)}, 1))"),

@@ -27,7 +27,7 @@ def cosine(a: Column, b: Column, norm_a: Column, norm_b: Column) -> Column:
 
 
 def score_against(vector: Column, norm: Column, query: list[float]) -> Column:
-    """Cosine with one literal query, as an Arrow batch kernel.
+    """Cosine with one literal query, as an Arrow batch kernel; null where the vector or its norm holds no finite numbers.
 
     Measured on 400,000 vectors of 64 floats this is over three times faster
     than the native higher-order form, which boxes every element.
@@ -45,8 +45,11 @@ def score_against(vector: Column, norm: Column, query: list[float]) -> Column:
         if usable.any():
             flat = vectors.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False)
             matrix = flat.reshape(-1, len(q)).astype("f8")
+            sound = np.isfinite(matrix).all(axis=1) & np.isfinite(lengths[usable])
+            places = np.flatnonzero(usable)
+            usable[places[~sound]] = False
             # A row-wise sum: the result for a row is the same in any batch.
-            out[usable] = np.einsum("ij,j->i", matrix, q) / lengths[usable]
+            out[places[sound]] = np.einsum("ij,j->i", matrix[sound], q) / lengths[places[sound]]
         return pa.array(out, mask=~usable)
 
     return F.round(kernel.asNondeterministic()(vector, norm), SCORE_DECIMALS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from emberkeep.functions.versions import BUMPS, semver, semver_text
 from emberkeep.operators.running import order_bounds, running
+from emberkeep.operators.selection import key_at, key_literal, sort_key
 from emberkeep.operators.vectors import search_topk
 
 # Types, roles in rising order, allowed transitions and page limits.
@@ -177,14 +178,24 @@ def promote(v: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, Da
 
 
 def paginate(df: DataFrame, order: list[str], page: int = 1, limit: int = PAGE_LIMIT) -> DataFrame:
-    """One page of rows in the given order, with page, limit, total and pages."""
+    """One page of rows in ascending order, with page, limit, total and pages.
+
+    The page's first key is found by counting, so page 1,000,000 keeps no more
+    rows in a task than page 1.  ``order`` should be total: rows alike in all
+    of it are told apart by chance, and a page among them is cut from all that
+    are.
+    """
     limit = max(1, min(limit, MAX_PAGE_LIMIT))
     page = max(1, page)
-    slice_ = df.orderBy(*order).offset((page - 1) * limit).limit(limit)
-    total = df.agg(F.count("*")).scalar()
+    start, total = (page - 1) * limit, df.count()
+    found = key_at(df, order, start)
+    if found is None:
+        slice_ = df.where(F.lit(False))
+    else:
+        first, kind, smaller = found
+        slice_ = df.where(sort_key(order) >= key_literal(first, kind)).orderBy(*order).offset(start - smaller).limit(limit)
     return slice_.withColumns({
-        "page": F.lit(page), "limit": F.lit(limit), "total": total,
-        "pages": F.ceil(total / F.lit(limit)).cast("long")})
+        "page": F.lit(page), "limit": F.lit(limit), "total": F.lit(total).cast("long"), "pages": F.lit(-(-total // limit)).cast("long")})
 
 
 def paginate_after(df: DataFrame, order: list[str], after: list | None, limit: int = PAGE_LIMIT) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from emberkeep.functions import vectors as V
 from emberkeep.operators.running import running
+from emberkeep.operators.selection import key_at, key_literal, sort_key
 
 ENTRY_OVERHEAD = 128  # bytes charged per entry besides 4 per dimension
 DEFAULT_TOP_K = 10
@@ -177,13 +178,18 @@ def retain_recent(
     Ordering by insertion gives FIFO, by last access LRU.  The rank filter lets
     Spark cut every task to n rows per key before it shuffles, and the evicted
     rows come from an anti join on the unique id, so neither side has hot keys.
+    Without a partition the cut is one key, found by counting: both sides are
+    filters of the table, whatever n is.
     """
     newest = [F.desc(order_col), F.desc(id_col)]
-    if part:
-        rank = F.row_number().over(Window.partitionBy(*part).orderBy(*newest))
-        kept_ids = df.select(*dict.fromkeys([*part, order_col, id_col])).withColumn("__rank", rank).where(f"__rank <= {n}").select(id_col)
-    else:
-        kept_ids = df.select(order_col, id_col).orderBy(*newest).limit(n).select(id_col)
+    if not part:
+        found = key_at(df, [order_col, id_col], max(0, df.count() - n)) if n > 0 else None
+        if found is None:
+            return df.where(F.lit(False)), df
+        oldest = sort_key([order_col, id_col]) >= key_literal(found[0], found[1])
+        return df.where(oldest), df.where(~oldest)
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy(*newest))
+    kept_ids = df.select(*dict.fromkeys([*part, order_col, id_col])).withColumn("__rank", rank).where(f"__rank <= {n}").select(id_col)
     return df.join(kept_ids, id_col, "left_semi"), df.join(kept_ids, id_col, "left_anti")
 
 

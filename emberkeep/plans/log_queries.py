@@ -9,7 +9,6 @@ from emberkeep.operators import governance as G
 from emberkeep.operators import logs as L
 from emberkeep.plans.artefact_queries import versions
 from emberkeep.plans.registry import query
-from emberkeep.plans.scan_queries import _hmac_sql
 from emberkeep.plans.views import table, view, with_views
 from emberkeep.session import work_dir
 from emberkeep.sources import entries as E
@@ -174,11 +173,26 @@ HOOKS = [("h1", ["artefact.verified", "artefact.deprecated"], True, "s1"), ("h2"
 PAYLOAD = """'{"event":"' || event_type || '","at_ms":' || at_ms || ',"artefact":{"id":"' || subject || '"}}'"""
 
 
+def _xor_hex_sql(hex_sql: str, pad: str) -> str:
+    """A pad byte XORed with each byte of a key in hex, digit by digit."""
+    upper, lower = security.PADS[pad]
+    return f"""unhex(array_to_string(list_transform(range(1, 128, 2), lambda i: translate({hex_sql}[i], '{security.HEX}', '{upper}') || translate({hex_sql}[i + 1], '{security.HEX}', '{lower}')), ''))"""
+
+
 @query(with_views("v6", f"""
-select 'h1' as hook_id, event_type as event, subject as artefact_id, {PAYLOAD} as payload, {_hmac_sql(PAYLOAD, b"s1")} as signature
-from v6 where event_type in ('artefact.verified', 'artefact.deprecated')"""))
+with hooks as (
+  select c_custkey, 'h' || c_custkey as hook_id, rpad(hex(encode('secret-' || c_custkey || repeat('x', (c_custkey % 40)::int))), 128, '0') as k,
+    case c_custkey % 24 when 0 then 'artefact.verified' when 1 then 'artefact.deprecated' when 2 then 'artefact.published' else 'customer.' || c_custkey end as event
+  from customer where c_custkey % 5 <> 0
+), pads as (select hook_id, event, {_xor_hex_sql('k', 'inner')} as inner_pad, {_xor_hex_sql('k', 'outer')} as outer_pad from hooks),
+signed as (select hook_id, event, subject as artefact_id, {PAYLOAD} as payload, inner_pad, outer_pad from v6 join pads on event = event_type)
+select hook_id, event, artefact_id, payload, 'hmac:' || sha256(outer_pad || unhex(sha256(inner_pad || encode(payload)))) as signature from signed"""))
 def match_webhooks(spark, sf_dir):
-    hooks = spark.createDataFrame(HOOKS, "hook_id string, events array<string>, enabled boolean, secret string")
+    key, no = F.col("c_custkey").cast("string"), F.col("c_custkey") % 24
+    event = F.when(no == 0, "artefact.verified").when(no == 1, "artefact.deprecated").when(no == 2, "artefact.published").otherwise(F.concat(F.lit("customer."), key))
+    hooks = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("h"), key).alias("hook_id"), F.array(event, F.lit("never")).alias("events"), (F.col("c_custkey") % 5 != 0).alias("enabled"),
+        F.concat(F.lit("secret-"), key, F.repeat(F.lit("x"), (F.col("c_custkey") % 40).cast("int"))).alias("secret"))
     events = view(spark, sf_dir, "v6").select(F.col("event_type").alias("event"), F.col("subject").alias("artefact_id"), "at_ms")
     return L.match_webhooks(events, hooks).select("hook_id", "event", "artefact_id", "payload", "signature")
 

@@ -26,20 +26,28 @@ def query_vector(spark, sf_dir) -> list[float]:
     return list(table(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0])
 
 
+SPOILT = "id like '%13'"  # entries whose vectors hold an infinity or none of the numbers at all
+
+
+def with_spoilt(v1):
+    bad = F.when(F.col("id").endswith("113"), F.lit(float("nan"))).otherwise(F.lit(float("inf"))).cast("float")
+    return v1.withColumn("embedding", F.when(F.expr(SPOILT), F.concat(F.array(bad), F.slice("embedding", 2, 63))).otherwise(F.col("embedding")))
+
+
 @query(with_views("v1", f"""
 select e.id, {SCORE} as score from v1 e, (select embedding from v1 where id = 'vec:0') q
-where {LIVE_SQL} order by score desc, e.id limit 10"""))
+where {LIVE_SQL} and not e.{SPOILT} order by score desc, e.id limit 10"""))
 def search_topk(spark, sf_dir):
-    v1 = view(spark, sf_dir, "v1")
+    v1 = with_spoilt(view(spark, sf_dir, "v1"))
     hits = O.search_topk(v1, query_vector(spark, sf_dir), 10, now_of(v1))
     return hits.select("id", "score")
 
 
 @query(with_views("v1", f"""
 select e.id, {SCORE} as score from v1 e, (select embedding from v1 where id = 'vec:0') q
-where {LIVE_SQL} and {SCORE} >= 0.2"""))
+where {LIVE_SQL} and {SCORE} >= 0.2 and not e.{SPOILT}"""))
 def search_threshold(spark, sf_dir):
-    v1 = view(spark, sf_dir, "v1")
+    v1 = with_spoilt(view(spark, sf_dir, "v1"))
     hits = O.search_threshold(v1, query_vector(spark, sf_dir), 0.2, now_of(v1))
     return hits.select("id", "score")
 
@@ -184,12 +192,12 @@ def intersect_live(spark, sf_dir):
 
 @query(with_views("v1", """
 select id, namespace, case when row_number() over (partition by namespace order by last_accessed_ms desc, id desc) <= 7 then 'kept' else 'evicted' end as side,
-  case when row_number() over (order by inserted_ms desc, id desc) <= 50 then 'kept' else 'evicted' end as overall
+  case when row_number() over (order by inserted_ms desc, id desc) <= (select count(*) // 2 from v1) then 'kept' else 'evicted' end as overall
 from v1"""))
 def retain_recent(spark, sf_dir):
     v1 = view(spark, sf_dir, "v1").select("id", "namespace", "last_accessed_ms", "inserted_ms")
     kept, evicted = O.retain_recent(v1, ["namespace"], "last_accessed_ms", 7)
-    newest, rest = O.retain_recent(v1, [], "inserted_ms", 50)
+    newest, rest = O.retain_recent(v1, [], "inserted_ms", v1.count() // 2)
     per = kept.withColumn("side", F.lit("kept")).unionByName(evicted.withColumn("side", F.lit("evicted")))
     overall = newest.select("id", F.lit("kept").alias("overall")).unionByName(rest.select("id", F.lit("evicted").alias("overall")))
     return per.join(overall, "id").select("id", "namespace", "side", "overall")
