@@ -24,7 +24,6 @@ RULES = [
     ("INJ-M001", "medium", r"(?i)pretend\s+(you\s+are|to\s+be)\s+", "pretend"),
     ("INJ-M002", "medium", r"(?i)as\s+(a|an)\s+AI\s+without\s+restrictions", "restrictions"),
 ]
-RULE_LIMIT = 500  # rules become literals of the plan
 SEVERITIES = ["low", "medium", "high", "critical"]
 WEIGHTS = {"critical": 40, "high": 20, "medium": 5}  # ours: points taken off 100
 
@@ -32,14 +31,6 @@ WEIGHTS = {"critical": 40, "high": 20, "medium": 5}  # ours: points taken off 10
 Rule = tuple[str, str, str, str]
 
 
-def load_rules(rules: DataFrame) -> list[Rule]:
-    """A rule table (id, severity, pattern) as literals; refuses one that is not small."""
-    rows = rules.select("id", "severity", "pattern").limit(RULE_LIMIT + 1).collect()
-    if len(rows) > RULE_LIMIT:
-        raise ValueError(f"more than {RULE_LIMIT} rules")
-    return [(*r, "") for r in rows]
-
-
 def _may_match(lowered: Column, literal: str) -> Column:
     """A byte search that settles most texts before any pattern runs."""
     return F.contains(lowered, F.lit(literal)) if literal else F.lit(True)

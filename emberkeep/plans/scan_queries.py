@@ -10,6 +10,7 @@ from emberkeep.functions import security as X
 from emberkeep.functions import text as T
 from emberkeep.functions.register import register_functions
 from emberkeep.operators import scan as S
+from emberkeep.operators.rulebook import scan_rule_table as scan_by_table
 from emberkeep.plans.registry import query
 from emberkeep.plans.views import table, view, with_views
 
@@ -34,6 +35,26 @@ def scan_rules(spark, sf_dir):
     return found.select("doc_id", "rule_id", "severity", "match", "line")
 
 
+# A rule per pair of letters; customers beyond the pairs bring later versions, which ask for another ending.
+RULE_ROWS = """
+select 'R-' || chr(97 + cast(c_custkey % 26 as int)) || chr(97 + cast(floor(c_custkey / 26) as int) % 26) as id, cast(1 + floor(c_custkey / 676) as bigint) as rule_version,
+  case when c_custkey % 3 = 0 then 'high' else 'medium' end as severity,
+  '(?i)' || chr(97 + cast(c_custkey % 26 as int)) || chr(97 + cast(floor(c_custkey / 26) as int) % 26) || case when c_custkey >= 676 then '(tion|ing)[a-z]+[ ;]' else 'tion[a-z]*[.,]' end as pattern
+from customer"""
+
+
+@query(with_views("v2", f"""
+with rules as ({RULE_ROWS}),
+active as (select id, arg_max(pattern, rule_version) as pattern, arg_max(severity, rule_version) as severity, max(rule_version) as rule_version from (select distinct * from rules) group by id)
+select doc_id, id as rule_id, rule_version, severity, regexp_extract(content, pattern, 0) as match,
+  1 + length(split_part(content, regexp_extract(content, pattern, 0), 1)) as position from v2 join active on regexp_matches(content, pattern)"""))
+def scan_rule_table(spark, sf_dir):
+    v2 = view(spark, sf_dir, "v2")
+    table(spark, sf_dir, "customer").createOrReplaceTempView("customer")
+    found = scan_by_table(v2, "content", ["doc_id"], spark.sql(RULE_ROWS))
+    return found.select("doc_id", "rule_id", "rule_version", "severity", "match", "position")
+
+
 @query(with_views("v2", f"""
 with {FOUND} select doc_id, rule_id from f where not (doc_id % 3 = 0 and rule_id in ('INJ-C001', 'INJ-H003'))"""))
 def suppress_findings(spark, sf_dir):
