@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from emberkeep.operators import checkpoints as C
+from emberkeep.operators.checkpoint_table import merge_into_table
 from emberkeep.plans.registry import query
 from emberkeep.plans.views import table, view, with_views
+from emberkeep.session import work_dir
 
 LIFECYCLE = "event_type in ('registered', 'committed', 'evicted')"
 STATUS_SQL = f"""
@@ -40,6 +42,17 @@ def upsert_checkpoints(spark, sf_dir):
     return C.upsert_checkpoints(first, updates(spark, sf_dir, "turn >= 3"))
 
 
+@query(with_views("v4", """
+select agent_id, arg_max(data, written_ms) as data, strlen(arg_max(data, written_ms)) as size_bytes,
+  min(written_ms) as created_at, max(written_ms) as updated_at from v4 group by agent_id"""))
+def upsert_checkpoint_table(spark, sf_dir):
+    path = work_dir(spark, "checkpoints")
+    for part in ("turn < 3", "turn >= 3"):
+        rows = updates(spark, sf_dir, part).select("agent_id", "data", F.col("written_at").alias("created_at"), F.col("written_at").alias("updated_at"))
+        stored = merge_into_table(spark, path, rows, part.replace(" ", ""), buckets=16)
+    return stored
+
+
 @query("""
 select doc_id, strlen(text) as size_bytes, case when strlen(text) > 4000 then 'streaming_to_disk' else 'pending' end as status,
   strlen(text) <= 4000 as in_memory from documents""")

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from emberkeep.functions.codes import case_of
 from emberkeep.operators import checkpoints as C
+from emberkeep.operators.checkpoint_table import BUCKETS, exists, merge_into_table, read_table
+from emberkeep.session import work_dir
 from emberkeep.streaming.runner import needs_state_store, run_batches
 from emberkeep.streaming.stateful import CHANGE, FOLD, TEXT, LatestEvents, LiveEntries, fields
 
@@ -66,11 +68,14 @@ def expiry_counts_stream(puts: DataFrame, interval: str, delay: str) -> DataFram
         F.col("w.start").alias("from_at"), F.col("w.end").alias("to_at"), "expired")
 
 
-def write_behind_stream(updates: DataFrame, label: str = "write-behind") -> DataFrame:
+def write_behind_stream(updates: DataFrame, label: str = "write-behind", base: str | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Persist checkpoint updates as they come; returns the stored table.
 
-    Each micro-batch is reduced per agent and written as a delta.  The table is
-    the fold of the deltas, so nothing already stored is rewritten.
+    Each micro-batch is reduced per agent and written as a delta, which is
+    cheap.  When the stream has ended, the deltas since the last merge are
+    folded into a table of hash buckets, of which only those are written again
+    that the deltas touch.  ``base`` is the folder of an earlier run to go on
+    with.
     """
 
     def reduce_batch(batch: DataFrame) -> DataFrame:
@@ -78,14 +83,18 @@ def write_behind_stream(updates: DataFrame, label: str = "write-behind") -> Data
             F.max_by("data", F.struct("written_at", "data")).alias("data"),
             F.min("written_at").alias("created_at"), F.max("written_at").alias("updated_at"))
 
-    return fold_checkpoints(run_batches(updates, label, "append", reduce_batch))
-
-
-def fold_checkpoints(deltas: DataFrame) -> DataFrame:
-    return deltas.groupBy("agent_id").agg(
-        F.max_by("data", F.struct("updated_at", "data")).alias("data"),
-        F.min("created_at").alias("created_at"), F.max("updated_at").alias("updated_at"),
-    ).withColumn("size_bytes", F.octet_length("data").cast("long"))
+    spark = updates.sparkSession
+    base = base or work_dir(spark, label)
+    deltas = run_batches(updates, label, "append", reduce_batch, base=base)
+    newest = deltas.agg(F.max("batch_id").alias("n")).first().n
+    if newest is None:
+        return read_table(spark, f"{base}/checkpoints")
+    merged = f"{base}/merged"
+    done = spark.read.schema("upto long").json(merged).agg(F.max("upto")).first()[0] if exists(spark, merged) else None
+    if done is None or newest > done:
+        merge_into_table(spark, f"{base}/checkpoints", deltas.where(F.col("batch_id") > (-1 if done is None else done)), f"upto-{newest}", buckets)
+        spark.range(1).select(F.lit(newest).alias("upto")).write.mode("append").json(merged)
+    return read_table(spark, f"{base}/checkpoints")
 
 
 IDLE_MS = 7 * 24 * 3_600_000
