@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from emberkeep.functions.versions import BUMPS, semver, semver_text
 from emberkeep.operators.running import order_bounds, running
 from emberkeep.operators.selection import key_at, key_literal, sort_key
+from emberkeep.operators.similarity import search_topk_batch
 from emberkeep.operators.vectors import search_topk
 
 # Types, roles in rising order, allowed transitions and page limits.
@@ -48,7 +49,7 @@ def list_artefacts(
     if model is not None:
         v = v.where(F.exists("compatible_models", lambda m: m["model"] == model))
     if framework is not None:
-        v = v.where(F.exists("compatible_models", lambda m: m["framework"] == framework))
+        v = v.where(F.array_contains("compatible_frameworks", framework))
     return v
 
 
@@ -268,6 +269,34 @@ def top_artefacts(fetches: DataFrame, n: int) -> DataFrame:
     return fetches.groupBy("artefact_id").agg(F.count("*").alias("fetches")).orderBy(F.desc("fetches"), F.asc("artefact_id")).limit(n)
 
 
+FUSION_OFFSET = 60  # ours: how little the first ranks differ in the fused score
+
+
+def related_by_all(v: DataFrame, vectors: DataFrame, k: int, dim: int, depth: int | None = None) -> DataFrame:
+    """The k artefacts related most by tags, by models and by vector together: (id, related_id, score, rank, by_tags, by_models, by_vector).
+
+    ``v``: id, tags, models; ``vectors``: id, embedding.  Each of the three
+    ranks the others of an artefact by itself, exactly, and gives its first
+    ``depth`` (four times k unless said); a place in a ranking counts
+    1 / (60 + rank) and the sums decide, ties by id.  The ranks are null where
+    a ranking doesn't name the artefact.  Rankings only meet as lists of
+    ``depth`` rows an artefact.
+    """
+    depth = depth or 4 * k
+    tags = related_artefacts(v.select("id", "tags"), depth)
+    models = related_artefacts(v.select("id", F.col("models").alias("tags")), depth)
+    # An artefact finds itself among its nearest vectors, unless others are as near and come first by id.
+    near = search_topk_batch(vectors, vectors.select(F.col("id").alias("query_id"), "embedding"), depth + 1, dim).where("query_id <> id")
+    others = Window.partitionBy("query_id").orderBy("rank")
+    near = near.select(F.col("query_id").alias("id"), F.col("id").alias("related_id"), F.row_number().over(others).alias("rank")).where(F.col("rank") <= depth)
+    lists = [rows.select("id", "related_id", F.col("rank").cast("int").alias("place"), F.lit(name).alias("by")) for name, rows in (("tags", tags), ("models", models), ("vector", near))]
+    fused = reduce(DataFrame.unionByName, lists).groupBy("id", "related_id").agg(
+        F.round(F.sum(1.0 / (FUSION_OFFSET + F.col("place"))), 9).alias("score"), *[F.max(F.when(F.col("by") == name, F.col("place"))).alias(f"by_{name}") for name in ("tags", "models", "vector")])
+    best = Window.partitionBy("id").orderBy(F.desc("score"), F.asc("related_id"))
+    ranked = fused.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("id", "related_id", "score", "rank", "by_tags", "by_models", "by_vector")
+
+
 def related_artefacts(v: DataFrame, k: int) -> DataFrame:
     """The k artefacts with the closest tag sets (Jaccard), ties by id.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from emberkeep.functions import versions as X
@@ -18,8 +19,9 @@ SV = "(string_split(version, '.')[1]::int * 1000000 + string_split(version, '.')
 
 
 def versions(spark, sf_dir):
-    model = F.struct("model", F.lit("core").alias("framework"))
-    return view(spark, sf_dir, "v5").withColumns({"tags": F.array("tag_lang", "tag_source"), "compatible_models": F.array(model)})
+    model = F.struct("model", F.lit(8_000).alias("min_context"), (F.col("doc_id") % 2 == 0).alias("recommended"))
+    return view(spark, sf_dir, "v5").withColumns({
+        "tags": F.array("tag_lang", "tag_source"), "compatible_models": F.array(model), "compatible_frameworks": F.array(F.lit("core"))})
 
 
 @query(with_views("v5", """
@@ -187,6 +189,30 @@ def related_artefacts(spark, sf_dir):
     return R.related_artefacts(versions(spark, sf_dir).where("version = '2.1.0'").select("id", "tags"), 3)
 
 
+MODEL_SETS = "case cast(floor(doc_id / 4) as bigint) % 3 when 0 then {0}('m1', 'm2') when 1 then {0}('m2', 'm3', 'm4') else {0}('m' || cast(floor(doc_id / 4) as bigint) % 7) end"
+
+
+def _jaccard_sql(name: str, column: str) -> str:
+    return f"""{name} as (select id, related_id, place, '{name}' as how from (select x.id, y.id as related_id, row_number() over (partition by x.id order by
+  round(len(list_intersect(x.{column}, y.{column})) / (len(x.{column}) + len(y.{column}) - len(list_intersect(x.{column}, y.{column}))), 6) desc, y.id) as place
+  from a x, a y where x.id <> y.id and len(list_intersect(x.{column}, y.{column})) > 0) where place <= 12)"""
+
+
+@query(with_views("v5", f"""
+with a as (select doc_id, id, list_distinct([tag_lang, tag_source]) as tags, {MODEL_SETS.format('list_value')} as models from v5 where version = '2.1.0'),
+{_jaccard_sql('tags', 'tags')}, {_jaccard_sql('models', 'models')},
+e as (select id, embedding::double[] as embedding from a join embeddings on vec_id = doc_id),
+vector as (select id, related_id, place, 'vector' as how from (select x.id, y.id as related_id,
+  row_number() over (partition by x.id order by round(list_cosine_similarity(x.embedding, y.embedding), 9) desc, y.id) as place from e x, e y where x.id <> y.id) where place <= 12),
+f as (select id, related_id, round(sum(1.0::double / (60 + place)), 9) as score, max(place) filter (how = 'tags') as by_tags, max(place) filter (how = 'models') as by_models,
+  max(place) filter (how = 'vector') as by_vector from (select * from tags union all select * from models union all select * from vector) group by 1, 2)
+select * from (select *, row_number() over (partition by id order by score desc, related_id) as rank from f) where rank <= 3"""))
+def related_by_all(spark, sf_dir):
+    v = versions(spark, sf_dir).where("version = '2.1.0'").select("doc_id", "id", F.array_distinct("tags").alias("tags"), F.expr(MODEL_SETS.format("array")).alias("models"))
+    vectors = v.select("doc_id", "id").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id").select("id", "embedding")
+    return R.related_by_all(v, vectors, 3, 64)
+
+
 @query(with_views("v5", """
 select * from (select id, version, status, author, row_number() over (partition by id order by version desc) as position from v5) where position <= 3"""))
 def version_history(spark, sf_dir):
@@ -276,18 +302,37 @@ def unified_diff(spark, sf_dir):
 
 
 @query(with_views("v5", """
-select id, version, status, author, tag_lang || ',' || tag_source as tags, model, content_system as system from v5"""))
+select id, version, status, author, tag_lang || ',' || tag_source as tags, model, content_system as system, 'team ' || doc_id % 7 as team, 'org' || doc_id % 3 as organisation,
+  'sha256:' || sha256(content_system) as checksum, 'changed ' || version as changelog, 'about ' || slug as description, slug || ' use,other' as use_cases, 'core' as frameworks,
+  'n|5|a;b' as variable, '{"type":"' || lang || '"}' as output_schema, doc_id % 100 / 2.0::double as risk_score, 'INJ-' || doc_id % 9 as finding, doc_id * 1.5::double as latency,
+  case when status = 'deprecated' then 'ns/next' else '-' end as successor from (select v5.*, tag_lang as lang from v5)"""))
 def read_artefacts(spark, sf_dir):
     v = versions(spark, sf_dir)
+    no, text = F.col("doc_id"), F.col("doc_id").cast("string")
+
+    def struct(**columns):
+        return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in columns.items()])
+
+    discovery = struct(description=F.concat(F.lit("about "), "slug"), use_cases=F.array(F.concat("slug", F.lit(" use")), F.lit("other")), compatible_frameworks=F.array(F.lit("core")))
     envelope = F.struct(
-        "id", "type", "version", "status", F.struct(F.col("author").alias("name")).alias("author"), "namespace", "tags",
-        "compatible_models", F.struct(F.col("content_system").alias("system")).alias("content"))
+        "id", "type", "version", "status", F.concat(F.lit("sha256:"), F.sha2("content_system", 256)).alias("checksum"),
+        struct(name=F.col("author"), team=F.concat(F.lit("team "), (no % 7).cast("string"))).alias("author"), F.concat(F.lit("org"), (no % 3).cast("string")).alias("organisation"),
+        "namespace", F.concat(F.lit("changed "), "version").alias("changelog"), "tags", "compatible_models", discovery.alias("metadata"),
+        struct(system=F.col("content_system"), output_schema=struct(type=F.col("tag_lang"))).alias("content"),
+        F.array(struct(name="n", type="int", default=5, values=F.array(F.lit("a"), F.lit("b")))).alias("variables"),
+        struct(risk_score=no % 100 / 2.0, findings=F.array(struct(id=F.concat(F.lit("INJ-"), (no % 9).cast("string")), severity="low"))).alias("security"),
+        struct(avg_latency_ms=no * 1.5).alias("performance"), F.when(F.col("status") == "deprecated", struct(successor="ns/next")).alias("deprecation"))
     path = work_dir(spark, "artefacts")
     v.select(F.to_json(envelope).alias("value")).write.text(path)
     read, _ = S.read_artefacts(spark, path)
+    variable = F.col("variables")[0]
     return read.select(
-        "id", "version", "status", F.col("author.name").alias("author"), F.array_join("tags", ",").alias("tags"),
-        F.col("compatible_models")[0]["model"].alias("model"), F.col("content.system").alias("system"))
+        "id", "version", "status", F.col("author.name").alias("author"), F.array_join("tags", ",").alias("tags"), F.col("compatible_models")[0]["model"].alias("model"),
+        F.col("content.system").alias("system"), F.col("author.team").alias("team"), "organisation", "checksum", "changelog", "description",
+        F.array_join("use_cases", ",").alias("use_cases"), F.array_join("compatible_frameworks", ",").alias("frameworks"),
+        F.concat_ws("|", variable["name"], variable["default"], F.array_join(variable["values"], ";")).alias("variable"), F.col("content.output_schema").alias("output_schema"),
+        F.col("security.risk_score").alias("risk_score"), F.col("security.findings")[0]["id"].alias("finding"), F.col("performance.avg_latency_ms").alias("latency"),
+        F.coalesce("deprecation.successor", F.lit("-")).alias("successor"))
 
 
 @query(with_views("v5", f"""

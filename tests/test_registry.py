@@ -84,6 +84,20 @@ def test_yaml_and_json_envelopes(spark, tmp_path):
     assert (row.id, row.tags, row.content.system, bad.count()) == ("ns/a", ["x", "y"], "hi", 1)
 
 
+def test_envelope_fields_and_places(spark, tmp_path):
+    rows = [
+        '{"id":"a","version":"1.0.0","compatible_models":["m1","m2"],"metadata":{"tags":["t"],"description":"d","required_capabilities":["c"]},"variables":[{"name":"v","default":{"x":1}}]}',
+        '{"id":"b","version":"1.0.0","compatible_models":[{"model":"m3","min_context":9,"recommended":true}],"tags":["top"],"metadata":{"tags":["below"]},"deprecation":{"reason":"old"}}',
+        '{"id":"c","version":"1.0.0"}', '{"version":"1.0.0"}', "no json"]
+    (tmp_path / "all.json").write_text("\n".join(rows))
+    good, bad = A.read_artefacts(spark, str(tmp_path / "all.json"))
+    got = {r.id: r for r in good.collect()}
+    assert [m.model for m in got["a"].compatible_models] == ["m1", "m2"] and (got["a"].tags, got["a"].description, got["a"].required_capabilities) == (["t"], "d", ["c"])
+    assert got["a"].variables[0].default == '{"x":1}' and got["b"].compatible_models[0].min_context == 9
+    assert got["b"].tags == ["top"] and got["b"].deprecation.reason == "old" and got["c"].compatible_models is None
+    assert sorted(r.value for r in bad.collect()) == ["no json", '{"version":"1.0.0"}']
+
+
 def test_hmac_equals_the_standard_library(spark):
     texts = ["", "plain", "é漢字", "x" * 500]
     for key in (b"k", b"long" * 40):
