@@ -17,7 +17,9 @@ from emberkeep.functions.vectors import SCORE_DECIMALS
 
 QUERY_BYTES_LIMIT = 64 << 20  # largest query matrix sent to every executor
 BLOCK_ROWS = 20_000  # rows per side of one matrix product
-PIVOTS = 32  # reference directions for pruning; the pivot tables are PIVOTS squared
+LEAST_PIVOTS = 16
+PRODUCT_ROWS = 250  # left rows of one matrix product in a block
+PAIRS = "id_a string, id_b string, score double"
 MATCH_SCHEMA = "query_id string, id string, score double"
 
 
@@ -155,82 +157,165 @@ def copy_members(df: DataFrame, distinct: DataFrame) -> DataFrame:
     return df.join(distinct.select("embedding", F.col("id").alias("representative")), "embedding").select("id", "representative")
 
 
+PIVOT_BYTES = 64 << 20  # most that the pivots may take in every task
+SAMPLED = 4_000  # vectors that the order of the dimensions is taken from
+SLACK = 1e-9
+
+
+def pivot_count(rows: int, dim: int) -> int:
+    """Half the square root of the row count, as far as that fits in every task."""
+    return max(1, min(max(LEAST_PIVOTS, math.isqrt(rows) // 2), PIVOT_BYTES // (8 * dim)))
+
+
+def leading_rotation(sample: np.ndarray) -> np.ndarray:
+    """An orthogonal matrix that puts the directions in which a sample varies most first."""
+    _, vectors = np.linalg.eigh(sample.T @ sample)
+    return vectors[:, ::-1].copy()
+
+
+def block_matches(x: np.ndarray, y: np.ndarray, threshold: float, wanted=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Pairs of rotated unit rows with cosine >= ``threshold``: places, scores, and how many pairs were multiplied in full.
+
+    What the dimensions after the first m add to a product is no more than the
+    product of the rests' lengths.  A quarter of the dimensions bounds all
+    pairs in one matrix product, half of them the pairs that are left, and only
+    those that still may reach the threshold are multiplied.  ``wanted`` rules
+    out pairs by a truth value each.
+    """
+    dim = x.shape[1]
+
+    def rest(rows: np.ndarray, m: int) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", rows[:, :m], rows[:, :m])))
+
+    first, second = max(1, dim // 4), max(1, dim // 2)
+    bounds = x[:, :first] @ y[:, :first].T + np.outer(rest(x, first), rest(y, first))
+    near = bounds >= threshold - SLACK
+    if wanted is not None:
+        near &= wanted
+    rows, cols = np.nonzero(near)
+    bound = np.einsum("ij,ij->i", x[rows, :second], y[cols, :second]) + rest(x, second)[rows] * rest(y, second)[cols]
+    kept = bound >= threshold - SLACK
+    rows, cols = rows[kept], cols[kept]
+    scores = np.round(np.einsum("ij,ij->i", x[rows], y[cols]), SCORE_DECIMALS)
+    found = scores >= threshold
+    return rows[found], cols[found], scores[found], len(rows)
+
+
+class Pivots:
+    """Reference directions in two levels: every pivot belongs to the nearest of a few tops."""
+
+    def __init__(self, centers: np.ndarray):
+        self.centers = centers
+        self.tops = centers[: max(1, math.isqrt(len(centers)))]
+        top = (centers @ self.tops.T).argmax(axis=1)
+        top[: len(self.tops)] = np.arange(len(self.tops))  # a top is its own, also beside an equal one
+        self.children = [np.flatnonzero(top == t) for t in range(len(self.tops))]
+
+    @staticmethod
+    def _angles(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(rows @ centers.T, -1, 1))
+
+    def home(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each row the nearest pivot below its nearest top, the angle to it, and the angle to the top."""
+        to_top = self._angles(rows, self.tops)
+        top = to_top.argmin(axis=1)
+        home, angle = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for t in np.unique(top):
+            mine = np.flatnonzero(top == t)
+            angles = self._angles(rows[mine], self.centers[self.children[t]])
+            best = angles.argmin(axis=1)
+            home[mine], angle[mine] = self.children[t][best], angles[np.arange(len(mine)), best]
+        return home, angle, to_top[np.arange(len(rows)), top]
+
+    def reachable(self, rows: np.ndarray, reach: float, radius: np.ndarray) -> list[list[int]]:
+        """The pivots whose rows may lie within ``reach`` of each row; ``radius`` is the widest angle of each pivot's rows, -inf for none.
+
+        A top is passed over by the widest angle from it to any row of its
+        pivots, which the pivot's angle and radius bound.
+        """
+        out: list[list[int]] = [[] for _ in range(len(rows))]
+        to_top = self._angles(rows, self.tops)
+        for t, children in enumerate(self.children):
+            spread = (self._angles(self.tops[t : t + 1], self.centers[children])[0] + radius[children]).max()
+            near = np.flatnonzero(to_top[:, t] <= reach + spread)
+            if len(near):
+                inside = self._angles(rows[near], self.centers[children]) <= reach + radius[children]
+                for i, held in zip(near.tolist(), inside):
+                    out[i] += children[held].tolist()
+        return out
+
+
 def similarity_join(
-    a: DataFrame, b: DataFrame | None, threshold: float, dim: int, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS
+    a: DataFrame, b: DataFrame | None, threshold: float, dim: int, pivots: int | None = None, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """Every pair with cosine >= ``threshold``; without ``b``, each pair of ``a`` once.
 
-    Exact pruning: angles obey the triangle inequality.  Rows of the right side
-    live with their nearest pivot, whose widest angle is known; a left row only
-    visits pivots that can hold a partner.  Crowded pivots split by hash on
-    both sides, so every matrix product stays within ``block_rows`` squared.
-    Both sides should hold distinct vectors (``distinct_vectors``), since
-    copies would multiply in the result.
+    Exact pruning in two ways.  Angles obey the triangle inequality: rows of
+    the right side live with a pivot, whose widest angle is known, and a left
+    row only visits pivots that can hold a partner.  There are as many pivots
+    as half the square root of the rows, in two levels, so finding them costs
+    each row little.  Inside a block the leading dimensions bound a pair before
+    it is multiplied.  Crowded pivots split by hash on both sides, so a task
+    holds ``block_rows`` rows of a side.  Both sides should hold distinct
+    vectors (``distinct_vectors``), since copies would multiply in the result.
+    Vectors without any structure lie at nearly one angle from all others; of
+    those the bound in the block is all that is left.
     """
     one_sided = b is None
     left = _usable(a.select("id", "embedding"), dim)
     right = left if one_sided else _usable(b.select("id", "embedding"), dim)
-    chosen = right.orderBy(F.xxhash64("id"), "id").limit(pivots).toArrow()
-    if not chosen.num_rows:
-        return a.sparkSession.createDataFrame([], "id_a string, id_b string, score double")
-    centers = _matrix(chosen.column("embedding"))
+    total = right.count()
+    if not total:
+        return a.sparkSession.createDataFrame([], PAIRS)
+    wanted = min(total, pivots or pivot_count(total, dim))
+    drawn = min(1.0, 1.2 * (max(wanted, min(SAMPLED, total)) + 10) / total)
+    sample = _matrix(right.select("embedding").sample(drawn, seed=11).toArrow().column("embedding")) if drawn < 1 else _matrix(right.select("embedding").toArrow().column("embedding"))
+    if not len(sample):
+        sample = np.eye(dim)[:1]  # any direction serves as a pivot
+    index, rotation = Pivots(sample[:wanted]), leading_rotation(sample[:SAMPLED])
     reach = math.acos(max(-1.0, min(1.0, threshold - 10.0**-SCORE_DECIMALS))) + 1e-6
 
     @F.arrow_udf("struct<home:int,angle:double>")
     def nearest(v: pa.Array) -> pa.Array:
-        cosines = np.clip(_matrix(v) @ centers.T, -1, 1)
-        home = cosines.argmax(axis=1)
-        angle = np.arccos(cosines[np.arange(len(home)), home])
+        home, angle, _ = index.home(_matrix(v))
         return pa.StructArray.from_arrays([pa.array(home, pa.int32()), pa.array(angle)], ["home", "angle"])
 
     homed = right.withColumn("at", nearest("embedding")).select("id", "embedding", "at.home", "at.angle")
-    sizes = homed.groupBy("home").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect()
-    radius = np.full(len(centers), -np.inf)
-    b_split = {}
-    for row in sizes:
-        radius[row.home] = row.radius
-        b_split[row.home] = math.ceil(row.n / block_rows)
+    sizes = homed.groupBy("home").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+    radius, b_split = np.full(len(index.centers), -np.inf), {}
+    for row in sizes.collect():  # one row a pivot
+        radius[row.home], b_split[row.home] = row.radius + 1e-9, math.ceil(row.n / block_rows)
 
     @F.arrow_udf("array<int>")
     def reachable(v: pa.Array) -> pa.Array:
-        angles = np.arccos(np.clip(_matrix(v) @ centers.T, -1, 1))
-        return pa.array([np.flatnonzero(r).tolist() for r in angles <= reach + radius], pa.list_(pa.int32()))
+        return pa.array(index.reachable(_matrix(v), reach, radius), pa.list_(pa.int32()))
 
     visits = left.withColumn("home", F.explode(reachable("embedding")))
     a_split = {r.home: math.ceil(r.n / block_rows) for r in visits.groupBy("home").agg(F.count("*").alias("n")).collect()}
+    splits = a.sparkSession.createDataFrame(
+        [(h, a_split.get(h, 1), n) for h, n in sorted(b_split.items())], "home int, splits_a int, splits_b int")  # a pivot each
 
-    def split_of(table: dict[int, int]):
-        pairs = [F.lit(x) for item in table.items() for x in item]
-        return F.coalesce(F.element_at(F.create_map(*pairs), F.col("home")), F.lit(1)) if pairs else F.lit(1)
-
-    def cells(df: DataFrame, own: str, own_split: dict, other: str, other_split: dict) -> DataFrame:
+    def cells(df: DataFrame, own: str, other: str) -> DataFrame:
         # Aliases give both sides columns of their own where they come from one table.
-        return df.select(
-            *[F.col(c).alias(c) for c in ("id", "embedding", "home")],
-            F.pmod(F.xxhash64("id"), split_of(own_split)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), split_of(other_split) - 1)).alias(other),
-        )
-
-    lhs = cells(visits, "i", a_split, "j", b_split)
-    rhs = cells(homed, "j", b_split, "i", a_split)
+        placed = df.select(*[F.col(c).alias(c) for c in ("id", "embedding", "home")]).join(F.broadcast(splits), "home")
+        return placed.select(
+            "id", "embedding", "home", F.pmod(F.xxhash64("id"), F.col(f"splits_{own}")).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(f"splits_{other}") - 1)).alias(other))
+
+    lhs, rhs = cells(visits, "a", "b"), cells(homed, "b", "a")
     out_type = pa.schema([("id_a", pa.string()), ("id_b", pa.string()), ("score", pa.float64())])
 
     def kernel(x: pa.Table, y: pa.Table) -> pa.Table:
         if not x.num_rows or not y.num_rows:
             return out_type.empty_table()
         ids_x, ids_y = (np.array(t.column("id").to_pylist(), dtype=object) for t in (x, y))
-        mx, my = _matrix(x.column("embedding")), _matrix(y.column("embedding"))
+        mx, my = _matrix(x.column("embedding")) @ rotation, _matrix(y.column("embedding")) @ rotation
         parts = []
-        for at in range(0, len(ids_x), 1_000):
-            scores = _scores(mx[at:at + 1_000], my)
-            keep = scores >= threshold
-            if one_sided:
-                keep &= ids_x[at:at + 1_000, None] < ids_y[None, :]
-            rows, cols = np.nonzero(keep)
-            parts.append(pa.table(
-                {"id_a": pa.array(ids_x[at + rows], pa.string()), "id_b": pa.array(ids_y[cols], pa.string()),
-                 "score": scores[rows, cols]}, schema=out_type))
+        for at in range(0, len(ids_x), PRODUCT_ROWS):
+            order = ids_x[at:at + PRODUCT_ROWS, None] < ids_y[None, :] if one_sided else None
+            rows, cols, scores, _ = block_matches(mx[at:at + PRODUCT_ROWS], my, threshold, order)
+            parts.append(pa.table({"id_a": pa.array(ids_x[at + rows], pa.string()), "id_b": pa.array(ids_y[cols], pa.string()), "score": scores}, schema=out_type))
         return pa.concat_tables(parts)
 
-    keys = ["home", "i", "j"]
-    return lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInArrow(kernel, "id_a string, id_b string, score double")
+    keys = ["home", "a", "b"]
+    return lhs.groupBy(*keys).cogroup(rhs.groupBy(*keys)).applyInArrow(kernel, PAIRS)

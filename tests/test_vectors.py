@@ -128,6 +128,43 @@ def test_similarity_join_with_small_blocks_is_exact(spark):
         assert {(r.id_a, r.id_b) for r in S.similarity_join(a, b, threshold, 8, pivots=5, block_rows=15).collect()} == want
 
 
+def clustered(n, dim, seed, spread):
+    """Families of near copies around directions of their own, and as many loners."""
+    rng = np.random.default_rng(seed)
+    heads = rng.normal(size=(n // 20, dim))
+    rows = np.concatenate([heads[rng.integers(len(heads), size=n // 2)] + spread * rng.normal(size=(n // 2, dim)), rng.normal(size=(n - n // 2, dim))])
+    return rows / np.linalg.norm(rows, axis=1)[:, None]
+
+
+def test_few_pairs_are_multiplied():
+    for seed, spread in ((1, 0.2), (2, 0.0)):
+        rows = clustered(1_200, 64, seed, spread) if spread else np.random.default_rng(seed).normal(size=(1_200, 64))
+        rows = rows / np.linalg.norm(rows, axis=1)[:, None]
+        turned = rows @ S.leading_rotation(rows[:500])
+        for threshold, share in ((0.95, 0.02), (0.8, 0.1)):
+            got, _, scores, multiplied = S.block_matches(turned, turned, threshold)
+            want = np.round(rows @ rows.T, S.SCORE_DECIMALS) >= threshold
+            assert len(got) == want.sum() and multiplied - want.sum() < share * rows.shape[0] ** 2
+
+
+def test_pivots_prune_families_and_lose_nothing():
+    rows = clustered(3_000, 32, 5, 0.05)
+    index = S.Pivots(rows[::37])
+    home, angle, _ = index.home(rows)
+    radius = np.full(len(index.centers), -np.inf)
+    np.maximum.at(radius, home, angle)
+    reach = np.arccos(0.95)
+    visited = index.reachable(rows, reach, radius)
+    linked = np.argwhere(rows @ rows.T >= 0.95)
+    assert all(home[j] in visited[i] for i, j in linked)
+    assert np.allclose(np.arccos(np.clip((rows * index.centers[home]).sum(axis=1), -1, 1)), angle, atol=1e-6)
+
+
+def test_pivots_follow_the_row_count():
+    assert S.pivot_count(10, 64) == S.LEAST_PIVOTS and S.pivot_count(10**8, 64) == 5_000
+    assert S.pivot_count(10**14, 64) * 64 * 8 <= S.PIVOT_BYTES
+
+
 def test_copies_collapse_to_a_representative(spark):
     df = spark.createDataFrame([(f"x{i}", FRUIT) for i in range(50)] + [("y", BANANA)], "id string, embedding array<float>")
     distinct = S.distinct_vectors(df)
