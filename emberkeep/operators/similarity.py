@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberkeep.functions.vectors import SCORE_DECIMALS
+from emberkeep.session import work_dir
 
 QUERY_BYTES_LIMIT = 64 << 20  # largest query matrix sent to every executor
 BLOCK_ROWS = 20_000  # rows per side of one matrix product
@@ -201,6 +202,13 @@ def block_matches(x: np.ndarray, y: np.ndarray, threshold: float, wanted=None) -
     return rows[found], cols[found], scores[found], len(rows)
 
 
+def _staged(df: DataFrame, label: str) -> DataFrame:
+    """Written to the shared folder and read back, so that passes over it don't repeat what made it."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Pivots:
     """Reference directions in two levels: every pivot belongs to the nearest of a few tops."""
 
@@ -262,8 +270,8 @@ def similarity_join(
     those the bound in the block is all that is left.
     """
     one_sided = b is None
-    left = _usable(a.select("id", "embedding"), dim)
-    right = left if one_sided else _usable(b.select("id", "embedding"), dim)
+    left = _staged(_usable(a.select("id", "embedding"), dim), "left")
+    right = left if one_sided else _staged(_usable(b.select("id", "embedding"), dim), "right")
     total = right.count()
     if not total:
         return a.sparkSession.createDataFrame([], PAIRS)
@@ -290,7 +298,7 @@ def similarity_join(
     def reachable(v: pa.Array) -> pa.Array:
         return pa.array(index.reachable(_matrix(v), reach, radius), pa.list_(pa.int32()))
 
-    visits = left.withColumn("home", F.explode(reachable("embedding")))
+    visits = _staged(left.withColumn("homes", reachable("embedding")), "visits").select("id", "embedding", F.explode("homes").alias("home"))
     a_split = {r.home: math.ceil(r.n / block_rows) for r in visits.groupBy("home").agg(F.count("*").alias("n")).collect()}
     splits = a.sparkSession.createDataFrame(
         [(h, a_split.get(h, 1), n) for h, n in sorted(b_split.items())], "home int, splits_a int, splits_b int")  # a pivot each
