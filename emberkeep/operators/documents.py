@@ -7,7 +7,8 @@ rows rather than one.
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,15 +18,44 @@ NO_TABLES = "_No tables detected on this page._"
 NO_LINKS = "_No links detected on this page._"
 FIELDS = ["Title", "Author", "Subject", "Creator", "Producer"]
 META_NAMES = {"Author": "author", "Subject": "description", "Creator": "generator", "Producer": "publisher"}
-# Named and numbered entities; the ampersand comes last so nothing is decoded twice.
+# Entities that the corpus is full of; a blank that doesn't break is a blank in plain text.
 ENTITIES = [
     ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
     ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
 ]
 
 
+ENTITY = r"&(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def _named_entities() -> str:
+    """The names that HTML knows and the numbers that stand for a byte of the Windows code page, as one JSON object."""
+    named = {name[:-1]: sign for name, sign in html5.items() if name.endswith(";")}
+    named |= {f"#{byte}": bytes([byte]).decode("cp1252", "replace") for byte in range(0x80, 0xA0)}
+    named |= {entity[1:-1]: sign for entity, sign in ENTITIES}
+    return json.dumps(named)
+
+
 def decode_entities(text: Column) -> Column:
-    return reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    """Named and numbered entities as the signs they stand for, each once; unknown names stay, numbers beyond Unicode become U+FFFD.
+
+    Only a text with an ampersand is cut at its entities.
+    """
+    names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+    table = F.from_json(F.lit(_named_entities()), "map<string,string>")
+
+    def sign(name: Column) -> Column:
+        code = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, F.lit(3), F.length(name)), 16, 10)).when(
+            name.startswith("#"), F.substring(name, F.lit(2), F.length(name))).try_cast("long")
+        valid = (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        known = F.element_at(table, F.when(code.isNotNull(), F.concat(F.lit("#"), code.cast("string"))).otherwise(name))
+        return F.coalesce(known, F.when(valid, plain), F.when(code.isNotNull(), "\ufffd"), F.concat(F.lit("&"), name, F.lit(";")))
+
+    pieces = F.split(text, ENTITY, -1)
+    signs = F.concat(F.transform(names, sign), F.array(F.lit("")))
+    whole = F.array_join(F.zip_with(pieces, signs, lambda p, e: F.concat(p, e)), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
