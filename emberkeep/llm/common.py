@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from emberkeep.session import work_dir
 
-SLICE_BYTES = 4 << 20  # kernels work on this much text at a time, whatever the Arrow batch holds
+SLICE_BYTES = 1 << 20  # kernels work on this much text at a time, whatever the Arrow batch holds
 BROADCAST_KEYS = 200_000  # most keys that a join may send to every executor: under 4 MB
 
 U = np.uint64
@@ -115,6 +115,51 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U))
 
 
+def distinct_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct run of bytes, and the number of each run among those.
+
+    Equal hashes are checked byte by byte, so the answer is exact.
+    """
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    _, first, number = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, like = ends - starts, first[number]
+    alike = bool((sizes == sizes[like]).all())
+    if alike:
+        inner = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        alike = bool((data[np.repeat(starts, sizes) + inner] == data[np.repeat(starts[like], sizes) + inner]).all())
+    if not alike:
+        raw, seen = data.tobytes(), {}
+        number = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(starts.tolist(), ends.tolist())])
+        first = np.unique(number, return_index=True)[1]
+    return first, number
+
+
+def gathered(pieces: list[bytes], number: np.ndarray, rows: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 32-bit numbers of each run's piece, one after the other, and where each row's begin."""
+    flat = np.frombuffer(b"".join(pieces), "<u4")
+    sizes = np.array([len(p) // 4 for p in pieces], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    mine = sizes[number] if len(number) else np.zeros(0, np.int64)
+    at = np.arange(int(mine.sum())) + np.repeat(begin[number] - (np.cumsum(mine) - mine), mine) if len(number) else np.zeros(0, np.int64)
+    counts = np.bincount(rows, mine, n_rows).astype(np.int64)
+    return flat[at], np.concatenate(([0], np.cumsum(counts)))
+
+
+def give_back() -> None:
+    """Returns what a task has freed to the system, since workers live on with the next stage."""
+    import ctypes
+    import gc
+
+    _powers.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, size: int, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of runs of ``size`` words and their row bounds; a shorter row is one run of all its words."""
     counts = np.bincount(rows, minlength=n_rows)

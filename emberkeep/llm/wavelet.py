@@ -12,16 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from emberkeep.llm.common import slices
+from emberkeep.llm.common import NOT_SPACE, distinct_runs, gathered, give_back, slices
 
 SHARD_TOKENS = 1_000_000  # a shard closes with the document that reaches this
 PARTITION_BYTES = 16 << 20
-CACHED_CHUNKS = 300_000
+CACHED_CHUNKS = 200_000  # of a generation; of the one before a worker keeps what is met again
 LONGEST_CACHED = 100
 BLOCK_WORDS = 8  # 64-bit words between two entries of the rank directory
 
-CHUNK = re.compile(r"\s*\S+|\s+")
-ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to this pattern's engine, not to the tokenizer
+# White space beyond ASCII, in UTF-8: a run that mixes both kinds can't be cut between them.
+ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 class WaveletMatrix:
@@ -142,7 +142,8 @@ class ChunkEncoder:
     """A tokenizers model whose answers are kept for runs of white space and what follows.
 
     The model's pattern never joins a letter or sign with the white space after
-    it, so such runs encode alone as they do in place.
+    it, so such runs encode alone as they do in place.  A text with white space
+    beyond ASCII is one chunk.
     """
 
     def __init__(self, model: bytes):
@@ -152,22 +153,34 @@ class ChunkEncoder:
         self.model = Tokenizer.from_str(model.decode())
         self.model.no_truncation()
         self.model.no_padding()
-        self.known: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if ODD_SPACE.search(t) else CHUNK.findall(t) for t in texts]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _ask(self, chunks: list[bytes]) -> list[bytes]:
+        coded = self.model.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in coded]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """The ids of texts in UTF-8, as little-endian 32-bit numbers; each distinct chunk is looked up once."""
+        raw, n = data.tobytes(), len(offsets) - 1
+        blank = ~NOT_SPACE[data]
+        begins = blank & np.concatenate(([True], ~blank[:-1])) if len(data) else blank
+        for odd in ODD_SPACE.finditer(raw):  # such a text stays whole
+            row = int(np.searchsorted(offsets, odd.start(), "right")) - 1
+            begins[offsets[row] : offsets[row + 1]] = False
+        begins[offsets[:-1][offsets[:-1] < np.minimum(offsets[1:], len(data))]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.concatenate((starts[1:], [len(data)]))
+        first, number = distinct_runs(data, starts, ends)
+        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        fresh = list({c for chunks in cut for c in set(chunks).difference(self.known)})
+            self.older, self.known = self.known, {}
+        self.known.update((c, self.older[c]) for c in chunks if c not in self.known and c in self.older)
+        fresh = [c for c in chunks if c not in self.known]
         answers = dict(zip(fresh, self._ask(fresh)))
         self.known.update((c, i) for c, i in answers.items() if len(c) <= LONGEST_CACHED)
-        long = {c: i for c, i in answers.items() if len(c) > LONGEST_CACHED}
-        if long:
-            return [b"".join([long[c] if c in long else self.known[c] for c in chunks]) for chunks in cut]
-        return [b"".join(map(self.known.__getitem__, chunks)) for chunks in cut]
+        ids, bounds = gathered([answers[c] if c in answers else self.known[c] for c in chunks], number, np.searchsorted(offsets, starts, "right") - 1, n)
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
 _workers: dict[int, ChunkEncoder] = {}
@@ -191,10 +204,9 @@ def _write_kernel(shared, end_id: int, bits: int) -> Callable[[Iterator[pa.Recor
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_tokens", "doc_ids", "bounds", "matrix"])
 
         for batch in batches:
-            for first, last, _, _ in slices(batch.column(2), 1 << 20):
+            for first, last, data, offsets in slices(batch.column(2), 1 << 20):
                 part = batch.column(0)[0].as_py()
-                texts = [t or "" for t in batch.column(2).slice(first, last - first).to_pylist()]
-                for doc_id, coded in zip(batch.column(1).slice(first, last - first).to_pylist(), encoder.encode(texts)):
+                for doc_id, coded in zip(batch.column(1).slice(first, last - first).to_pylist(), encoder.encode(data, offsets)):
                     ids.append(doc_id)
                     held.append(coded + end)
                     size += len(coded) // 4 + 1
@@ -203,6 +215,7 @@ def _write_kernel(shared, end_id: int, bits: int) -> Callable[[Iterator[pa.Recor
                         ids, held, size, seq = [], [], 0, seq + 1
         if ids:
             yield shard()
+        give_back()
 
     return run
 
