@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberkeep.llm.common import LOWER, NOT_SPACE, U, mixed, shingle_hashes, slices, staged, with_keys, word_bounds, word_hashes
+from emberkeep.llm.common import LOWER, NOT_SPACE, U, give_back, mixed, shingle_hashes, slices, staged, with_keys, word_bounds, word_hashes
 from emberkeep.llm.components import components
 
 SKETCH = 64  # values kept of each document
@@ -64,6 +64,7 @@ def _sketches(words: int, k: int) -> Callable[[Batches], Batches]:
             )
             columns = [pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(fq, pa.int64()), *[pa.array([x[i] for x in signs], pa.int64()) for i in range(len(SIGNS))]]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns, lists], names=["doc_id", "n", "fp", "fq", *SIGNS, "sketch"])
+        give_back()
 
     return run
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from emberkeep.llm.common import MIX_A, MIX_B, U, mixed, slices, word_bounds
 
 CHUNK_BYTES = 8 << 20  # text that one task holds at a time
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 LEAST_CHUNKS = 64
 KEY_BYTES = 6
 HOT_PIECES = 1 << 14  # pieces that may meet on one anchor

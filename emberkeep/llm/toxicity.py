@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberkeep.llm.common import ALNUM_OR_HIGH, LOWER, U, slices, word_bounds
+from emberkeep.llm.common import ALNUM_OR_HIGH, LOWER, U, give_back, slices, word_bounds
 
 BUCKETS_LOG2 = 18
 GRAMS = (4, 5, 6)  # bytes, the blank on either side of a word included
@@ -209,6 +209,7 @@ def _scorer(bucket_scores, bias: float) -> Callable[[Iterator[pa.RecordBatch]],
         for batch in batches:
             scores = np.zeros(batch.num_rows) if table is None else score_column(batch.column(batch.num_columns - 1), table, bias)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+        give_back()
 
     return run
 
