@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberkeep.functions.codes import case_of
@@ -47,8 +47,13 @@ def tool_quality_report(log: DataFrame) -> DataFrame:
         F.when(F.col("all_projects") == 1, "(all)").otherwise(F.col("project_id")).alias("project_id"), "passed", "failed")
 
 
-def audit_dashboard(log: DataFrame) -> DataFrame:
-    """(cadence, period, key, metric, value): daily failures, weekly cost and rules, monthly use."""
+def audit_dashboard(log: DataFrame, registered: DataFrame | None = None, findings: DataFrame | None = None) -> DataFrame:
+    """(cadence, period, key, metric, value, position): daily failures, weekly cost and failing rules, monthly use.
+
+    ``findings`` (ts, rule_id) are ranked per week by how often a rule failed,
+    ties by rule; ``position`` is null for all else.  Use of tools that aren't
+    among ``registered`` (tool_name) is shadow use, counted per month.
+    """
     ts = F.col("ts")
     day, week = (F.date_format(F.date_trunc(u, ts), "yyyy-MM-dd") for u in ("day", "week"))
     month = month_of(ts)
@@ -65,7 +70,15 @@ def audit_dashboard(log: DataFrame) -> DataFrame:
         part(log, "monthly", month, F.col("tool_name"), "interactions", F.count("*")),
         part(log.where("prompt_template_ref is not null"), "monthly", month, F.lit("(all)"), "library_prompts", F.count("*")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    if registered is not None:
+        unknown = log.join(registered.select("tool_name").distinct(), "tool_name", "left_anti")
+        parts.append(part(unknown, "monthly", month, F.col("tool_name"), "shadow_interactions", F.count("*")))
+    shown = reduce(DataFrame.unionByName, parts).withColumn("position", F.lit(None).cast("int"))
+    if findings is None:
+        return shown
+    rules = part(findings, "weekly", week, F.col("rule_id"), "failing_rule", F.count("*"))
+    worst = Window.partitionBy("period").orderBy(F.desc("value"), F.asc("key"))  # one row a rule and week
+    return shown.unionByName(rules.withColumn("position", F.row_number().over(worst)))
 
 
 def sbom(log: DataFrame, repository: str, assisted: Column, reviewed: Column) -> DataFrame:

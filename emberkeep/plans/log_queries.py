@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from emberkeep.functions import codes, security
 from emberkeep.operators import governance as G
 from emberkeep.operators import logs as L
+from emberkeep.operators.scan import scan_rules
 from emberkeep.plans.artefact_queries import versions
 from emberkeep.plans.registry import query
+from emberkeep.plans.scan_queries import RULES_SQL
 from emberkeep.plans.views import table, view, with_views
 from emberkeep.session import work_dir
 from emberkeep.sources import entries as E
@@ -281,14 +283,23 @@ def tool_quality_report(spark, sf_dir):
     return G.tool_quality_report(log8(spark, sf_dir))
 
 
-@query(with_views("v8", """
+@query(with_views("v8 v2 v5", f"""
+with parts as (
 select 'daily' as cadence, strftime(ts, '%Y-%m-%d') as period, '(all)' as key, 'failed_gates' as metric, count(*) as value from v8 where not gates_passed group by 2
 union all select 'weekly', strftime(date_trunc('week', ts), '%Y-%m-%d'), project_id, 'tokens', cast(sum(tokens_used) as bigint) from v8 group by 2, 3
 union all select 'weekly', strftime(date_trunc('week', ts), '%Y-%m-%d'), tool_name, 'failed_gates', count(*) from v8 where not gates_passed group by 2, 3
 union all select 'monthly', strftime(ts, '%Y-%m'), tool_name, 'interactions', count(*) from v8 group by 2, 3
-union all select 'monthly', strftime(ts, '%Y-%m'), '(all)', 'library_prompts', count(*) from v8 where prompt_template_ref is not null group by 2"""))
+union all select 'monthly', strftime(ts, '%Y-%m'), '(all)', 'library_prompts', count(*) from v8 where prompt_template_ref is not null group by 2
+union all select 'monthly', strftime(ts, '%Y-%m'), tool_name, 'shadow_interactions', count(*) from v8 where tool_name not in ('chat-a', 'ide-a', 'ide-b') group by 2, 3),
+found as (select strftime(date_trunc('week', epoch_ms(published_ms)), '%Y-%m-%d') as period, rule_id as key, count(*) as value
+  from v2 join {RULES_SQL} on regexp_matches(content, pattern) join v5 on v5.doc_id = v2.doc_id group by 1, 2)
+select cadence, period, key, metric, value, null::int as position from parts
+union all select 'weekly', period, key, 'failing_rule', value, row_number() over (partition by period order by value desc, key) from found"""))
 def audit_dashboard(spark, sf_dir):
-    return G.audit_dashboard(log8(spark, sf_dir))
+    known = spark.createDataFrame([("chat-a",), ("ide-a",), ("ide-b",)], "tool_name string")
+    at = view(spark, sf_dir, "v5").select("doc_id", F.timestamp_millis("published_ms").alias("ts"))
+    found = scan_rules(view(spark, sf_dir, "v2"), "content", ["doc_id"]).select("doc_id", "rule_id").join(at, "doc_id")
+    return G.audit_dashboard(log8(spark, sf_dir), known, found)
 
 
 @query(with_views("v8", """
