@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -18,22 +19,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberkeep.llm.common import text_bytes
+from emberkeep.llm.common import NOT_SPACE, distinct_runs, gathered, give_back, slices, staged, word_bounds
+from emberkeep.operators.selection import key_at, key_literal, sort_key
 
 LEXICON_CHUNKS = 50_000  # frequent words compiled into the transducer
 LONGEST_CACHED = 100  # characters
-CACHED_CHUNKS = 400_000  # a worker forgets its words beyond this many
-COUNTED_CHARS = 128 << 20  # text after which a task sends its counts
-SHORT_WORD = 48  # symbols up to which a plain scan finds the next merge
-BATCH_BYTES = 2 << 20
+CACHED_CHUNKS = 200_000  # runs of a generation that a worker keeps; of the one before it keeps what is met again
+COUNTED_CHUNKS = 120_000  # distinct runs after which a task sends its counts
+SHORT_WORD = 48  # symbols up to which a scan finds the next merge
+STOPS = (b".", b",", b"!", b"?", b";", b":", b")")
+PAIR_SHIFT, NO_RANK = 24, 2**40  # bits of a token id in a pair's key; beyond every rank
+BATCH_BYTES = 1 << 20
 
 # Fixed values of the tokenizer's file format.
 WORD_END = "</w>"
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 
-ODD_SPACE = re.compile("[\x1c-\x1f]")  # Python splits words there, Unicode white space doesn't include them
-
-
 class Transducer:
     """A minimal acyclic automaton of byte strings whose arcs add up to each word's number, and the ids of each number.
 
@@ -151,6 +152,11 @@ class WordBpe:
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             self.merges[(vocab[left], vocab[right])] = (rank, vocab[left + right])
+        pairs = np.array([(a, b, rank, new) for (a, b), (rank, new) in self.merges.items()], np.int64).reshape(-1, 4)
+        keys = pairs[:, 0] << PAIR_SHIFT | pairs[:, 1]
+        order = np.argsort(keys)
+        self.pair_keys = np.concatenate((keys[order], [np.int64(2**62)]))
+        self.pair_ranks, self.pair_news = (np.concatenate((pairs[order, c], [NO_RANK])) for c in (2, 3))
         letters = _byte_letters()
         self.inner = [vocab.get(c) for c in letters]
         self.final = [vocab.get(c + WORD_END) for c in letters]
@@ -159,7 +165,9 @@ class WordBpe:
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.pattern = regex.compile(WORD_PATTERN)
         self.lexicon = lexicon
-        self.known: dict[str, bytes] = {}
+        self.inner_ids, self.final_ids = (np.array([-1 if x is None else x for x in t], np.int64) for t in (self.inner, self.final))
+        self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.older: dict[bytes, tuple[bytes, str]] = {}
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merges of one word, lowest rank and leftmost first; symbols that the vocabulary lacks are dropped."""
@@ -178,6 +186,57 @@ class WordBpe:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair of symbols and what it becomes; ``NO_RANK`` where it is no merge."""
+        key = left << PAIR_SHIFT | right
+        at = np.searchsorted(self.pair_keys, key)
+        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], NO_RANK), self.pair_news[at]
+
+    def merge_all(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` of many words at once, as little-endian 32-bit numbers: in each round every word does its next merge."""
+        long = {i: np.array(self.merge(w), "<u4").tobytes() for i, w in enumerate(words) if len(w) > SHORT_WORD}
+        sizes = np.array([0 if i in long else len(w) for i, w in enumerate(words)], np.int64)
+        data = np.frombuffer(b"".join([w for i, w in enumerate(words) if i not in long]), np.uint8)
+        ids, owner = self.inner_ids[data], np.repeat(np.arange(len(words)), sizes)
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        ids[last] = self.final_ids[data[last]]
+        ids, owner = ids[ids >= 0], owner[ids >= 0]
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def ranked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of the pairs that begin at some places, the last place of a word having none."""
+            after = np.minimum(at + 1, len(ids) - 1)
+            rank, new = self._pairs(ids[at], ids[after])
+            return np.where((owner[after] == owner[at]) & (after > at), rank, NO_RANK), new
+
+        rank, new = ranked(np.arange(len(ids))) if len(ids) else (ids, ids)
+        while len(ids):
+            begins = np.concatenate(([True], owner[1:] != owner[:-1]))
+            starts = np.flatnonzero(begins)
+            word = np.cumsum(begins) - 1
+            least = np.minimum.reduceat(rank, starts)[word]
+            going = least < NO_RANK
+            if not going.all():
+                done.append((owner[~going], ids[~going]))
+                ids, owner, rank, new, least, word = (x[going] for x in (ids, owner, rank, new, least, word))
+                if not len(ids):
+                    break
+            best = np.flatnonzero(rank == least)
+            best = best[np.concatenate(([True], word[best][1:] != word[best][:-1]))]  # the leftmost of each word
+            ids[best] = new[best]
+            keep = np.ones(len(ids), bool)
+            keep[best + 1] = False
+            moved = np.cumsum(keep) - 1
+            ids, owner, rank, new = ids[keep], owner[keep], rank[keep], new[keep]
+            touched = moved[best]
+            touched = np.unique(np.concatenate((touched, np.maximum(touched - 1, 0))))
+            rank[touched], new[touched] = ranked(touched)
+        owners = np.concatenate([o for o, _ in done]) if done else np.zeros(0, np.int64)
+        order = np.argsort(owners, kind="stable")
+        flat = np.concatenate([i for _, i in done])[order].astype("<u4") if done else np.zeros(0, "<u4")
+        bounds = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=len(words))))).tolist()
+        return [long[i] if i in long else flat[a:b].tobytes() for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         after, before, alive = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)], [True] * len(ids)
         heap = [(*self.merges[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.merges]
@@ -212,32 +271,59 @@ class WordBpe:
                 out.extend(w.encode() for w in self.pattern.findall(part))
         return out
 
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The ids of runs without white space, as little-endian 32-bit numbers."""
-        cut = {c: self.pieces(c) for c in chunks}
+    def learn(self, chunks: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
+        """The ids of runs without white space, as little-endian 32-bit numbers, and what they decode to."""
+        cut = {}
+        for c in chunks:
+            if c.isalpha():  # letters of ASCII are one word, a stop after them is another
+                cut[c] = [c.lower()]
+            elif c[-1:] in STOPS and c[:-1].isalpha():
+                cut[c] = [c[:-1].lower(), c[-1:]]
+            else:
+                cut[c] = self.pieces(c.decode("utf-8", "replace"))
         words = list({w for ws in cut.values() for w in ws if isinstance(w, bytes)})
         ids: dict[bytes | int, bytes] = {}
         numbers = self.lexicon.numbers(words) if self.lexicon is not None and words else np.full(len(words), -1)
-        for word, number in zip(words, numbers.tolist()):
-            ids[word] = (self.lexicon.word_ids(number) if number >= 0 else np.array(self.merge(word), "<u4")).tobytes()
+        unknown = [w for w, number in zip(words, numbers.tolist()) if number < 0]
+        ids.update(zip(unknown, self.merge_all(unknown)))
+        ids.update((w, self.lexicon.word_ids(number).tobytes()) for w, number in zip(words, numbers.tolist()) if number >= 0)
         for number in self.special.values():
             ids[number] = np.array([number], "<u4").tobytes()
-        return {c: b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
+        joined = {c: b"".join([ids[w] for w in ws]) for c, ws in cut.items()}
+        return {c: (i, self.decode(i)) for c, i in joined.items()}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [regex.split(r"\p{White_Space}+", t) if ODD_SPACE.search(t) else t.split() for t in texts]
+        raw = [t.encode() for t in texts]
+        return self.encode_rows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw], dtype=np.int64))), False)[0]
+
+    def encode_rows(self, data: np.ndarray, offsets: np.ndarray, decode: bool = True) -> tuple[list[bytes], list[str]]:
+        """Ids and decoded texts of texts in UTF-8; each distinct run without white space is looked up once.
+
+        Runs end at white space of ASCII; other white space inside a run is
+        passed over when its words are found.
+        """
+        raw, n = data.tobytes(), len(offsets) - 1
+        starts, ends, rows = word_bounds(data, offsets, NOT_SPACE)
+        first, number = distinct_runs(data, starts, ends)
+        chunks = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
         if len(self.known) > CACHED_CHUNKS:
-            self.known.clear()
-        fresh = self.learn({c for chunks in cut for c in set(chunks).difference(self.known)})
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        again = [c for c in chunks if c not in known and c in older]
+        known.update((c, older[c]) for c in again)
+        fresh = self.learn([c for c in chunks if c not in known])
         self.known.update((c, i) for c, i in fresh.items() if len(c) <= LONGEST_CACHED)
-        long = {c: i for c, i in fresh.items() if len(c) > LONGEST_CACHED}
-        out = []
-        for chunks in cut:
-            if long:
-                out.append(b"".join([long[c] if c in long else self.known[c] for c in chunks]))
-            else:
-                out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+        found = [fresh[c] if c in fresh else self.known[c] for c in chunks]
+        ids, bounds = gathered([i for i, _ in found], number, rows, n)
+        coded = [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+        if not decode:
+            return coded, []
+        # Runs without ids (control signs that no rule keeps) have no token between blanks either.
+        texts, spoken = [t for _, t in found], np.array([bool(i) for i, _ in found], bool)
+        shown = spoken[number] if len(number) else np.zeros(0, bool)
+        words = number[shown].tolist()
+        stops = np.concatenate(([0], np.cumsum(np.bincount(rows[shown], minlength=n)))).tolist()
+        return coded, [" ".join([texts[w] for w in words[a:b]]) for a, b in zip(stops, stops[1:])]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -263,44 +349,41 @@ def _worker(shared) -> WordBpe:
     return _workers[key]
 
 
-def _small(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """Runs of rows of a few megabytes, null as empty."""
-    _, offsets = text_bytes(column)
-    first = 0
-    while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BATCH_BYTES, "right")) - 1)
-        last = min(last, len(column))
-        yield first, [t or "" for t in column.slice(first, last - first).to_pylist()]
-        first = last
-
-
 def _count_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
+    seen: Counter[bytes] = Counter()
 
     def shown() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([c.decode("utf-8", "replace") for c in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], names=["chunk", "n"])
 
-    held = 0
     for batch in batches:
-        for _, texts in _small(batch.column(0)):
-            for text in texts:
-                seen.update(text.split())
-                held += len(text)
-            if len(seen) > CACHED_CHUNKS or held > COUNTED_CHARS:
+        for _, _, data, offsets in slices(batch.column(0), BATCH_BYTES):
+            raw = data.tobytes()
+            starts, ends, _ = word_bounds(data, offsets, NOT_SPACE)
+            first, number = distinct_runs(data, starts, ends)
+            counts = np.bincount(number, minlength=len(first)).tolist()
+            for a, b, n in zip(starts[first].tolist(), ends[first].tolist(), counts):
+                seen[raw[a:b]] += n
+            if len(seen) > COUNTED_CHUNKS:
                 yield shown()
                 seen.clear()
-                held = 0
     yield shown()
+    give_back()
 
 
 def frequent_chunks(docs: DataFrame, text_col: str = "text", most: int = LEXICON_CHUNKS) -> list[str]:
-    """The most frequent runs without white space in all documents.
+    """The most frequent runs without white space in all documents, ``most`` at most.
 
-    Tasks send all their counts, so the result doesn't depend on partitions.
+    Tasks send all their counts, so the result doesn't depend on partitions.  The
+    last run that belongs is found by counting; only those before it, ``most``
+    rows in all, reach the driver.
     """
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count_chunks, "chunk string, n long")
-    top = counted.groupBy("chunk").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "chunk").limit(most)
-    return [r.chunk for r in top.collect()]
+    sums = staged(counted.groupBy("chunk").agg(F.sum("n").alias("n")), "counts")
+    ranked = sums.select((-F.col("n")).alias("rank"), "chunk")
+    last = key_at(ranked, ["rank", "chunk"], most - 1)
+    if last is not None:
+        ranked = ranked.where(sort_key(["rank", "chunk"]) <= key_literal(last[0], last[1]))
+    return [r.chunk for r in sorted(ranked.collect(), key=lambda r: (r["rank"], r.chunk))]
 
 
 def build_lexicon(model: bytes, chunks: list[str]) -> Transducer:
@@ -312,16 +395,20 @@ def build_lexicon(model: bytes, chunks: list[str]) -> Transducer:
 def _kernel(shared, decode: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(shared)
+        gc.disable()  # what is kept holds no cycles, and is much to look through
         for batch in batches:
-            for first, texts in _small(batch.column(batch.num_columns - 1)):
-                ids = bpe.encode(texts)
-                columns = [c.slice(first, len(texts)) for c in batch.columns[:-1]]
+            for first, last, data, offsets in slices(batch.column(batch.num_columns - 1), BATCH_BYTES):
+                ids, texts = bpe.encode_rows(data, offsets, decode)
+                columns = [c.slice(first, last - first) for c in batch.columns[:-1]]
                 columns += [pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())]
                 names = [*batch.schema.names[:-1], "n_tokens", "ids"]
                 if decode:
-                    columns.append(pa.array([bpe.decode(i) for i in ids], pa.string()))
+                    columns.append(pa.array(texts, pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        gc.enable()
+        bpe.known, bpe.older = {}, {}  # the worker lives on with other stages
+        give_back()
 
     return run
 
