@@ -8,11 +8,14 @@ rows rather than one.
 from __future__ import annotations
 
 import json
+from functools import reduce
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberkeep.functions import text as T
+
 NO_TEXT = "_No text detected on this page._"
 NO_TABLES = "_No tables detected on this page._"
 NO_LINKS = "_No links detected on this page._"
@@ -39,8 +42,14 @@ def _named_entities() -> str:
 def decode_entities(text: Column) -> Column:
     """Named and numbered entities as the signs they stand for, each once; unknown names stay, numbers beyond Unicode become U+FFFD.
 
-    Only a text with an ampersand is cut at its entities.
+    The few that are common are replaced first, none of them leaving a new
+    ampersand; only a text that still holds another entity is cut at those.
     """
+    common = reduce(lambda acc, e: F.replace(acc, F.lit(e[0]), F.lit(e[1])), [e for e in ENTITIES if e[0] != "&amp;"], text)
+    return T.let(common, _decoded)
+
+
+def _decoded(text: Column) -> Column:
     names = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
     table = F.from_json(F.lit(_named_entities()), "map<string,string>")
 
@@ -55,7 +64,8 @@ def decode_entities(text: Column) -> Column:
     pieces = F.split(text, ENTITY, -1)
     signs = F.concat(F.transform(names, sign), F.array(F.lit("")))
     whole = F.array_join(F.zip_with(pieces, signs, lambda p, e: F.concat(p, e)), "")
-    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+    rare = F.regexp_replace(text, "&amp;", "").rlike(ENTITY)
+    return F.when(~F.contains(text, F.lit("&")), text).when(rare, whole).otherwise(F.replace(text, F.lit("&amp;"), F.lit("&")))
 
 
 def visible_text(html: Column) -> Column:
