@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberkeep.operators import checkpoints as C
 from emberkeep.streaming import streams as S
-from emberkeep.streaming.runner import run_to_table
+from emberkeep.streaming.runner import run_to_table, table_stream
 
 
 def in_batches(spark, tmp_path, df, batches, order):
@@ -133,3 +133,13 @@ def test_windows_merge_their_panes(spark, tmp_path):
             times = sorted(r[2] for r in held)
             want[start] = (len(held), times[-(-99 * len(held) // 100) - 1], sum(r[1] >= 400 for r in held) / len(held))
     assert {int(r.from_at.timestamp()): (r.requests, r.p99_ms, r.error_rate) for r in got} == want
+
+
+def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a{i % 5}", f"data {i}", i) for i in range(40)], "agent_id string, data string, written_at long")
+    rows.repartition(3).write.parquet(str(tmp_path / "folder.parquet"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "apart"))
+    next((tmp_path / "apart").glob("*.parquet")).rename(tmp_path / "file.parquet")
+    for name in ("folder", "file"):
+        assert run_to_table(table_stream(spark, str(tmp_path), name), name).count() == 40
+        assert S.write_behind_stream(table_stream(spark, str(tmp_path), name)).count() == 5
