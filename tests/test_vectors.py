@@ -1,5 +1,7 @@
 """The entry table: literal cases and the ways taken on large inputs."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +192,18 @@ def test_a_search_evaluates_its_kernel_once(spark):
     found = O.search_threshold(entries, [1.0, 0.0], 0.5)
     assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [r.id for r in found.collect()] == ["a", "b"]
+
+
+def test_many_queries_multiply_in_bounded_parts():
+    rng = np.random.default_rng(9)
+    wanted, rows = rng.normal(size=(3_000, 4)), rng.normal(size=(5_000, 4))
+    ids, names = np.array([f"e{i:04}" for i in range(5_000)], dtype=object), [f"q{i}" for i in range(3_000)]
+    best = S._Best(names, 3)
+    tracemalloc.start()
+    best.add_all(wanted, ids, rows)
+    held = [r for b in best.batches() for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20  # all scores at once are 120 MB
+    want = {(names[q], ids[r]) for q, row in enumerate(np.round(wanted @ rows.T, S.SCORE_DECIMALS)) for r in np.argsort(-row, kind="stable")[:3]}
+    assert {(r["query_id"], r["id"]) for r in held} == want and len(held) == 9_000
