@@ -207,3 +207,21 @@ def test_many_queries_multiply_in_bounded_parts():
     assert peak < 60 << 20  # all scores at once are 120 MB
     want = {(names[q], ids[r]) for q, row in enumerate(np.round(wanted @ rows.T, S.SCORE_DECIMALS)) for r in np.argsort(-row, kind="stable")[:3]}
     assert {(r["query_id"], r["id"]) for r in held} == want and len(held) == 9_000
+
+
+def test_low_thresholds_go_through_the_grid(spark, monkeypatch):
+    monkeypatch.setattr(S, "GRID_ROWS", 30)
+    monkeypatch.setattr(S, "PRODUCT_ROWS", 7)
+    a_rows, a = cloud(spark, 120, 8, 3, "a")
+    b_rows, b = cloud(spark, 80, 8, 4, "b")
+    a, b = (df.withColumn("n", F.length("id").cast("long")) for df in (a, b))
+    scores = np.round(unit(a_rows) @ unit(a_rows).T, S.SCORE_DECIMALS)
+    want = {(*sorted((a_rows[i][0], a_rows[j][0])), scores[i, j]) for i in range(120) for j in range(i) if scores[i, j] >= 0.2}
+    joined = S.similarity_join(a, None, 0.2, 8, carry=("n",))
+    assert "FlatMapGroupsInArrow" in joined._jdf.queryExecution().toString()
+    got = [(r.id_a, r.id_b, r.n_a, r.n_b) for r in joined.collect()]
+    assert len(got) == len(set(got)) == len(want) and {x[:2] for x in got} == {x[:2] for x in want}
+    assert all((x[2], x[3]) == (len(x[0]), len(x[1])) for x in got)
+    cross = np.round(unit(a_rows) @ unit(b_rows).T, S.SCORE_DECIMALS)
+    want = {(a_rows[i][0], b_rows[j][0]) for i in range(120) for j in range(80) if cross[i, j] >= 0.2}
+    assert {(r.id_a, r.id_b) for r in S.similarity_join(a, b, 0.2, 8).collect()} == want
