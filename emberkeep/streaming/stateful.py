@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -113,7 +114,8 @@ class LatestEvents(StatefulProcessor):
 
     A key that is idle for ``idle_ms`` leaves the state.  Rows that come later
     start it anew, and what was emitted before still counts where the emitted
-    rows are merged.
+    rows are merged.  Keys have few rows each, so they come as rows; a data
+    frame for each key would cost more than the fold.
     """
 
     def __init__(self, idle_ms: int):
@@ -122,20 +124,21 @@ class LatestEvents(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.fold = handle.getValueState("fold", FOLD, ttlDurationMs=self.idle_ms)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame([tuple(self.fold.get())], columns=FOLD.names) if self.fold.exists() else None
-        for batch in rows:
-            part = batch[FOLD.names].astype("float64" if batch.empty else "Int64")
-            held = part if held is None else pd.concat([held.astype("Int64"), part])
-            held = _greatest(held)
-        if held is None:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        seen = [tuple(row[name] for name in FOLD.names) for row in rows]
+        if not seen:
             return
-        self.fold.update(tuple(None if pd.isna(x) else int(x) for x in held.iloc[0]))
-        yield held.assign(key=key[0])[["key", *FOLD.names]]
-
-
-def _greatest(rows: pd.DataFrame) -> pd.DataFrame:
-    out = rows.max().to_dict()
-    sized = rows[rows["size_at"].notna()].sort_values(["size_at", "size_bytes"], na_position="first")
-    out["size_bytes"] = sized["size_bytes"].iloc[-1] if len(sized) else pd.NA
-    return pd.DataFrame([out], columns=FOLD.names).astype("Int64")
+        if self.fold.exists():
+            seen.append(tuple(self.fold.get()))
+        held = greatest(seen)
+        self.fold.update(held)
+        yield Row(key=key[0], **dict(zip(FOLD.names, held)))
+
+
+def greatest(rows: list[tuple[int | None, ...]]) -> tuple[int | None, ...]:
+    """Of rows of ``FOLD`` the greatest of each column, nulls aside; the size is that of the greatest (time, size)."""
+    out = {name: max((x for x in column if x is not None), default=None) for name, column in zip(FOLD.names, zip(*rows))}
+    at, size = FOLD.names.index("size_at"), FOLD.names.index("size_bytes")
+    sized = max(((r[at], r[size] is not None, r[size] or 0) for r in rows if r[at] is not None), default=(None, False, 0))
+    out["size_bytes"] = sized[2] if sized[1] else None
+    return tuple(out[name] for name in FOLD.names)

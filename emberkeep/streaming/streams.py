@@ -119,7 +119,7 @@ def status_stream(
         F.when(kind.isin("committed", "resolved"), at).alias("last_committed"), F.when(kind == "evicted", at).alias("last_evicted"),
         (2 * at + resident.cast("long")).alias("last_resident"), F.when(kind == "registered", at).alias("size_at"),
         F.when(kind == "registered", F.col("size_bytes").cast("long")).alias("size_bytes"), F.col("at_ms").alias("updated_ms"))
-    folded = rows.groupBy("key").transformWithStateInPandas(LatestEvents(idle_ms), fields(key=TEXT, **{f.name: f.dataType for f in FOLD}), "update", "ProcessingTime")
+    folded = rows.groupBy("key").transformWithState(LatestEvents(idle_ms), fields(key=TEXT, **{f.name: f.dataType for f in FOLD}), "update", "ProcessingTime")
     return latest_status(run_batches(folded, label, "update", base=base, empty_batches=False), max_bytes)
 
 
