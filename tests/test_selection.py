@@ -98,3 +98,20 @@ def test_sql_names_agree_with_columns(spark):
     from emberkeep.functions import text
 
     assert all(r.c == r.q for r in numbers.select(text.line_number(F.col("d")).alias("c"), F.expr("line_number(d)").alias("q")).collect())
+
+
+def test_a_hot_event_spreads_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(L, "EVENT_ROWS", 20)
+    monkeypatch.setattr(L, "HOOK_ROWS", 10)
+    events = spark.createDataFrame([("hot", f"a{i}", i) for i in range(200)] + [("unheard", "b", 1)], "event string, artefact_id string, at_ms long")
+    hooks = spark.createDataFrame([(f"h{i}", ["hot", "never"], True, f"s{i}") for i in range(40)], "hook_id string, events array<string>, enabled boolean, secret string")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = L.match_webhooks(events, hooks).select("hook_id", "artefact_id", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert {(r.hook_id, r.artefact_id) for r in got} == {(f"h{i}", f"a{j}") for i in range(40) for j in range(200)}
+    assert len(got) == 8_000 and len({r.task for r in got}) > 1
