@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberkeep.operators import checkpoints as C
 from emberkeep.streaming import streams as S
 from emberkeep.streaming.runner import run_to_table, table_stream
+from emberkeep.streaming.stateful import FOLD, greatest
 
 
 def in_batches(spark, tmp_path, df, batches, order):
@@ -143,3 +144,12 @@ def test_a_streamed_table_is_a_file_or_a_folder(spark, tmp_path):
     for name in ("folder", "file"):
         assert run_to_table(table_stream(spark, str(tmp_path), name), name).count() == 40
         assert S.write_behind_stream(table_stream(spark, str(tmp_path), name)).count() == 5
+
+
+def test_greatest_of_a_key_passes_over_nulls():
+    names = FOLD.names
+    rows = [dict(last_registered=4, size_at=4, size_bytes=9, updated_ms=1), dict(last_committed=7, updated_ms=3), dict(last_registered=8, size_at=8, updated_ms=2)]
+    held = dict(zip(names, greatest([tuple(r.get(n) for n in names) for r in rows])))
+    assert held == dict(last_registered=8, last_committed=7, last_evicted=None, last_resident=None, size_at=8, size_bytes=None, updated_ms=3)
+    tied = [dict(size_at=8), dict(size_at=8, size_bytes=0)]
+    assert dict(zip(names, greatest([tuple(r.get(n) for n in names) for r in tied])))["size_bytes"] == 0
