@@ -17,8 +17,8 @@ SKETCH = 64  # values kept of each document
 SIGN_BINS = 128  # two bits from each bin of the hash range: a coarse sketch that fits in four longs and orders what is tried
 SIGNS = ("s0", "s1", "s2", "s3")
 SPOT = ["value", "list_band"]
-FACTS = ("doc_id", "n", "band", *SIGNS)
-SHORT_LIST = 8  # documents up to which a list is compared pair by pair at once
+FACTS = ("doc_id", "n")
+SHORT_LIST = 8  # documents up to which a list is compared pair by pair, after the rounds
 LEADERS = 3  # documents of a longer list that the others are compared with in a round
 TRIES = 8  # leaders that a document is compared with in a round
 ROUNDS = 4
@@ -77,6 +77,7 @@ def _full_sets(words: int) -> Callable[[Batches], Batches]:
                 [batch.column(0).cast(pa.int64()), pa.array([int(mixed(s.view(U), 1).sum(dtype=U).view(np.int64)) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["doc_id", "fp", "values"],
             )
+        give_back()
 
     return run
 
@@ -91,6 +92,7 @@ def _confirm(percent: int) -> Callable[[Batches], Batches]:
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 held.append(100 * both >= percent * (len(x) + len(y) - both))
             yield batch.select(["a", "b"]).filter(pa.array(held, pa.bool_()))
+        give_back()
 
     return run
 
@@ -112,30 +114,43 @@ def _misses() -> Column:
     return misses
 
 
-def _plausible(percent: int) -> Column:
+def _plausible(percent: int, a_n: Column | str = "a_n", b_n: Column | str = "b_n") -> Column:
     """Sizes that a linked pair can have."""
-    return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
+    return 100 * F.least(a_n, b_n) >= percent * F.greatest(a_n, b_n)
+
+
+def _band(n: Column | str, percent: int) -> Column:
+    """The band of a set size; sizes that a linked pair can have are at most one apart."""
+    return F.floor(F.log(n) / math.log(100 / percent) + F.lit(1e-9)).cast("int")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b"))
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, percent: int, k: int) -> DataFrame:
     """Candidate pairs (a, b) whose union sketch doesn't rule them out."""
+    pairs = staged(pairs, "pairs")
+    met = with_keys(sketches.select("doc_id", "sketch"), _ids(pairs), "doc_id")
     for side in "ab":
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
+        pairs = pairs.join(met.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"{side}_sketch")), side)
     union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, k)
     shared = F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), union))
     # Six standard deviations below the threshold for a full sketch; exact sets settle the rest.
     return staged(pairs.where(100 * shared >= (percent - 30) * F.size(union)).select("a", "b"), "likely")
 
 
-def _links(likely: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of likely pairs those that the full sets confirm."""
+def _links(likely: DataFrame, docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """Of likely pairs those that the full sets confirm; only texts of such pairs are read again."""
+    sets = with_keys(docs, _ids(likely), "doc_id").mapInArrow(_full_sets(words), "doc_id long, fp long, values binary")
+    sets = staged(sets.join(sketches.select("doc_id", "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"]), "sets")
     for side in "ab":
         likely = likely.join(sets.select(F.col("doc_id").alias(side), F.col("values").alias(f"{side}_values")), side)
     return staged(likely.mapInArrow(_confirm(percent), "a long, b long"), "links")
 
 
 def index_lists(sketches: DataFrame, percent: int, k: int) -> DataFrame:
-    """(value, list_band, docs, facts): the inverted lists that every linked pair must share one of.
+    """(value, list_band, docs, doc_id, n): the inverted lists that every linked pair must share one of.
 
     A linked pair shares at least m retained values, so it shares one of the
     len - m + 1 rarest of each side.  With whole sets in the sketch m is exact;
@@ -148,39 +163,58 @@ def index_lists(sketches: DataFrame, percent: int, k: int) -> DataFrame:
     # Values that no other document has come first in the order and need no list.
     ranked = shown.join(common, "value").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("docs", "value"))).alias("values"))
     overlap = F.when(100 * F.col("n") <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(k // 2)
-    band = F.floor(F.log("n") / math.log(100 / percent) + F.lit(1e-9)).cast("int")
-    facts = sketches.select("doc_id", "n", band.alias("band"), *SIGNS, (F.size("sketch") - overlap + 1).alias("needed"), F.size("sketch").alias("held"))
-    chosen = ranked.join(facts.select("doc_id", "band", "needed", "held"), "doc_id")
+    facts = sketches.select("doc_id", "n", _band("n", percent).alias("band"), (F.size("sketch") - overlap + 1).alias("needed"), F.size("sketch").alias("held"))
+    chosen = ranked.join(facts, "doc_id")
     chosen = chosen.withColumn("take", (F.col("needed") - F.col("held") + F.size("values")).cast("int")).where("take > 0")
-    listed = chosen.select("doc_id", "band", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"))
-    listed = listed.select(F.col("e.value").alias("value"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("list_band"), "doc_id")
+    listed = chosen.select("doc_id", "n", "band", F.explode(F.slice("values", F.lit(1), F.col("take"))).alias("e"))
+    listed = listed.select(F.col("e.value").alias("value"), F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("list_band"), "doc_id", "n")
     listed = staged(listed, "listed")
     several = staged(listed.groupBy(*SPOT).agg(F.count("*").alias("docs")).where("docs > 1"), "several")
-    return staged(listed.join(several, SPOT).join(facts.drop("needed", "held"), "doc_id"), "lists")
+    return staged(listed.join(several, SPOT), "lists")
 
 
-def _leader_pairs(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+def _leader_pairs(lists: DataFrame, sketches: DataFrame, turn: int, percent: int) -> DataFrame:
     """Each document with some of the leaders of its lists, in other components than its own."""
     def rank(seed: int) -> Column:
         return F.xxhash64("doc_id", *SPOT, F.lit(turn * LEADERS + seed))
 
     heads = lists.groupBy(*SPOT).agg(F.array_distinct(F.array(*[F.min_by(F.struct("at", *FACTS), rank(i)) for i in range(LEADERS)])).alias("heads"))
-    heads = staged(heads.select(*SPOT, F.explode("heads").alias("h")).select(*SPOT, F.col("h.at").alias("a_at"), *[F.col(f"h.{c}").alias(_as("a", c)) for c in FACTS]), "heads")
-    met = lists.select(*SPOT, "at", *_side("b")).join(heads, SPOT).where((F.col("at") != F.col("a_at")) & _plausible(percent))
+    heads = heads.select(*SPOT, F.explode("heads").alias("h")).select(*SPOT, F.col("h.at").alias("a_at"), *[F.col(f"h.{c}").alias(_as("a", c)) for c in FACTS])
+    signs = [sketches.select(F.col("doc_id").alias(side), *[F.col(c).alias(_as(side, c)) for c in SIGNS]) for side in "ab"]
+    heads = staged(heads.join(signs[0], "a"), "heads")
+    met = lists.select(*SPOT, "at", *_side("b")).join(signs[1], "b").join(heads, SPOT).where((F.col("at") != F.col("a_at")) & _plausible(percent))
     # The leaders that look most alike first.
     some = met.groupBy("b").agg(F.slice(F.array_sort(F.collect_set(F.struct(_misses().alias("misses"), "a"))), 1, TRIES).alias("tries"))
     tried = some.select("b", F.explode("tries").alias("t")).select(F.col("t.a").alias("a"), "b")
     return tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _at(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Lists with each document's component as ``at``."""
+    rooted = lists.drop("at").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    return rooted.withColumn("at", F.coalesce("root", "doc_id")).drop("root")
+
+
 def _placed(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists that several components share, with each document's component as ``at``."""
-    placed = lists.drop("at").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("at", F.coalesce("root", "doc_id")).drop("root")
-    placed = staged(placed, "placed")
+    placed = staged(_at(lists, roots), "placed")
     shared = placed.groupBy(*SPOT).agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low < high").select(*SPOT)
     return staged(placed.join(staged(shared, "open"), SPOT, "left_semi"), "apart")
 
 
+def _short_pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """All plausible pairs of lists of at most ``SHORT_LIST`` documents that are in different components."""
+    held = lists.groupBy(*SPOT).agg(F.array_sort(F.collect_list(F.struct("doc_id", "n", "at"))).alias("held"), F.min("at").alias("low"), F.max("at").alias("high"))
+
+    def later(x: Column, i: Column) -> Column:
+        def here(y: Column) -> Column:
+            return (x["at"] != y["at"]) & _plausible(percent, x["n"], y["n"]) & (F.col("list_band") == _band(F.greatest(x["n"], y["n"]), percent))
+
+        return F.transform(F.filter(F.slice("held", i + 2, F.lit(SHORT_LIST)), here), lambda y: F.struct(x["doc_id"].alias("a"), y["doc_id"].alias("b")))
+
+    return held.where("low < high").select(F.inline(F.flatten(F.transform("held", later)))).distinct()
+
+
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     """All plausible pairs of each list that are in different components, each from its first list only."""
     mine = lists.groupBy("doc_id", "list_band").agg(F.array_sort(F.collect_set("value")).alias("mine"))
@@ -188,7 +222,7 @@ def _pairs(lists: DataFrame, percent: int) -> DataFrame:
     left = rows.select(*SPOT, "at", F.col("mine").alias("a_mine"), *_side("a"))
     right = rows.select(*SPOT, F.col("at").alias("b_at"), F.col("mine").alias("b_mine"), *_side("b"))
     first = F.element_at(F.array_intersect("a_mine", "b_mine"), 1) == F.col("value")
-    here = (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & (F.col("list_band") == F.greatest("a_band", "b_band"))
+    here = (F.col("a") < F.col("b")) & (F.col("at") != F.col("b_at")) & (F.col("list_band") == _band(F.greatest("a_n", "b_n"), percent))
     return left.join(right, SPOT).where(here & _plausible(percent) & first).select("a", "b")
 
 
@@ -205,11 +239,11 @@ def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     differ, the text of least fingerprint among those that no smaller id has is
     the one compared.  Extra columns are not read.
 
-    Short lists are compared pair by pair.  In long ones documents meet a few
-    leaders, in rounds, and drop out with the lists that one component fills,
-    so a large group of copies costs some comparisons each; then all pairs
-    still in different components are compared.  No group is gathered and none
-    is cut short.
+    In long lists documents meet a few leaders, in rounds, and drop out with the
+    lists that one component fills, so a large group of copies costs some
+    comparisons each.  Short lists, and what the rounds left of long ones, are
+    then compared pair by pair where documents are still in different
+    components.  No group is gathered and none is cut short.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n long, fp long, fq long, s0 long, s1 long, s2 long, s3 long, sketch array<long>"
@@ -219,25 +253,22 @@ def bottomk_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     firsts = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("fp", "fq", "n")).alias("c")).select("doc_id", "c.*")
     sketches = staged(usable.join(firsts, ["doc_id", "fp", "fq", "n"], "left_semi").dropDuplicates(["doc_id"]), "firsts")
     lists = index_lists(sketches, percent, k).withColumn("at", F.col("doc_id"))
-
     short, long = lists.where(F.col("docs") <= SHORT_LIST), lists.where(F.col("docs") > SHORT_LIST)
-    likely = _likely(_pairs(short, percent).union(_leader_pairs(long, 0, percent)).distinct(), sketches, percent, k)
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(long.select("doc_id"))
-    sets = with_keys(docs, ids, "doc_id").mapInArrow(_full_sets(words), "doc_id long, fp long, values binary")
-    sets = staged(sets.join(sketches.select("doc_id", "fp"), ["doc_id", "fp"], "left_semi").dropDuplicates(["doc_id"]), "sets")
-    links = _links(likely, sets, percent)
-    roots = staged(components(links), "roots")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        return _links(_likely(pairs, sketches, percent, k), docs, sketches, words, percent)
+
+    roots = staged(components(linked(_leader_pairs(long, sketches, 0, percent))), "roots")
     edges = F.col("node").alias("a"), F.col("root").alias("b")
     open_lists = _placed(long, roots)
     for turn in range(1, ROUNDS):
-        tried = _likely(_leader_pairs(open_lists, turn, percent), sketches, percent, k)
-        links = _links(tried, sets, percent)
+        links = linked(_leader_pairs(open_lists, sketches, turn, percent))
         if links.isEmpty():
             break
         roots = staged(components(roots.select(*edges).union(links)), "roots")
         open_lists = _placed(open_lists, roots)
-    # Whatever the rounds left is compared whole.
-    links = _links(_likely(_pairs(open_lists, percent), sketches, percent, k), sets, percent)
+    # Short lists and whatever the rounds left are compared whole.
+    links = linked(_short_pairs(_at(short, roots), percent).union(_pairs(open_lists, percent)).distinct())
     final = components(roots.select(*edges).union(links))
 
     named = classes.join(final, F.col("rep") == F.col("node"), "left").select("fp", "fq", "n", F.coalesce("root", "rep").alias("component"))
