@@ -115,3 +115,18 @@ def test_a_hot_event_spreads_over_tasks(spark, monkeypatch):
             spark.conf.set(c, v)
     assert {(r.hook_id, r.artefact_id) for r in got} == {(f"h{i}", f"a{j}") for i in range(40) for j in range(200)}
     assert len(got) == 8_000 and len({r.task for r in got}) > 1
+
+
+def test_matches_of_small_tables_spread_over_tasks(spark):
+    """AQE, which goes by the bytes that meet and not by the matches they make, leaves the tasks alone."""
+    events = spark.range(0, 3_000, 1, 1).select(F.lit("hot").alias("event"), F.concat(F.lit("a"), "id").alias("artefact_id"), F.col("id").alias("at_ms"))
+    hooks = spark.range(0, 300, 1, 1).select(F.concat(F.lit("h"), "id").alias("hook_id"), F.array(F.lit("hot")).alias("events"), F.lit(True).alias("enabled"), F.lit("s").alias("secret"))
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        matched = L.match_webhooks(events, hooks).select(F.spark_partition_id().alias("task"), "artefact_id", "hook_id")
+        rows = matched.groupBy("task").agg(F.count("*").alias("n"), F.count_distinct("artefact_id", "hook_id").alias("pairs")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sum(r.n for r in rows) == sum(r.pairs for r in rows) == 900_000
+    assert len(rows) > 3 and max(r.n for r in rows) < 600_000
