@@ -519,17 +519,18 @@ def roundtrip_audit(docs: DataFrame, id_col: str, json_col: str) -> DataFrame:
     encoded = encode_json(json_col).alias("text")
     docs.select(F.col(id_col).alias("doc_id"), F.col(json_col).alias("before"), encoded).write.parquet(path)
     source = spark.read.parquet(path)
-    back = decode_docs(source).select("doc_id", F.col("json").alias("after"), "errors")
+    written = source.select("doc_id", "before", F.octet_length("text").alias("bytes_out"))  # null where there is no text, which stays behind
+    back = decode_docs(source).select("doc_id", F.col("json").alias("after"), (F.size("errors") > 0).alias("failed"))
     judged = validation_summary(validate_docs(source)).select("doc_id", F.col("errors").alias("n_errors"))
-    joined = source.join(back, "doc_id", "left").join(judged, "doc_id", "left")
+    joined = written.join(back, "doc_id", "left").join(judged, "doc_id", "left")
     a, b = canonical(F.col("before")), canonical(F.col("after"))
-    same = F.coalesce(F.col("text").isNotNull() & (F.col("before") == F.col("after")), F.lit(False)) | F.coalesce(a == b, F.lit(False))
+    same = F.coalesce(F.col("bytes_out").isNotNull() & (F.col("before") == F.col("after")), F.lit(False)) | F.coalesce(a == b, F.lit(False))
     differs = F.array_position(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: ~x.eqNullSafe(y)), True)
     reason = (
-        F.when(F.col("text").isNull(), "not JSON").when(F.coalesce("n_errors", F.lit(0)) > 0, "validation")
-        .when(F.size("errors") > 0, "decode").when(~same, "mismatch"))
+        F.when(F.col("bytes_out").isNull(), "not JSON").when(F.coalesce("n_errors", F.lit(0)) > 0, "validation")
+        .when(F.col("failed"), "decode").when(~same, "mismatch"))
     out = joined.select(
-        "doc_id", F.octet_length("before").alias("bytes_in"), F.octet_length("text").alias("bytes_out"), "after", reason.alias("failure"),
+        "doc_id", F.octet_length("before").alias("bytes_in"), "bytes_out", "after", reason.alias("failure"),
         F.when(~same, differs - 1).alias("divergence"))
     return out.withColumn("passed", F.col("failure").isNull())
 

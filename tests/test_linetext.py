@@ -242,3 +242,12 @@ def test_documents_that_share_an_id_or_have_none(spark):
     got = sorted((r.doc_id or 0, r.failure or "", r.passed, r.after) for r in audit if r.doc_id != 3)
     assert got == [(0, "mismatch", False, None), (1, "mismatch", False, '{{"a":1,"a":1}}'), (1, "mismatch", False, '{{"a":1,"a":1}}'), (2, "", True, '{"b":[1.5,"x"],"c":{"d":0.0025}}'), (4, "not JSON", False, None)]
     assert sorted(r.failure for r in audit if r.doc_id == 3) == ["mismatch", "not JSON"]
+
+
+def test_audit_rate_moves_a_row_for_each_document(spark):
+    """Every document counts; no step sorts lines or tokens, and the text stays where it was written."""
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "{oops").when(F.col("id") % 10 == 1, '{"n":1e400}').otherwise(F.concat(F.lit('{"n":'), "id", F.lit(',"b":[1.50]}'))).alias("j"))
+    rate = L.audit_rate(L.roundtrip_audit(docs, "doc_id", "j"))
+    assert tuple(rate.first()) == (2_000, 1_600, 80.0)
+    plan = rate._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "octet_length(text" in plan
